@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +38,20 @@ class PipelineResult:
     applied: DataFrame
     rejected: DataFrame       # page_id, error_class, error_message (oversized pages)
 
+    def unpersist(self) -> None:
+        for df in (self.tokens, self.segments):
+            df.unpersist()
+
 
 def translate_pages(pages: DataFrame, translator=None, concurrent: int = B.DEFAULT_CONCURRENT_BATCHES,
                     batch_size: int | None = None, iframe_mode: str = "off", escape_newlines: bool = False,
                     max_parallel: int | None = None, max_page_bytes: int = MAX_PAGE_BYTES,
-                    num_partitions: int | None = None, checkpoint_responses: bool | None = None) -> PipelineResult:
+                    num_partitions: int | None = None, checkpoint_responses: bool | None = None,
+                    persist: bool = True) -> PipelineResult:
+    """Translate every page.  ``persist`` keeps the two fan-out points (tokens:
+    extraction and apply; segments: batching and the translation map) so the
+    tokenizer runs once per page; blocks spill to disk and are recomputed from
+    lineage if an executor is lost."""
     translator = translator or TR.prefix("zh")
     src = pages.select("page_id", "html")
     ok = within_size(F.col("html"), max_page_bytes)
@@ -50,7 +60,11 @@ def translate_pages(pages: DataFrame, translator=None, concurrent: int = B.DEFAU
         F.concat(F.lit("page over "), F.lit(str(max_page_bytes)), F.lit(" bytes")).alias("error_message"))
     part = TK.partition_pages(src.filter(ok), num_partitions)
     tokens = TK.tokenize(part)
+    if persist:
+        tokens = tokens.persist(StorageLevel.MEMORY_AND_DISK)
     segments = S.extract_segments(tokens, iframe_mode)
+    if persist:
+        segments = segments.persist(StorageLevel.MEMORY_AND_DISK)
     planned = B.plan_batches(segments, concurrent, batch_size)
     batches = B.build_payload(planned, escape_newlines)
     responses = TR.translate_batches(batches, translator, max_parallel)

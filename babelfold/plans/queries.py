@@ -365,7 +365,7 @@ def q_segment_counts(spark, sf_dir):
 
 def _lines(spark, sf_dir):
     d = D.doc_lines(spark, sf_dir).select(F.lit("documents").alias("source"), "doc_id", "seq", "line")
-    c = D.table(spark, sf_dir, "conversations").select(
+    c = D.spread(D.table(spark, sf_dir, "conversations"), "conv_id").select(
         F.lit("conversations").alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
         F.posexplode(F.split("text", "\n", -1)).alias("seq", "line")).withColumn("seq", F.col("seq").cast("long"))
     return d.unionByName(c)

@@ -23,6 +23,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash rows of a text table on their key before per-line regex work.
+
+    The text work is CPU-bound and a file may be one row group (one scan
+    task); hashing on the key spreads it over all cores and lets the later
+    per-key aggregates reuse the partitioning instead of shuffling again.
+    """
+    return df.repartition(key)
+
+
 # --- derived HTML ----------------------------------------------------------------------
 
 def attr_pages(spark, sf_dir) -> DataFrame:
@@ -128,7 +138,7 @@ OVERFLOW_LINE = "[99999999999999999999] overflow"
 def marker_responses(spark, sf_dir) -> DataFrame:
     """``(doc_id, batch_idx, text)``: each document line as ``[line % 3] line`` (repeats),
     plus an out-of-range and an overflowing marker line."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     lines = F.transform(F.split(d.text, "\n", -1),
                         lambda x, i: F.concat(F.lit("["), (i % 3).cast("string"), F.lit("] "), x))
     txt = F.concat(F.array_join(lines, "\n"), F.lit("\n" + OUT_OF_RANGE_LINE + "\n" + OVERFLOW_LINE))
@@ -144,7 +154,7 @@ MARKER_RESPONSES_SQL = (
 
 def doc_lines(spark, sf_dir, name: str = "documents", id_col: str = "doc_id") -> DataFrame:
     """Every line of every text: ``(id, seq, line)`` with the raw line."""
-    d = table(spark, sf_dir, name)
+    d = spread(table(spark, sf_dir, name), id_col)
     return d.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("seq", "line")) \
         .withColumn("seq", F.col("seq").cast("long"))
 
