@@ -39,10 +39,12 @@ TAG_PIECE_RE = (
     r"|(?s:.)"
 )
 ATTR_PIECE_RE = rf"^[{_SP}/]+([^{_SP}/>\"'=]+)"
+# value patterns are anchored at the name (names hold no '='), one per quoting form
+_NAME_EQ = rf"^[{_SP}/]+[^{_SP}/>\"'=]+[{_SP}]*=[{_SP}]*"
 ATTR_VALUE_RES = (
-    rf"=[{_SP}]*\"([^\"]*)\"\z",
-    rf"=[{_SP}]*'([^']*)'\z",
-    rf"=[{_SP}]*([^{_SP}>\"'][^{_SP}>]*)\z",
+    _NAME_EQ + r'"([^"]*)"\z',
+    _NAME_EQ + r"'([^']*)'\z",
+    _NAME_EQ + rf"([^{_SP}>\"'][^{_SP}>]*)\z",
 )
 ATTR_PREFILTER_RE = rf"(?i)[{_SP}/](title|alt|placeholder|src)[{_SP}]*="
 
