@@ -99,18 +99,14 @@ def fold_ws(col) -> Column:
 ENTITY_TABLE: dict[str, str] = {
     **{k: chr(v) for k, v in sorted(html.entities.name2codepoint.items())}, "apos": "'",
 }
-_ENTITY_MAP = None
+_PAIR_SEP, _KV_SEP = "\x02", "\x01"
 
 
 def _entity_map() -> Column:
-    global _ENTITY_MAP
-    if _ENTITY_MAP is None:
-        keys = list(ENTITY_TABLE.keys())
-        vals = [ENTITY_TABLE[k] for k in keys]
-        _ENTITY_MAP = F.map_from_arrays(
-            F.array(*[F.lit(k) for k in keys]), F.array(*[F.lit(v) for v in vals])
-        )
-    return _ENTITY_MAP
+    """The name -> text table as ONE string literal turned into a map
+    (constant-folded by the optimizer; cheap to build and to analyse)."""
+    packed = _PAIR_SEP.join(f"{k}{_KV_SEP}{v}" for k, v in ENTITY_TABLE.items())
+    return F.str_to_map(F.lit(packed), F.lit(_PAIR_SEP), F.lit(_KV_SEP))
 
 
 def codepoint_to_str(cp: Column) -> Column:
@@ -148,9 +144,11 @@ def decode_entities(col) -> Column:
 
     Splits on ``&`` and rewrites each piece that starts with a complete
     reference; pieces without one keep their ``&``.  Rows without ``&`` skip
-    the work entirely.
+    the work entirely.  A column name goes through :func:`sql_decode`.
     """
-    c = _c(col)
+    if isinstance(col, str):
+        return F.expr(sql_decode(f"`{col}`"))
+    c = col
 
     def piece(p: Column) -> Column:
         dec = F.regexp_extract(p, "^#([0-9]{1,7});", 1)
@@ -188,3 +186,95 @@ def escape_attr(col) -> Column:
     c = F.replace(c, F.lit("&"), F.lit("&amp;"))
     c = F.replace(c, F.lit("\u00a0"), F.lit("&nbsp;"))
     return F.replace(c, F.lit('"'), F.lit("&quot;"))
+
+
+# --- the same rules as Spark SQL text --------------------------------------------------
+# Heavy expressions are built as SQL text and parsed once with ``F.expr``: one
+# driver->JVM call instead of hundreds of Column calls; the plan is identical.
+
+def sql_str(s: str) -> str:
+    """Spark SQL string literal for ``s`` (backslash, quote and non-ASCII escaped)."""
+    out = []
+    for ch in s:
+        o = ord(ch)
+        if ch == "\\":
+            out.append("\\\\")
+        elif ch == "'":
+            out.append("\\'")
+        elif 0x20 <= o < 0x7F:
+            out.append(ch)
+        elif o <= 0xFFFF:
+            out.append(f"\\u{o:04x}")
+        else:
+            o -= 0x10000
+            out.append(f"\\u{0xD800 + (o >> 10):04x}\\u{0xDC00 + (o & 0x3FF):04x}")
+    return "'" + "".join(out) + "'"
+
+
+def sql_trim(x: str) -> str:
+    return f"regexp_replace({x}, {sql_str(TRIM_RE)}, '')"
+
+
+def sql_word_count(x: str) -> str:
+    return f"size(regexp_extract_all({x}, {sql_str(NOT_WS + '+')}, 0))"
+
+
+def sql_text_kept(x: str) -> str:
+    return f"(octet_length({x}) > 1 AND {x} RLIKE {sql_str(NOT_WS_PUNCT)})"
+
+
+def sql_attr_kept(x: str) -> str:
+    return f"(octet_length({x}) > 1 AND {x} RLIKE {sql_str(NOT_WS)})"
+
+
+def sql_translatable(x: str) -> str:
+    parts = [f"octet_length({x}) > {JS_MIN_BYTES}", f"octet_length({x}) < {JS_MAX_BYTES}",
+             f"{x} RLIKE {sql_str(NOT_WS_PUNCT_DIGIT)}"]
+    parts += [f"NOT startswith({x}, {sql_str(p)})" for p in CODE_PREFIXES]
+    parts += [f"NOT contains({x}, {sql_str(m)})" for m in CODE_MARKERS]
+    parts.append(f"{sql_word_count(x)} <= {JS_MAX_WORDS}")
+    return "(" + " AND ".join(parts) + ")"
+
+
+def sql_cp_to_str(cp: str) -> str:
+    b = lambda v: f"lpad(hex({v}), 2, '0')"
+    hx = (f"CASE WHEN {cp} < 128 THEN {b(cp)} "
+          f"WHEN {cp} < 2048 THEN concat({b(f'192 + shiftright({cp}, 6)')}, {b(f'128 + {cp} % 64')}) "
+          f"WHEN {cp} < 65536 THEN concat({b(f'224 + shiftright({cp}, 12)')}, {b(f'128 + shiftright({cp}, 6) % 64')}, "
+          f"{b(f'128 + {cp} % 64')}) "
+          f"ELSE concat({b(f'240 + shiftright({cp}, 18)')}, {b(f'128 + shiftright({cp}, 12) % 64')}, "
+          f"{b(f'128 + shiftright({cp}, 6) % 64')}, {b(f'128 + {cp} % 64')}) END")
+    return (f"CASE WHEN {cp} IS NULL OR {cp} = 0 OR ({cp} >= 55296 AND {cp} <= 57343) OR {cp} > 1114111 "
+            f"THEN {sql_str(chr(0xFFFD))} ELSE decode(unhex({hx}), 'UTF-8') END")
+
+
+def sql_entity_map() -> str:
+    packed = _PAIR_SEP.join(f"{k}{_KV_SEP}{v}" for k, v in ENTITY_TABLE.items())
+    return f"str_to_map({sql_str(packed)}, {sql_str(_PAIR_SEP)}, {sql_str(_KV_SEP)})"
+
+
+def sql_decode(x: str, var: str = "ep") -> str:
+    """SQL twin of :func:`decode_entities`; ``var`` names the inner lambda variable."""
+    p = var
+    dec = f"CAST(regexp_extract({p}, '^#([0-9]{{1,7}});', 1) AS INT)"
+    hexd = f"CAST(conv(regexp_extract({p}, '^#[xX]([0-9a-fA-F]{{1,6}});', 1), 16, 10) AS INT)"
+    name = f"regexp_extract({p}, '^([A-Za-z][A-Za-z0-9]*);', 1)"
+    named = f"{sql_entity_map()}[{name}]"
+    piece = (f"CASE WHEN {p} RLIKE '^#[0-9]{{1,7}};' THEN concat({sql_cp_to_str(dec)}, "
+             f"regexp_replace({p}, '^#[0-9]{{1,7}};', '')) "
+             f"WHEN {p} RLIKE '^#[xX][0-9a-fA-F]{{1,6}};' THEN concat({sql_cp_to_str(hexd)}, "
+             f"regexp_replace({p}, '^#[xX][0-9a-fA-F]{{1,6}};', '')) "
+             f"WHEN {name} <> '' AND {named} IS NOT NULL THEN concat({named}, substring({p}, length({name}) + 2)) "
+             f"ELSE concat('&', {p}) END")
+    parts = f"split({x}, '&', -1)"
+    return (f"(CASE WHEN instr({x}, '&') > 0 THEN concat(element_at({parts}, 1), "
+            f"array_join(transform(slice({parts}, 2, size({parts})), {p} -> {piece}), '')) ELSE {x} END)")
+
+
+def sql_escape_text(x: str) -> str:
+    return (f"replace(replace(replace(replace({x}, '&', '&amp;'), {sql_str(chr(160))}, '&nbsp;'), '<', '&lt;'), "
+            f"'>', '&gt;')")
+
+
+def sql_escape_attr(x: str) -> str:
+    return f"replace(replace(replace({x}, '&', '&amp;'), {sql_str(chr(160))}, '&nbsp;'), '\"', '&quot;')"

@@ -27,54 +27,56 @@ APPLY_ATTR_PREFILTER_RE = rf"(?i)[{_SP}/](title|alt|placeholder)[{_SP}]*="
 
 def translation_map(segments: DataFrame, translations: DataFrame) -> DataFrame:
     """(page_id, text, translation) for segments with a non-empty translation."""
-    j = segments.select("page_id", "seq", "text").join(translations, ["page_id", "seq"])
+    # both sides are hash-partitioned on page_id: a per-partition hash join needs
+    # no exchange and no sort (a broadcast would only add a job)
+    j = segments.select("page_id", "seq", "text").join(translations.hint("shuffle_hash"), ["page_id", "seq"])
     return j.filter(F.col("translation") != "").select("page_id", "text", "translation")
 
 
-def text_key(kind: Column, raw: Column) -> Column:
+def sql_text_key(kind: str = "kind", raw: str = "raw") -> str:
     """Lookup key of a text token: decoded+trimmed text, or trimmed raw body."""
-    return (F.when(kind == "text", T.trim_ws(T.decode_entities(raw)))
-            .when(kind == "rawtext", T.trim_ws(raw)))
+    return (f"CASE WHEN {kind} = 'text' THEN {T.sql_trim(T.sql_decode(raw))} "
+            f"WHEN {kind} = 'rawtext' THEN {T.sql_trim(raw)} END")
 
 
-def _piece(i, piece, key, kind) -> Column:
-    return F.struct(i.cast("int").alias("i"), piece.alias("piece"), key.alias("key"), kind.alias("pkind"))
+def text_key(kind: Column, raw: Column) -> Column:
+    return (F.when(kind == "text", T.trim_ws(T.decode_entities(raw)))
+            .when(kind == "rawtext", T.trim_ws(raw)))
 
 
 def pieces(tokens: DataFrame) -> DataFrame:
-    """``(page_id, pos, kind, i, piece, key, pkind)``: the unit of rendering."""
-    kind, raw, tag = F.col("kind"), F.col("raw"), F.col("tag")
-    attr_tag = (kind == "open") & ~tag.isin(*T.NO_ATTR_APPLY_TAGS) & raw.rlike(APPLY_ATTR_PREFILTER_RE)
-    attr_arr = F.transform(
-        S.attr_table(raw),
-        lambda a: _piece(
-            a["i"], a["piece"],
-            F.when(a["name"].isin(*T.TRANSLATABLE_ATTRS) & a["first"], T.trim_ws(T.decode_entities(a["value"]))),
-            F.lit("attr"),
-        ),
-    )
-    one = F.array(_piece(F.lit(0), raw, text_key(kind, raw), kind))
-    arr = F.when(attr_tag, attr_arr).otherwise(one)
-    p = tokens.select("page_id", "pos", "kind", F.explode(arr).alias("p"))
+    """``(page_id, pos, kind, i, piece, key, pkind)``: the unit of rendering.
+
+    A tag that may carry a translatable attribute (outside script/style/
+    noscript) is split into its attribute pieces; every other token is one piece.
+    """
+    no_apply = ", ".join(T.sql_str(t) for t in T.NO_ATTR_APPLY_TAGS)
+    cond = f"kind = 'open' AND NOT tag IN ({no_apply}) AND raw RLIKE {T.sql_str(APPLY_ATTR_PREFILTER_RE)}"
+    t = S.with_pieces(tokens, cond)
+    names = ", ".join(T.sql_str(n) for n in T.TRANSLATABLE_ATTRS)
+    attr_arr = (f"transform(a0, a -> named_struct('i', a.i, 'piece', a.piece, 'key', "
+                f"CASE WHEN a.name IN ({names}) AND {S.sql_first('a0', 'a')} "
+                f"THEN {T.sql_trim(T.sql_decode('a.value'))} END, 'pkind', 'attr'))")
+    one = f"array(named_struct('i', 0, 'piece', raw, 'key', {sql_text_key()}, 'pkind', kind))"
+    arr = f"CASE WHEN a0 IS NOT NULL THEN {attr_arr} ELSE {one} END"
+    p = t.select("page_id", "pos", "kind", F.explode(F.expr(arr)).alias("p"))
     return p.select("page_id", "pos", "kind", "p.i", "p.piece", "p.key", "p.pkind")
 
 
 def applied_pieces(tokens: DataFrame, tmap: DataFrame) -> DataFrame:
     """pieces + ``out`` (rendered piece) and ``applied`` flag."""
     m = tmap.select("page_id", F.col("text").alias("key"), "translation")
-    j = pieces(tokens).join(m, ["page_id", "key"], "left")
-    tr = F.col("translation")
-    sep = F.regexp_extract("piece", rf"^([{_SP}/]+)", 1)
-    name = F.regexp_extract("piece", S.ATTR_PIECE_RE, 1)
-    out = (
-        F.when(tr.isNull(), F.col("piece"))
-        .when(F.col("pkind") == "text", T.escape_text(tr))
-        .when(F.col("pkind") == "rawtext", tr)
-        .when(F.col("pkind") == "attr", F.concat(sep, name, F.lit('="'), T.escape_attr(tr), F.lit('"')))
-        .otherwise(F.col("piece"))
-    )
+    j = pieces(tokens).join(m.hint("shuffle_hash"), ["page_id", "key"], "left")
+    out = F.expr(
+        f"""CASE WHEN translation IS NULL THEN piece
+                 WHEN pkind = 'text' THEN {T.sql_escape_text('translation')}
+                 WHEN pkind = 'rawtext' THEN translation
+                 WHEN pkind = 'attr' THEN concat(regexp_extract(piece, {T.sql_str(f"^([{_SP}/]+)")}, 1),
+                      regexp_extract(piece, {T.sql_str(S.ATTR_PIECE_RE)}, 1), '="',
+                      {T.sql_escape_attr('translation')}, '"')
+                 ELSE piece END""")
     return j.select("page_id", "pos", "i", "kind", "pkind", "key", "piece", out.alias("out"),
-                    tr.isNotNull().alias("applied"))
+                    F.col("translation").isNotNull().alias("applied"))
 
 
 def render(applied: DataFrame) -> DataFrame:
@@ -97,8 +99,8 @@ def applied_count(applied: DataFrame) -> DataFrame:
 def missing_report(tokens: DataFrame, tmap: DataFrame) -> DataFrame:
     """Text nodes that pass the text rule but got no translation."""
     t = tokens.filter(F.col("kind") == "text").select(
-        "page_id", "pos", T.trim_ws(T.decode_entities(F.col("raw"))).alias("text"))
-    t = t.filter(T.is_text_node_kept(F.col("text")))
+        "page_id", "pos", F.expr(T.sql_trim(T.sql_decode("raw"))).alias("text"))
+    t = t.filter(F.expr(T.sql_text_kept("text")))
     return t.join(tmap.select("page_id", "text"), ["page_id", "text"], "left_anti")
 
 

@@ -47,12 +47,15 @@ def marker_line(seq: Column, text: Column, escape_newlines: bool = False) -> Col
 def build_payload(planned: DataFrame, escape_newlines: bool = False, group_col: str = "page_id") -> DataFrame:
     """One row per batch: ``[seq] text`` lines joined with newlines, in seq order.
 
+    ``items`` keeps the batch's own ``(seq, text)`` pairs so the translation map
+    can be built from the responses alone (no second read of the segments).
+
     Embedded newlines are kept unless ``escape_newlines`` (then every
     whitespace run in a text becomes one space).
     """
     line = marker_line(F.col("seq"), F.col("text"), escape_newlines)
     g = planned.groupBy(group_col, "batch_idx").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("seq"), line.alias("line")))).alias("lines"),
+        F.array_sort(F.collect_list(F.struct(F.col("seq"), line.alias("line"), F.col("text")))).alias("lines"),
         F.count(F.lit(1)).alias("n_items"),
         F.min("seq").alias("first_seq"),
         F.max("n").alias("n"),
@@ -61,6 +64,7 @@ def build_payload(planned: DataFrame, escape_newlines: bool = False, group_col:
         group_col, "batch_idx",
         F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("payload"),
         "n_items", "first_seq", "n",
+        F.transform("lines", lambda x: F.struct(x["seq"].alias("seq"), x["text"].alias("text"))).alias("items"),
     )
 
 

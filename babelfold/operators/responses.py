@@ -94,3 +94,37 @@ def success_rate(marked: DataFrame, batches: DataFrame, group_col: str = "page_i
 def failed_batches(responses: DataFrame) -> DataFrame:
     return (responses.filter(F.col("error_class").isNotNull())
             .groupBy("error_class").agg(F.count(F.lit(1)).alias("n_batches")))
+
+
+def sql_marked_lines(text: str = "text", batch: str = "batch_idx", n: str = "n") -> str:
+    """SQL text: accepted marker lines of a response as array<struct<seq, tr, ord>>."""
+    ln = T.sql_trim("l")
+    m = T.sql_str(MARKER_RE)
+    parsed = (f"transform(split({text}, '\\n', -1), (l, i) -> named_struct("
+              f"'seq', CASE WHEN {ln} RLIKE {m} THEN try_cast(regexp_extract({ln}, {m}, 1) AS BIGINT) END, "
+              f"'tr', {T.sql_trim(f'regexp_extract({ln}, {m}, 2)')}, "
+              f"'ord', {batch} * 4294967296 + i))")
+    return f"filter({parsed}, x -> x.seq IS NOT NULL AND x.tr <> '' AND x.seq < {n})"
+
+
+def translation_map_from_responses(responses: DataFrame) -> DataFrame:
+    """``(page_id, seq, text, translation)`` straight from the responses.
+
+    Every response row carries its batch's ``(seq, text)`` items; its accepted
+    marker lines are parsed in place.  One aggregate per ``(page_id, seq)``
+    then joins the two by grouping (last write wins in (batch, line) order),
+    so the segments are not read a second time.  The group key has
+    ``page_id`` first and reuses the page partitioning.
+    """
+    # items of failed batches still count (another batch may write to their seq)
+    ok = responses.select("page_id", "batch_idx", "n", "items", "error_class",
+                          unwrap_response(F.col("response")).alias("text"))
+    items = "transform(items, x -> named_struct('seq', x.seq, 'text', x.text, 'tr', CAST(NULL AS STRING), " \
+            "'ord', CAST(NULL AS BIGINT)))"
+    lines = f"transform({sql_marked_lines()}, x -> named_struct('seq', x.seq, 'text', CAST(NULL AS STRING), " \
+            "'tr', x.tr, 'ord', x.ord))"
+    lines = f"CASE WHEN error_class IS NULL THEN coalesce({lines}, array()) ELSE array() END"
+    e = ok.select("page_id", F.explode(F.expr(f"concat({items}, {lines})")).alias("r"))
+    g = e.groupBy("page_id", F.col("r.seq").alias("seq")).agg(
+        F.max("r.text").alias("text"), F.max(F.struct("r.ord", "r.tr")).alias("w"))
+    return g.select("page_id", "seq", "text", F.col("w.tr").alias("translation"))

@@ -65,108 +65,112 @@ def piece_value(p: Column) -> Column:
     return F.concat(*[F.regexp_extract(p, r, 1) for r in ATTR_VALUE_RES])
 
 
-def tag_pieces(raw: Column) -> Column:
-    return F.regexp_extract_all(raw, F.lit(TAG_PIECE_RE), 0)
+# --- SQL text builders (one F.expr per heavy expression) ------------------------------
 
+def sql_pieces(raw: str) -> str:
+    """``array<struct<i, name, value, piece>>``: an open tag split into pieces."""
+    name = (f"CASE WHEN p RLIKE {T.sql_str(ATTR_PIECE_RE)} "
+            f"THEN lower(regexp_extract(p, {T.sql_str(ATTR_PIECE_RE)}, 1)) END")
+    value = "concat(" + ", ".join(f"regexp_extract(p, {T.sql_str(r)}, 1)" for r in ATTR_VALUE_RES) + ")"
+    return (f"transform(regexp_extract_all({raw}, {T.sql_str(TAG_PIECE_RE)}, 0), "
+            f"(p, i) -> named_struct('i', i, 'name', {name}, 'value', {value}, 'piece', p))")
 
-def attr_table(raw: Column) -> Column:
-    """array<struct<i, name, value, piece, first>> for an open tag's pieces.
 
-    ``first`` is true for the first attribute of a name (later repeats are
-    ignored by HTML parsers); ``i`` is the 0-based piece index.
-    """
-    pieces = tag_pieces(raw)
+def sql_first(arr: str, a: str) -> str:
+    """The first attribute of its name in the tag (later repeats are ignored)."""
+    return f"coalesce(array_position({arr}.name, {a}.name) = {a}.i + 1, false)"
+
+
+def with_pieces(tokens: DataFrame, cond_sql: str, out: str = "a0") -> DataFrame:
+    """Adds the piece table of every token matching ``cond_sql`` (NULL elsewhere)."""
+    return tokens.withColumn(out, F.expr(f"CASE WHEN {cond_sql} THEN {sql_pieces('raw')} END"))
+
+
+def attr_table(raw: Column) -> Column:
+    """Column API: array<struct<i, name, value, piece, first>> for an open tag."""
+    pieces = F.regexp_extract_all(raw, F.lit(TAG_PIECE_RE), 0)
     names = F.transform(pieces, lambda p: F.when(p.rlike(ATTR_PIECE_RE), piece_name(p)))
     return F.transform(
         pieces,
         lambda p, i: F.struct(
-            i.alias("i"),
-            F.element_at(names, i + 1).alias("name"),
-            piece_value(p).alias("value"),
-            p.alias("piece"),
-            (F.array_position(names, F.element_at(names, i + 1)) == i + 1).alias("first"),
+            i.alias("i"), F.element_at(names, i + 1).alias("name"), piece_value(p).alias("value"),
+            p.alias("piece"), F.coalesce(F.array_position(names, F.element_at(names, i + 1)) == i + 1,
+                                         F.lit(False)).alias("first"),
         ),
     )
 
 
-def _cand(text, kind, attr, lvl, pos, phase, a, b, c) -> Column:
-    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.struct(
-        lit(text).cast("string").alias("text"), lit(kind).alias("kind"), lit(attr).cast("string").alias("attr"),
-        lit(lvl).cast("int").alias("o_level"), lit(pos).cast("int").alias("o_pos"),
-        lit(phase).cast("int").alias("o_phase"), lit(a).cast("int").alias("o_a"),
-        lit(b).cast("int").alias("o_b"), lit(c).cast("int").alias("o_c"),
-    )
+def _sql_cand(text, kind, attr, lvl, pos, phase, a, b, c) -> str:
+    return (f"named_struct('text', {text}, 'kind', '{kind}', 'attr', CAST({attr} AS STRING), "
+            f"'o_level', CAST({lvl} AS INT), 'o_pos', CAST({pos} AS INT), 'o_phase', {phase}, "
+            f"'o_a', CAST({a} AS INT), 'o_b', CAST({b} AS INT), 'o_c', CAST({c} AS INT))")
+
 
+def _sql_matches(src, pattern, group, kind, lvl, pos, phase, a, keep) -> str:
+    cands = (f"transform(regexp_extract_all({src}, {T.sql_str(pattern)}, {group}), "
+             f"(m, j) -> {_sql_cand(T.sql_trim('m'), kind, 'NULL', lvl, pos, phase, a, 'j', 0)})")
+    return f"filter({cands}, c -> {keep('c.text')})"
 
-def _matches(src: Column, pattern: str, group: int, kind: str, lvl, pos, phase, a, keep) -> Column:
-    """One candidate per regex match, ``b`` = match number."""
-    ms = F.regexp_extract_all(src, F.lit(pattern), group)
-    cands = F.transform(ms, lambda m, j: _cand(T.trim_ws(m), kind, None, lvl, pos, phase, a, j, 0))
-    return F.filter(cands, lambda c: keep(c["text"]))
 
+def _sql_script_candidates() -> str:
+    el, ep = "level - 1", "pos - 1"  # strings belong to the <script> element itself
+    p1 = _sql_matches("raw", JS_STRING_RE, 1, "js_string", el, ep, 1, 1, T.sql_translatable)
+    p2 = _sql_matches("raw", JSON_TEXT_RE, 1, "json_text", el, ep, 1, 2, T.sql_translatable)
+    p3 = _sql_matches("raw", JSON_KEY_RE, 1, "json_key", el, ep, 1, 3, T.sql_translatable)
+    keys = ", ".join(T.sql_str(k) for k in JSON_KV_KEYS)
+    kv = (f"zip_with(regexp_extract_all(raw, {T.sql_str(JSON_KV_RE)}, 1), "
+          f"regexp_extract_all(raw, {T.sql_str(JSON_KV_RE)}, 2), (k, v) -> named_struct('k', k, 'v', v))")
+    p4 = (f"transform(filter(transform({kv}, (x, j) -> named_struct('k', x.k, 'c', "
+          f"{_sql_cand(T.sql_trim('x.v'), 'json_kv', 'NULL', el, ep, 1, 4, 'j', 0)})), "
+          f"y -> y.k IN ({keys}) AND {T.sql_translatable('y.c.text')}), y -> y.c)")
+    return f"concat({p1}, {p2}, {p3}, {p4})"
 
-def iframe_html(attrs: Column) -> Column:
+
+def sql_iframe_html(arr: str) -> str:
     """Decoded HTML of a ``data:text/html;`` iframe source, NULL if none/invalid."""
-    src = F.filter(attrs, lambda x: (x["name"] == "src") & x["first"])
-    v = T.trim_ws(T.decode_entities(F.element_at(src, 1)["value"]))
-    comma = F.instr(v, ",")
-    b64 = F.when(v.contains(IFRAME_SRC_MARK) & (comma > 0), F.substring(v, comma + 1, 1 << 30))
-    ok = b64.rlike(STRICT_B64_RE) & (F.length(b64) % 4 == 0)
-    decoded = F.try_validate_utf8(F.try_to_binary(b64, F.lit("base64")).cast("string"))
-    return F.when(ok, decoded)
-
-
-def _script_candidates(raw: Column, lvl: Column, pos: Column) -> Column:
-    el, ep = lvl - 1, pos - 1  # strings belong to the <script> element itself
-    p1 = _matches(raw, JS_STRING_RE, 1, "js_string", el, ep, 1, 1, T.is_translatable)
-    p2 = _matches(raw, JSON_TEXT_RE, 1, "json_text", el, ep, 1, 2, T.is_translatable)
-    p3 = _matches(raw, JSON_KEY_RE, 1, "json_key", el, ep, 1, 3, T.is_translatable)
-    keys = F.regexp_extract_all(raw, F.lit(JSON_KV_RE), 1)
-    vals = F.regexp_extract_all(raw, F.lit(JSON_KV_RE), 2)
-    p4 = F.filter(
-        F.transform(keys, lambda k, j: F.struct(k.alias("k"), _cand(T.trim_ws(F.element_at(vals, j + 1)),
-                                                                   "json_kv", None, el, ep, 1, 4, j, 0).alias("c"))),
-        lambda x: x["k"].isin(*JSON_KV_KEYS) & T.is_translatable(x["c"]["text"]),
-    )
-    return F.concat(p1, p2, p3, F.transform(p4, lambda x: x["c"]))
+    src = f"try_element_at(filter({arr}, s -> s.name = 'src' AND {sql_first(arr, 's')}), 1)"
+    v = T.sql_trim(T.sql_decode(f"{src}.value", "fp"))
+    b64 = (f"CASE WHEN instr({v}, {T.sql_str(IFRAME_SRC_MARK)}) > 0 AND instr({v}, ',') > 0 "
+           f"THEN substring({v}, instr({v}, ',') + 1) END")
+    return (f"CASE WHEN {b64} RLIKE {T.sql_str(STRICT_B64_RE)} AND length({b64}) % 4 = 0 "
+            f"THEN try_validate_utf8(CAST(try_to_binary({b64}, 'base64') AS STRING)) END")
 
 
-def _attr_candidates(raw: Column, lvl: Column, pos: Column, tag: Column, iframe_mode: str) -> Column:
-    attrs = attr_table(raw)
-    kept = F.filter(attrs, lambda x: x["name"].isin(*T.TRANSLATABLE_ATTRS) & x["first"])
-    cands = F.transform(kept, lambda x: _cand(T.trim_ws(T.decode_entities(x["value"])), "attr", x["name"],
-                                             lvl, pos, 0, x["i"], 0, 0))
-    cands = F.filter(cands, lambda c: T.is_attr_kept(c["text"]))
+def sql_iframe_src_i(arr: str) -> str:
+    return f"try_element_at(filter({arr}, s -> s.name = 'src' AND {sql_first(arr, 's')}), 1).i"
+
+
+def _sql_attr_candidates(iframe_mode: str) -> str:
+    names = ", ".join(T.sql_str(n) for n in T.TRANSLATABLE_ATTRS)
+    kept = f"filter(a0, a -> a.name IN ({names}) AND {sql_first('a0', 'a')})"
+    cand = _sql_cand(T.sql_trim(T.sql_decode("a.value")), "attr", "a.name", "level", "pos", 0, "a.i", 0, 0)
+    cands = f"filter(transform({kept}, a -> {cand}), c -> {T.sql_attr_kept('c.text')})"
     if iframe_mode != "repaired":
         return cands
-    src_i = F.element_at(F.filter(attrs, lambda x: (x["name"] == "src") & x["first"]), 1)["i"]
-    h = iframe_html(attrs)
-    txt = _matches(h, IFRAME_TEXT_RE, 1, "iframe_text", lvl, pos, 0, src_i,
-                   lambda t: (T.byte_len(t) > IFRAME_TEXT_MIN_BYTES) & T.has_word_char(t))
-    phr = _matches(h, IFRAME_PHRASE_RE, 0, "iframe_phrase", lvl, pos, 0, src_i,
-                   lambda t: (T.byte_len(t) > IFRAME_PHRASE_MIN_BYTES) & (T.word_count(t) <= IFRAME_PHRASE_MAX_WORDS))
-    # iframe strings sort after the attribute's own position: shift b by pass
-    txt = F.transform(txt, lambda c: c.withField("o_b", F.lit(1)).withField("o_c", c["o_b"]))
-    phr = F.transform(phr, lambda c: c.withField("o_b", F.lit(2)).withField("o_c", c["o_b"]))
-    frame = F.when(tag == "iframe", F.concat(F.coalesce(txt, F.array()), F.coalesce(phr, F.array())))
-    return F.concat(cands, F.coalesce(frame, F.array().cast(_CAND_TYPE)))
+    h, si = sql_iframe_html("a0"), sql_iframe_src_i("a0")
+    txt = _sql_matches(h, IFRAME_TEXT_RE, 1, "iframe_text", "level", "pos", 0, si,
+                       lambda t: f"(octet_length({t}) > {IFRAME_TEXT_MIN_BYTES} AND {t} RLIKE {T.sql_str(T.NOT_WS_PUNCT)})")
+    phr = _sql_matches(h, IFRAME_PHRASE_RE, 0, "iframe_phrase", "level", "pos", 0, si,
+                       lambda t: f"(octet_length({t}) > {IFRAME_PHRASE_MIN_BYTES} AND "
+                                 f"{T.sql_word_count(t)} <= {IFRAME_PHRASE_MAX_WORDS})")
+    # iframe strings sort after the src attribute itself: (a = src piece, b = pass, c = match)
+    shift = lambda arr, k: f"transform({arr}, c -> named_struct('text', c.text, 'kind', c.kind, 'attr', c.attr, " \
+        f"'o_level', c.o_level, 'o_pos', c.o_pos, 'o_phase', c.o_phase, 'o_a', c.o_a, 'o_b', {k}, 'o_c', c.o_b))"
+    frame = (f"CASE WHEN tag = 'iframe' THEN concat(coalesce({shift(txt, 1)}, array()), "
+             f"coalesce({shift(phr, 2)}, array())) END")
+    return f"concat({cands}, coalesce({frame}, CAST(array() AS {_CAND_TYPE})))"
 
 
 def candidates(tokens: DataFrame, iframe_mode: str = "off") -> DataFrame:
-    """Every extracted string with its visiting-order key, before dedupe."""
-    kind, raw, lvl, pos, tag = (F.col(c) for c in ("kind", "raw", "level", "pos", "tag"))
-    text_c = F.array(_cand(T.trim_ws(T.decode_entities(raw)), "text", None, lvl, pos, 0, 0, 0, 0))
-    style_c = F.array(_cand(T.trim_ws(raw), "text", None, lvl, pos, 0, 0, 0, 0))
-    keep_text = lambda a: F.filter(a, lambda c: T.is_text_node_kept(c["text"]))
-    has_attr = (kind == "open") & raw.rlike(ATTR_PREFILTER_RE)
-    arr = (
-        F.when(kind == "text", keep_text(text_c))
-        .when((kind == "rawtext") & (tag == "style"), keep_text(style_c))
-        .when((kind == "rawtext") & (tag == "script"), _script_candidates(raw, lvl, pos))
-        .when(has_attr, _attr_candidates(raw, lvl, pos, tag, iframe_mode))
-    )
-    c = tokens.select("page_id", "tag", F.explode(arr.cast(_CAND_TYPE)).alias("c"))
+    """Every extracted string with its visiting-order key, before dedupe (one pass)."""
+    t = with_pieces(tokens, f"kind = 'open' AND raw RLIKE {T.sql_str(ATTR_PREFILTER_RE)}")
+    text_c = _sql_cand(T.sql_trim(T.sql_decode("raw")), "text", "NULL", "level", "pos", 0, 0, 0, 0)
+    style_c = _sql_cand(T.sql_trim("raw"), "text", "NULL", "level", "pos", 0, 0, 0, 0)
+    arr = (f"CASE WHEN kind = 'text' THEN filter(array({text_c}), c -> {T.sql_text_kept('c.text')}) "
+           f"WHEN kind = 'rawtext' AND tag = 'style' THEN filter(array({style_c}), c -> {T.sql_text_kept('c.text')}) "
+           f"WHEN kind = 'rawtext' AND tag = 'script' THEN {_sql_script_candidates()} "
+           f"WHEN a0 IS NOT NULL THEN {_sql_attr_candidates(iframe_mode)} END")
+    c = t.select("page_id", "tag", F.explode(F.expr(f"CAST(({arr}) AS {_CAND_TYPE})")).alias("c"))
     return c.select("page_id", *[F.col(f"c.{f}").alias(f) for f in _CAND_FIELDS], "tag")
 
 

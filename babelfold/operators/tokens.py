@@ -13,9 +13,11 @@ size guard, never by the corpus.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from babelfold.functions import text as T
+
 # --- fixed values ----------------------------------------------------------------
 HTML_SPACE = r"\t\n\f\r "
 TOKEN_RE = (
@@ -36,25 +38,27 @@ VOID_TAGS = (
 # ----------------------------------------------------------------------------------
 
 TAG_NAME_RE = r"^</?([a-zA-Z][^\t\n\f\r />]*)"
+BLOCK_CLOSE_TAG_RE = r"(</[a-zA-Z]+[\t\n\f\r ]*>)\z"
 
 TOKEN_COLUMNS = ["page_id", "pos", "kind", "tag", "level", "raw"]
 
 
-def _split_block(t: Column) -> Column:
-    """Array of (raw, is_body, parent) for one regex match."""
-    is_block = t.rlike(RAWTEXT_BLOCK_RE) & t.rlike(BLOCK_CLOSE_RE)
-    open_tag = F.regexp_extract(t, "^(<[^>]*>)", 1)
-    close_tag = F.regexp_extract(t, r"(</[a-zA-Z]+[\t\n\f\r ]*>)\z", 1)
-    body = F.substring(t, F.length(open_tag) + 1, F.length(t) - F.length(open_tag) - F.length(close_tag))
-    parent = F.lower(F.regexp_extract(t, RAWTEXT_BLOCK_RE, 1))
-    mk = lambda raw, body_flag: F.struct(raw.alias("raw"), F.lit(body_flag).alias("is_body"),
-                                         parent.alias("parent"))
-    return F.when(is_block, F.array(mk(open_tag, False), mk(body, True), mk(close_tag, False))).otherwise(
-        F.array(F.struct(t.alias("raw"), F.lit(False).alias("is_body"), F.lit(None).cast("string").alias("parent")))
-    )
+def _sql_flat_tokens(html: str) -> str:
+    """SQL text: regex matches of a page, script/style blocks split in three."""
+    t = "t"
+    op = f"regexp_extract({t}, '^(<[^>]*>)', 1)"
+    cl = f"regexp_extract({t}, {T.sql_str(BLOCK_CLOSE_TAG_RE)}, 1)"
+    body = f"substring({t}, length({op}) + 1, length({t}) - length({op}) - length({cl}))"
+    parent = f"lower(regexp_extract({t}, {T.sql_str(RAWTEXT_BLOCK_RE)}, 1))"
+    mk = lambda raw, b, par: f"named_struct('raw', {raw}, 'is_body', {b}, 'parent', {par})"
+    split = (f"CASE WHEN {t} RLIKE {T.sql_str(RAWTEXT_BLOCK_RE)} AND {t} RLIKE {T.sql_str(BLOCK_CLOSE_RE)} "
+             f"THEN array({mk(op, 'false', parent)}, {mk(body, 'true', parent)}, {mk(cl, 'false', parent)}) "
+             f"ELSE array({mk(t, 'false', 'CAST(NULL AS STRING)')}) END")
+    return (f"filter(flatten(transform(regexp_extract_all({html}, {T.sql_str(TOKEN_RE)}, 0), {t} -> {split})), "
+            f"x -> x.raw <> '')")
 
 
-def tokenize(pages: DataFrame, html_col: str = "html") -> DataFrame:
+def tokenize(pages: DataFrame, html_col: str = "html", with_level: bool = True) -> DataFrame:
     """``pages(page_id, html)`` -> ``tokens(page_id, pos, kind, tag, level, raw)``.
 
     kind: open | close | text | rawtext | comment | decl.  ``rawtext`` is the
@@ -62,31 +66,31 @@ def tokenize(pages: DataFrame, html_col: str = "html") -> DataFrame:
     decoding).  Expects ``pages`` hash-partitioned on ``page_id`` (see
     :func:`partition_pages`) so the window adds no exchange.
     """
-    matches = F.regexp_extract_all(F.col(html_col), F.lit(TOKEN_RE), 0)
-    flat = F.filter(F.flatten(F.transform(matches, _split_block)), lambda x: x["raw"] != "")
-    t = pages.select("page_id", F.posexplode(flat).alias("pos", "tok"))
-    raw = F.col("tok.raw")
-    kind = (
-        F.when(F.col("tok.is_body"), F.lit("rawtext"))
-        .when(raw.startswith("<!--") & raw.endswith("-->"), F.lit("comment"))
-        .when(raw.rlike("^<[!?]"), F.lit("decl"))
-        .when(raw.rlike("^</[a-zA-Z]"), F.lit("close"))
-        .when(raw.rlike("^<[a-zA-Z]"), F.lit("open"))
-        .otherwise(F.lit("text"))
+    t = pages.select("page_id", F.posexplode(F.expr(_sql_flat_tokens(f"`{html_col}`"))).alias("pos", "tok"))
+    void = ", ".join(T.sql_str(v) for v in VOID_TAGS)
+    t = t.selectExpr(
+        "page_id", "pos", "tok.raw AS raw", "tok.parent AS parent",
+        """CASE WHEN tok.is_body THEN 'rawtext'
+                WHEN startswith(tok.raw, '<!--') AND endswith(tok.raw, '-->') THEN 'comment'
+                WHEN tok.raw RLIKE '^<[!?]' THEN 'decl'
+                WHEN tok.raw RLIKE '^</[a-zA-Z]' THEN 'close'
+                WHEN tok.raw RLIKE '^<[a-zA-Z]' THEN 'open'
+                ELSE 'text' END AS kind""",
     )
-    t = t.select("page_id", "pos", kind.alias("kind"), raw.alias("raw"), F.col("tok.parent").alias("parent"))
-    tag = (
-        F.when(F.col("kind").isin("open", "close"), F.lower(F.regexp_extract("raw", TAG_NAME_RE, 1)))
-        .when(F.col("kind") == "rawtext", F.col("parent"))
+    t = t.selectExpr(
+        "page_id", "pos", "kind", "raw",
+        f"""CASE WHEN kind IN ('open', 'close') THEN lower(regexp_extract(raw, {T.sql_str(TAG_NAME_RE)}, 1))
+                 WHEN kind = 'rawtext' THEN parent END AS tag""",
     )
-    t = t.withColumn("tag", tag)
-    delta = (
-        F.when((F.col("kind") == "open") & ~F.col("tag").isin(*VOID_TAGS) & ~F.col("raw").endswith("/>"), 1)
-        .when((F.col("kind") == "close") & ~F.col("tag").isin(*VOID_TAGS), -1)
-        .otherwise(0)
+    t = t.selectExpr(
+        "page_id", "pos", "kind", "tag", "raw",
+        f"""CASE WHEN kind = 'open' AND NOT tag IN ({void}) AND NOT endswith(raw, '/>') THEN 1
+                 WHEN kind = 'close' AND NOT tag IN ({void}) THEN -1 ELSE 0 END AS delta""",
     )
+    if not with_level:  # rendering needs positions only: no window, no sort
+        return t.select("page_id", "pos", "kind", "tag", F.lit(None).cast("int").alias("level"), "raw")
     w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    level = F.coalesce(F.sum(delta).over(w), F.lit(0)).cast("int")
+    level = F.coalesce(F.sum("delta").over(w), F.lit(0)).cast("int")
     return t.select("page_id", "pos", "kind", "tag", level.alias("level"), "raw")
 
 

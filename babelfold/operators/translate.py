@@ -30,6 +30,7 @@ ERROR_CLASSES = ("network", "parse", "file", "api", "config", "input", "internal
 
 RESPONSE_SCHEMA = ("page_id long, batch_idx long, n long, response string, "
                    "error_class string, error_message string")
+ITEMS_TYPE = "array<struct<seq:bigint,text:string>>"
 
 
 class TranslationError(Exception):
@@ -105,6 +106,7 @@ def _map_batches(factory: Callable[[], Callable[[str], str]], group_col: str):
             yield pd.DataFrame({
                 "page_id": pdf[group_col].astype("int64"), "batch_idx": pdf["batch_idx"].astype("int64"),
                 "n": pdf["n"].astype("int64"), "response": resp, "error_class": ecls, "error_message": emsg,
+                **({"items": pdf["items"]} if "items" in pdf.columns else {}),
             })
 
     return run
@@ -117,17 +119,20 @@ def translate_batches(batches: DataFrame, translator, max_parallel: int | None =
     ``n`` (the group's segment count) rides along for the bound check of
     :func:`babelfold.operators.responses.scatter`.
     """
+    carry = ["items"] if "items" in batches.columns else []
     if isinstance(translator, NativeTranslator):
         return batches.select(
             F.col(group_col).alias("page_id"), "batch_idx", F.col("n").cast("long").alias("n"),
             translator.fn(F.col("payload")).alias("response"),
             F.lit(None).cast("string").alias("error_class"), F.lit(None).cast("string").alias("error_message"),
+            *carry,
         )
     if not isinstance(translator, PythonTranslator):
         plain = translator  # a plain callable payload -> body
         translator = PythonTranslator(lambda: plain)
-    src = batches.select(group_col, "batch_idx", "n", "payload")
+    src = batches.select(group_col, "batch_idx", "n", "payload", *carry)
     if max_parallel:
         # caps concurrent calls to the service; costs one shuffle of the payloads
         src = src.repartition(int(max_parallel), group_col, "batch_idx")
-    return src.mapInPandas(_map_batches(translator.factory, group_col), RESPONSE_SCHEMA)
+    schema = RESPONSE_SCHEMA + (f", items {ITEMS_TYPE}" if carry else "")
+    return src.mapInPandas(_map_batches(translator.factory, group_col), schema)

@@ -322,7 +322,7 @@ applied AS (
          ELSE p.piece END AS out
   FROM pieces p LEFT JOIN tmap m ON p.page_id = m.page_id AND p.key = m.text),
 rendered AS (
-  SELECT page_id, string_agg(out, '' ORDER BY pos, i) AS html, count_if(applied) AS n_applied
+  SELECT page_id, string_agg(out, '' ORDER BY pos, i) AS html, CAST(count_if(applied) AS BIGINT) AS n_applied
   FROM applied GROUP BY page_id)"""
 
 

@@ -39,19 +39,21 @@ class PipelineResult:
     rejected: DataFrame       # page_id, error_class, error_message (oversized pages)
 
     def unpersist(self) -> None:
-        for df in (self.tokens, self.segments):
-            df.unpersist()
+        self.tokens.unpersist()
 
 
 def translate_pages(pages: DataFrame, translator=None, concurrent: int = B.DEFAULT_CONCURRENT_BATCHES,
                     batch_size: int | None = None, iframe_mode: str = "off", escape_newlines: bool = False,
                     max_parallel: int | None = None, max_page_bytes: int = MAX_PAGE_BYTES,
                     num_partitions: int | None = None, checkpoint_responses: bool | None = None,
-                    persist: bool = True) -> PipelineResult:
-    """Translate every page.  ``persist`` keeps the two fan-out points (tokens:
-    extraction and apply; segments: batching and the translation map) so the
-    tokenizer runs once per page; blocks spill to disk and are recomputed from
-    lineage if an executor is lost."""
+                    persist: bool = False) -> PipelineResult:
+    """Translate every page.
+
+    Plan: one exchange of the pages on ``page_id``; extraction, batching,
+    translation, the map and rendering all reuse it (no cache is needed: the
+    map is built from the responses, and rendering re-tokenises without the
+    depth window).  ``persist=True`` keeps the tokens instead (one tokenising
+    pass, at the cost of cache storage and exchanges after the cache)."""
     translator = translator or TR.prefix("zh")
     src = pages.select("page_id", "html")
     ok = within_size(F.col("html"), max_page_bytes)
@@ -63,19 +65,27 @@ def translate_pages(pages: DataFrame, translator=None, concurrent: int = B.DEFAU
     if persist:
         tokens = tokens.persist(StorageLevel.MEMORY_AND_DISK)
     segments = S.extract_segments(tokens, iframe_mode)
-    if persist:
-        segments = segments.persist(StorageLevel.MEMORY_AND_DISK)
     planned = B.plan_batches(segments, concurrent, batch_size)
     batches = B.build_payload(planned, escape_newlines)
     responses = TR.translate_batches(batches, translator, max_parallel)
     if checkpoint_responses or (checkpoint_responses is None and isinstance(translator, TR.PythonTranslator)):
         responses = cut_lineage(responses)
+    # the map comes from the responses alone (each batch carries its items):
+    # no second read of the segments, one aggregate keyed (page_id, seq)
+    full = R.translation_map_from_responses(responses)
+    tmap = full.filter(F.col("text").isNotNull() & F.col("translation").isNotNull()).select(
+        "page_id", "text", "translation")
+    # rendering re-reads the partitioned pages: tokens without the depth window
+    render_tokens = tokens if persist else TK.tokenize(part, with_level=False)
+    applied = A.applied_pieces(render_tokens, tmap)
+    rendered = A.render(applied)
+    # join against the already partitioned pages (no second shuffle of the html);
+    # oversized pages were never tokenised and pass through unchanged
+    out = A.passthrough(part, rendered).unionByName(
+        src.filter(~ok).select("page_id", "html", F.lit(0).cast("long").alias("n_applied")))
+    # stage views for reports (lazy; not on the path of ``pages``)
     ok_resp = responses.filter(F.col("error_class").isNull()).select(
         "page_id", "batch_idx", "n", R.unwrap_response(F.col("response")).alias("text"))
     marked = R.parse_markers(ok_resp)
-    translations = R.scatter(marked)
-    tmap = A.translation_map(segments, translations)
-    applied = A.applied_pieces(tokens, tmap)
-    rendered = A.render(applied)
-    out = A.passthrough(src, rendered)
+    translations = full.filter(F.col("translation").isNotNull()).select("page_id", "seq", "translation")
     return PipelineResult(out, tokens, segments, batches, responses, marked, translations, tmap, applied, rejected)

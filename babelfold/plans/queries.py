@@ -234,9 +234,10 @@ def strip_resources(tokens: DataFrame, css: bool = True, js: bool = False, image
         drop_attr.append("on")
     out = F.when(dropped, F.lit("")).otherwise(raw)
     if drop_attr:
-        has_on = (kind == "open") & raw.rlike(r"(?i)[\t\n\f\r /]on[a-z]")
-        kept = F.filter(S.attr_table(raw), lambda a: ~F.coalesce(a["name"].startswith("on"), F.lit(False)))
-        out = F.when(~dropped & has_on, F.array_join(F.transform(kept, lambda a: a["piece"]), "")).otherwise(out)
+        tokens = S.with_pieces(tokens, r"kind = 'open' AND raw RLIKE '(?i)[\\t\\n\\f\\r /]on[a-z]'")
+        kept = F.expr("array_join(transform(filter(a0, a -> NOT coalesce(startswith(a.name, 'on'), false)), "
+                      "a -> a.piece), '')")
+        out = F.when(~dropped & F.col("a0").isNotNull(), kept).otherwise(out)
     return tokens.groupBy("page_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", out.alias("o")))), lambda x: x["o"]),
                      "").alias("html"))
@@ -333,10 +334,11 @@ def q_seg_js_string_pages(spark, sf_dir):
 @register("iframe_decode", O.with_(O.cte_tokens(D.IFRAME_PAGES_SQL), O.cte_iframes())
           + "\nSELECT page_id, pos, CAST(src_i AS INTEGER) AS src_i, h AS html FROM iframes")
 def q_iframe_decode(spark, sf_dir):
-    t = _tokens(spark, sf_dir, D.iframe_pages(spark, sf_dir)).filter((F.col("kind") == "open") & (F.col("tag") == "iframe"))
-    a = S.attr_table(F.col("raw"))
-    src = F.try_element_at(F.filter(a, lambda x: (x["name"] == "src") & x["first"]), F.lit(1))
-    return t.filter(src.isNotNull()).select("page_id", "pos", src["i"].alias("src_i"), S.iframe_html(a).alias("html"))
+    t = _tokens(spark, sf_dir, D.iframe_pages(spark, sf_dir))
+    t = S.with_pieces(t, "kind = 'open' AND tag = 'iframe'")
+    t = t.filter(F.expr(f"{S.sql_iframe_src_i('a0')} IS NOT NULL"))
+    return t.select("page_id", "pos", F.expr(S.sql_iframe_src_i("a0")).alias("src_i"),
+                    F.expr(S.sql_iframe_html("a0")).alias("html"))
 
 
 @register("seg_iframe_text", _cand_sql(D.IFRAME_PAGES_SQL, "iframe_text", "repaired"))
@@ -419,7 +421,8 @@ CONV_SEGS_SQL = "(SELECT conv_id, turn AS seq, text FROM conversations)"
 def q_batch_payload(spark, sf_dir):
     c = D.table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("seq"), "text")
     c = c.repartition("conv_id")
-    return B.build_payload(B.plan_batches(c, group_col="conv_id"), group_col="conv_id")
+    b = B.build_payload(B.plan_batches(c, group_col="conv_id"), group_col="conv_id")
+    return b.select("conv_id", "batch_idx", "payload", "n_items", "first_seq", "n")
 
 
 @register("request_body", O.with_(TOK_PAGES, O.cte_segments(), O.cte_batches())
@@ -538,8 +541,9 @@ def q_unapplied_report(spark, sf_dir):
 
 
 @register("applied_count", PIPE_LIMITED + """
-SELECT page_id, count_if(applied AND pkind <> 'attr') AS n_text_applied, count_if(applied AND pkind = 'attr') AS n_attr_applied,
-  count_if(applied) AS n_applied FROM applied GROUP BY page_id""")
+SELECT page_id, CAST(count_if(applied AND pkind <> 'attr') AS BIGINT) AS n_text_applied,
+  CAST(count_if(applied AND pkind = 'attr') AS BIGINT) AS n_attr_applied,
+  CAST(count_if(applied) AS BIGINT) AS n_applied FROM applied GROUP BY page_id""")
 def q_applied_count(spark, sf_dir):
     r = _pipe(spark, sf_dir, translator=prefix_limited(LANG, FAIL_OVER_BYTES))
     return A.applied_count(r.applied)
