@@ -66,17 +66,24 @@ def hit_rate(hits, misses) -> Column:
     return F.when(h + m > 0, F.try_divide(h.cast("double"), (h + m).cast("double")))
 
 
-def run_metrics(pages: DataFrame, out_pages: DataFrame, segments: DataFrame, batches: DataFrame,
-                responses: DataFrame, marked: DataFrame, applied_counts: DataFrame) -> DataFrame:
-    """One row per input page; every count is a page-level aggregate joined on page_id."""
-    seg = segments.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_segments"))
-    bat = batches.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_batches"))
-    err = responses.groupBy("page_id").agg(F.count("error_class").alias("n_failed_batches"))
-    acc = marked.filter(F.col("seq") < F.col("n")).groupBy("page_id").agg(F.count(F.lit(1)).alias("n_accepted"))
-    out = out_pages.select("page_id", F.octet_length("html").alias("bytes_out"))
-    j = pages.select("page_id", F.octet_length("html").alias("bytes_in"))
-    for df in (out, seg, bat, err, acc, applied_counts.select("page_id", "n_applied")):
-        j = j.join(df, "page_id", "left")
+def run_metrics(pages: DataFrame, out_pages: DataFrame, responses: DataFrame) -> DataFrame:
+    """One row per input page.
+
+    The batch, failure and acceptance counts come from ONE aggregate over the
+    responses (each carries its page's segment count ``n``); applied counts
+    and output bytes come with the translated pages.  Two page-level inputs,
+    one join on ``page_id``.
+    """
+    from babelfold.operators.responses import sql_marked_lines, unwrap_response
+
+    r = responses.withColumn("text", unwrap_response(F.col("response")))
+    acc = F.expr(f"CASE WHEN error_class IS NULL THEN size(coalesce({sql_marked_lines()}, array())) ELSE 0 END")
+    stats = r.groupBy("page_id").agg(
+        F.max("n").alias("n_segments"), F.count(F.lit(1)).alias("n_batches"),
+        F.count("error_class").alias("n_failed_batches"), F.sum(acc).alias("n_accepted"))
+    out = out_pages.select("page_id", F.octet_length("html").alias("bytes_out"), "n_applied")
+    j = pages.select("page_id", F.octet_length("html").alias("bytes_in")).join(out, "page_id", "left") \
+        .join(stats, "page_id", "left")
     counts = ["n_segments", "n_batches", "n_failed_batches", "n_accepted", "n_applied"]
     return j.select("page_id", "bytes_in", "bytes_out", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
                                                           for c in counts])

@@ -97,14 +97,18 @@ def failed_batches(responses: DataFrame) -> DataFrame:
 
 
 def sql_marked_lines(text: str = "text", batch: str = "batch_idx", n: str = "n") -> str:
-    """SQL text: accepted marker lines of a response as array<struct<seq, tr, ord>>."""
-    ln = T.sql_trim("l")
+    """SQL text: accepted marker lines of a response as array<struct<seq, tr, ord>>.
+
+    Each line is trimmed once; the marker pattern runs only on lines that start
+    with ``[``.
+    """
     m = T.sql_str(MARKER_RE)
-    parsed = (f"transform(split({text}, '\\n', -1), (l, i) -> named_struct("
-              f"'seq', CASE WHEN {ln} RLIKE {m} THEN try_cast(regexp_extract({ln}, {m}, 1) AS BIGINT) END, "
-              f"'tr', {T.sql_trim(f'regexp_extract({ln}, {m}, 2)')}, "
-              f"'ord', {batch} * 4294967296 + i))")
-    return f"filter({parsed}, x -> x.seq IS NOT NULL AND x.tr <> '' AND x.seq < {n})"
+    trimmed = f"transform(split({text}, '\\n', -1), l -> {T.sql_trim('l')})"
+    parsed = (f"transform({trimmed}, (l, i) -> CASE WHEN startswith(l, '[') AND l RLIKE {m} THEN named_struct("
+              f"'seq', try_cast(regexp_extract(l, {m}, 1) AS BIGINT), "
+              f"'tr', {T.sql_trim(f'regexp_extract(l, {m}, 2)')}, "
+              f"'ord', {batch} * 4294967296 + i) END)")
+    return f"filter({parsed}, x -> x IS NOT NULL AND x.seq IS NOT NULL AND x.tr <> '' AND x.seq < {n})"
 
 
 def translation_map_from_responses(responses: DataFrame) -> DataFrame:

@@ -662,7 +662,7 @@ FROM pages p LEFT JOIN rendered r ON p.page_id = r.page_id""")
 def q_run_metrics(spark, sf_dir):
     pages = _pages(spark, sf_dir)
     r = _pipe(spark, sf_dir)
-    return M.run_metrics(pages, r.pages, r.segments, r.batches, r.responses, r.marked, A.applied_count(r.applied))
+    return M.run_metrics(pages, r.pages, r.responses)
 
 
 # ======================= 2.8 reuse =======================================================
