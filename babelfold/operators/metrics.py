@@ -87,3 +87,9 @@ def run_metrics(pages: DataFrame, out_pages: DataFrame, responses: DataFrame) ->
     counts = ["n_segments", "n_batches", "n_failed_batches", "n_accepted", "n_applied"]
     return j.select("page_id", "bytes_in", "bytes_out", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
                                                           for c in counts])
+
+
+def job_totals(per_page: DataFrame) -> DataFrame:
+    """Roll the per-page run metrics up to one job row (a single global aggregate)."""
+    counts = ["bytes_in", "bytes_out", "n_segments", "n_batches", "n_failed_batches", "n_accepted", "n_applied"]
+    return per_page.agg(F.count(F.lit(1)).alias("n_pages"), *[F.sum(c).alias(c) for c in counts])

@@ -18,6 +18,7 @@ from babelfold.operators import apply as A
 from babelfold.operators import batching as B
 from babelfold.operators import memory as MEM
 from babelfold.operators import metrics as M
+from babelfold.operators import resources as RES
 from babelfold.operators import responses as R
 from babelfold.operators import segments as S
 from babelfold.operators import tokens as TK
@@ -223,26 +224,6 @@ def q_provenance_header(spark, sf_dir):
                                         .alias("html"))
 
 
-# strip_resources: URL mode keeps css and images, drops scripts and on* handlers
-def strip_resources(tokens: DataFrame, css: bool = True, js: bool = False, images: bool = True) -> DataFrame:
-    """Drop scripts / styles / images by switch; rebuilds each page from its tokens."""
-    drop_tags = ([] if js else ["script"]) + ([] if css else ["style"]) + ([] if images else ["img"])
-    kind, tag, raw = F.col("kind"), F.col("tag"), F.col("raw")
-    dropped = tag.isin(*drop_tags) if drop_tags else F.lit(False)
-    drop_attr = []
-    if not js:
-        drop_attr.append("on")
-    out = F.when(dropped, F.lit("")).otherwise(raw)
-    if drop_attr:
-        tokens = S.with_pieces(tokens, r"kind = 'open' AND raw RLIKE '(?i)[\\t\\n\\f\\r /]on[a-z]'")
-        kept = F.expr("array_join(transform(filter(a0, a -> NOT coalesce(startswith(a.name, 'on'), false)), "
-                      "a -> a.piece), '')")
-        out = F.when(~dropped & F.col("a0").isNotNull(), kept).otherwise(out)
-    return tokens.groupBy("page_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", out.alias("o")))), lambda x: x["o"]),
-                     "").alias("html"))
-
-
 @register("strip_resources", O.with_(TOK_PAGES) + f""",
 st AS (SELECT page_id, pos, CASE WHEN tag = 'script' THEN ''
     WHEN kind = 'open' AND regexp_matches(raw, {O.q(r'(?i)[\t\n\f\r /]on[a-z]')})
@@ -250,16 +231,7 @@ st AS (SELECT page_id, pos, CASE WHEN tag = 'script' THEN ''
     ELSE raw END AS o FROM tokens)
 SELECT page_id, string_agg(o, '' ORDER BY pos) AS html FROM st GROUP BY page_id""")
 def q_strip_resources(spark, sf_dir):
-    return strip_resources(_tokens(spark, sf_dir))
-
-
-def page_title(tokens: DataFrame) -> DataFrame:
-    """Text of the first text token that directly follows a ``<title>`` tag."""
-    from pyspark.sql import Window
-    w = Window.partitionBy("page_id").orderBy("pos")
-    t = tokens.withColumn("prev_tag", F.lag("tag").over(w)).withColumn("prev_kind", F.lag("kind").over(w))
-    t = t.filter((F.col("kind") == "text") & (F.col("prev_kind") == "open") & (F.col("prev_tag") == "title"))
-    return t.groupBy("page_id").agg(F.min_by(T.trim_ws(T.decode_entities(F.col("raw"))), F.col("pos")).alias("title"))
+    return RES.strip_resources(_tokens(spark, sf_dir))
 
 
 @register("page_title", O.with_(TOK_PAGES) + f""",
@@ -268,7 +240,7 @@ pt AS (SELECT page_id, pos, kind, raw, lag(tag) OVER (PARTITION BY page_id ORDER
 SELECT page_id, arg_min({O.trim_ws(O.decode('raw'))}, pos) AS title FROM pt
 WHERE kind = 'text' AND prev_kind = 'open' AND prev_tag = 'title' GROUP BY page_id""")
 def q_page_title(spark, sf_dir):
-    return page_title(_tokens(spark, sf_dir))
+    return RES.page_title(_tokens(spark, sf_dir))
 
 
 @register("sink_translated", None)

@@ -48,8 +48,14 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder configured on the session (required)."""
+    """The shared checkpoint folder configured on the session.
+
+    Required on a cluster.  Only a local-mode session (tests, a laptop) without
+    one gets a scratch folder of its own.
+    """
     d = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not d and spark.sparkContext.master.startswith("local"):
+        d = tempfile.mkdtemp(prefix="babelfold-ckpt-")
     if not d:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     if spark.sparkContext.getCheckpointDir() is None:
