@@ -79,10 +79,13 @@ def translate_pages(pages: DataFrame, translator=None, concurrent: int = B.DEFAU
     render_tokens = tokens if persist else TK.tokenize(part, with_level=False)
     applied = A.applied_pieces(render_tokens, tmap)
     rendered = A.render(applied)
-    # join against the already partitioned pages (no second shuffle of the html);
-    # oversized pages were never tokenised and pass through unchanged
-    out = A.passthrough(part, rendered).unionByName(
-        src.filter(~ok).select("page_id", "html", F.lit(0).cast("long").alias("n_applied")))
+    # Every non-empty page has at least one token, so ``rendered`` already holds
+    # it (unchanged bytes when nothing applied); only empty/NULL pages and the
+    # oversized ones (never tokenised) are added back.  A union, not a join:
+    # the pages' html is never sorted or shuffled a second time.
+    no_tokens = part.filter(F.col("html").isNull() | (F.col("html") == ""))
+    out = rendered.select("page_id", "html", "n_applied").unionByName(
+        no_tokens.unionByName(src.filter(~ok)).select("page_id", "html", F.lit(0).cast("long").alias("n_applied")))
     # stage views for reports (lazy; not on the path of ``pages``)
     ok_resp = responses.filter(F.col("error_class").isNull()).select(
         "page_id", "batch_idx", "n", R.unwrap_response(F.col("response")).alias("text"))

@@ -143,3 +143,9 @@ def test_oversized_page_passes_through(spark):
     r = translate_pages(pages_df(spark, [(1, PAGE)]), max_page_bytes=10)
     assert r.pages.first().html == PAGE
     assert r.rejected.first().error_class == "input"
+
+
+def test_empty_and_null_pages_pass_through(spark):
+    r = translate_pages(pages_df(spark, [(1, ""), (2, None), (3, "<p>Hi there</p>")]))
+    out = {x.page_id: x.html for x in r.pages.collect()}
+    assert out == {1: "", 2: None, 3: "<p>zh:Hi there</p>"}
