@@ -56,7 +56,7 @@ def translate_pages(pages: DataFrame, translator=None, concurrent: int = B.DEFAU
     pass, at the cost of cache storage and exchanges after the cache)."""
     translator = translator or TR.prefix("zh")
     src = pages.select("page_id", "html")
-    ok = within_size(F.col("html"), max_page_bytes)
+    ok = F.coalesce(within_size(F.col("html"), max_page_bytes), F.lit(True))  # NULL page: nothing to do
     rejected = src.filter(~ok).select(
         "page_id", F.lit("input").alias("error_class"),
         F.concat(F.lit("page over "), F.lit(str(max_page_bytes)), F.lit(" bytes")).alias("error_message"))
