@@ -1,8 +1,9 @@
 """Page -> ordered token rows, on the JVM.
 
-One alternation regex splits a page into comments, declarations, script and
-style blocks, tags and text; every character of the page lands in exactly one
-token, so joining the tokens in ``pos`` order gives the page back byte for byte.
+One alternation regex finds the markup (comments, declarations, script and
+style blocks, tags); the text is the gaps between its matches.  Every
+character of the page lands in exactly one token, so joining the tokens in
+``pos`` order gives the page back byte for byte.
 Script/style blocks are split into open tag, raw body and close tag.
 
 ``level`` is the number of elements open before a token (a running sum over the
@@ -20,14 +21,16 @@ from babelfold.functions import text as T
 
 # --- fixed values ----------------------------------------------------------------
 HTML_SPACE = r"\t\n\f\r "
-TOKEN_RE = (
+# Markup only: comments, script/style blocks, tags, declarations.  Text is
+# the gaps between matches (``split`` on the same pattern), so no pattern
+# repeats a group: Java's regex engine recurses on group repetition, and a
+# page with many bare '<' would otherwise overflow the task's stack.
+MARKUP_RE = (
     r"<!--(?s:.*?)-->"
     r"|(?i:<script\b[^>]*>(?s:.*?)</script[\t\n\f\r ]*>)"
     r"|(?i:<style\b[^>]*>(?s:.*?)</style[\t\n\f\r ]*>)"
     r"|</?[a-zA-Z][^>]*>"
     r"|<[!?][^>]*>"
-    r"|(?:[^<]|<[^a-zA-Z/!?<])[^<]*(?:<[^a-zA-Z/!?<][^<]*)*"
-    r"|<"
 )
 RAWTEXT_BLOCK_RE = r"(?i)^<(script|style)\b"
 BLOCK_CLOSE_RE = r"(?i)</(script|style)[\t\n\f\r ]*>\z"
@@ -44,18 +47,22 @@ TOKEN_COLUMNS = ["page_id", "pos", "kind", "tag", "level", "raw"]
 
 
 def _sql_flat_tokens(html: str) -> str:
-    """SQL text: regex matches of a page, script/style blocks split in three."""
-    t = "t"
+    """SQL text: gap/markup tokens of a page in order; script/style blocks in three."""
+    t = "m"
     op = f"regexp_extract({t}, '^(<[^>]*>)', 1)"
     cl = f"regexp_extract({t}, {T.sql_str(BLOCK_CLOSE_TAG_RE)}, 1)"
     body = f"substring({t}, length({op}) + 1, length({t}) - length({op}) - length({cl}))"
     parent = f"lower(regexp_extract({t}, {T.sql_str(RAWTEXT_BLOCK_RE)}, 1))"
-    mk = lambda raw, b, par: f"named_struct('raw', {raw}, 'is_body', {b}, 'parent', {par})"
-    split = (f"CASE WHEN {t} RLIKE {T.sql_str(RAWTEXT_BLOCK_RE)} AND {t} RLIKE {T.sql_str(BLOCK_CLOSE_RE)} "
-             f"THEN array({mk(op, 'false', parent)}, {mk(body, 'true', parent)}, {mk(cl, 'false', parent)}) "
-             f"ELSE array({mk(t, 'false', 'CAST(NULL AS STRING)')}) END")
-    return (f"filter(flatten(transform(regexp_extract_all({html}, {T.sql_str(TOKEN_RE)}, 0), {t} -> {split})), "
-            f"x -> x.raw <> '')")
+    mk = lambda raw, k, par: f"named_struct('raw', {raw}, 'k', '{k}', 'parent', {par})"
+    nul = "CAST(NULL AS STRING)"
+    markup = (f"CASE WHEN {t} IS NULL THEN array() "
+              f"WHEN {t} RLIKE {T.sql_str(RAWTEXT_BLOCK_RE)} AND {t} RLIKE {T.sql_str(BLOCK_CLOSE_RE)} "
+              f"THEN array({mk(op, 'markup', parent)}, {mk(body, 'body', parent)}, {mk(cl, 'markup', parent)}) "
+              f"ELSE array({mk(t, 'markup', nul)}) END")
+    pat = T.sql_str(MARKUP_RE)
+    pairs = (f"zip_with(split({html}, {pat}, -1), regexp_extract_all({html}, {pat}, 0), "
+             f"(g, {t}) -> concat(array({mk('g', 'gap', nul)}), {markup}))")
+    return f"filter(flatten({pairs}), x -> x.raw IS NOT NULL AND x.raw <> '')"
 
 
 def tokenize(pages: DataFrame, html_col: str = "html", with_level: bool = True) -> DataFrame:
@@ -70,7 +77,8 @@ def tokenize(pages: DataFrame, html_col: str = "html", with_level: bool = True)
     void = ", ".join(T.sql_str(v) for v in VOID_TAGS)
     t = t.selectExpr(
         "page_id", "pos", "tok.raw AS raw", "tok.parent AS parent",
-        """CASE WHEN tok.is_body THEN 'rawtext'
+        """CASE WHEN tok.k = 'body' THEN 'rawtext'
+                WHEN tok.k = 'gap' THEN 'text'
                 WHEN startswith(tok.raw, '<!--') AND endswith(tok.raw, '-->') THEN 'comment'
                 WHEN tok.raw RLIKE '^<[!?]' THEN 'decl'
                 WHEN tok.raw RLIKE '^</[a-zA-Z]' THEN 'close'

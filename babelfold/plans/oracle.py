@@ -114,24 +114,29 @@ def cte_tokens(src: str) -> str:
     close_t = f"regexp_extract(t, {q(r'(</[a-zA-Z]+[\t\n\f\r ]*>)\z')}, 1)"
     body = f"substr(t, length({open_t}) + 1, length(t) - length({open_t}) - length({close_t}))"
     parent = f"lower(regexp_extract(t, {q(TK.RAWTEXT_BLOCK_RE)}, 1))"
-    st = lambda raw, sub, isb, par: (f"struct_pack(raw := {raw}, sub := {sub}, is_body := {isb}, "
-                                     f"parent := {par})")
+    st = lambda raw, sub, k, par: (f"struct_pack(raw := {raw}, sub := {sub}, k := {k}, "
+                                   f"parent := {par})")
     void = inlist(TK.VOID_TAGS)
     return f"""
-tk_a AS (SELECT page_id, regexp_extract_all(html, {q(TK.TOKEN_RE)}) AS ms FROM {src}),
+tk_a AS (SELECT page_id, regexp_split_to_array(html, {q(TK.MARKUP_RE)}) AS gs,
+                 regexp_extract_all(html, {q(TK.MARKUP_RE)}) AS ms FROM {src}),
+tk_g AS (SELECT page_id, unnest(gs) AS t, generate_subscripts(gs, 1) AS mno FROM tk_a),
 tk_m AS (SELECT page_id, unnest(ms) AS t, generate_subscripts(ms, 1) AS mno FROM tk_a),
 tk_s AS (
+  SELECT page_id, mno, {st('t', 0, "'gap'", 'CAST(NULL AS VARCHAR)')} AS s FROM tk_g
+  UNION ALL
   SELECT page_id, mno, unnest(CASE WHEN {blk}
-      THEN [{st(open_t, 0, 'false', parent)}, {st(body, 1, 'true', parent)}, {st(close_t, 2, 'false', parent)}]
-      ELSE [{st('t', 0, 'false', 'CAST(NULL AS VARCHAR)')}] END) AS s
+      THEN [{st(open_t, 1, "'markup'", parent)}, {st(body, 2, "'body'", parent)}, {st(close_t, 3, "'markup'", parent)}]
+      ELSE [{st('t', 1, "'markup'", 'CAST(NULL AS VARCHAR)')}] END) AS s
   FROM tk_m),
 tk_p AS (
   SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY mno, s.sub) - 1 AS INTEGER) AS pos,
-         s.raw AS raw, s.is_body AS is_body, s.parent AS parent
+         s.raw AS raw, s.k AS k, s.parent AS parent
   FROM tk_s WHERE s.raw <> ''),
 tk_k AS (
   SELECT page_id, pos, raw, parent,
-    CASE WHEN is_body THEN 'rawtext'
+    CASE WHEN k = 'body' THEN 'rawtext'
+         WHEN k = 'gap' THEN 'text'
          WHEN starts_with(raw, '<!--') AND suffix(raw, '-->') THEN 'comment'
          WHEN regexp_matches(raw, '^<[!?]') THEN 'decl'
          WHEN regexp_matches(raw, '^</[a-zA-Z]') THEN 'close'

@@ -149,3 +149,10 @@ def test_empty_and_null_pages_pass_through(spark):
     r = translate_pages(pages_df(spark, [(1, ""), (2, None), (3, "<p>Hi there</p>")]))
     out = {x.page_id: x.html for x in r.pages.collect()}
     assert out == {1: "", 2: None, 3: "<p>zh:Hi there</p>"}
+
+
+def test_many_bare_lt_do_not_overflow(spark):
+    html = "<p>" + "a < b " * 200000 + "</p>"
+    tok = TK.tokenize(TK.partition_pages(pages_df(spark, [(1, html)])))
+    rows = tok.orderBy("pos").collect()
+    assert [r.kind for r in rows] == ["open", "text", "close"] and rows[1].raw == "a < b " * 200000
