@@ -20,9 +20,28 @@ DEFAULT_BATCH_SIZE = 25   # declared presets, used only when asked for
 LARGE_BATCH_SIZE = 100
 SOURCE_LANG = "auto"
 DEFAULT_TARGET_LANG = "zh"
+# language codes the reference accepts (case-sensitive)
+SUPPORTED_LANGUAGES = (
+    "zh", "en", "ja", "ko", "fr", "de", "es", "it", "pt", "ru",
+    "ar", "hi", "th", "vi", "id", "ms", "tl", "nl", "sv", "da",
+    "no", "fi", "pl", "cs", "sk", "hu", "ro", "bg", "hr", "sr",
+    "sl", "et", "lv", "lt", "mt", "ga", "cy", "is", "mk", "sq",
+)
 # -----------------------------------------------------------------------------------
 
 
+def lang_supported(col: Column) -> Column:
+    """Membership in the supported codes (case-sensitive); NULL counts as unsupported."""
+    return F.coalesce(col.isin(*SUPPORTED_LANGUAGES), F.lit(False))
+
+
+def check_lang(lang: str) -> str:
+    """Job guard for the target-language parameter."""
+    if lang not in SUPPORTED_LANGUAGES:
+        raise ValueError(f"unsupported target language: {lang!r}")
+    return lang
+
+
 def batch_size_expr(n: Column, concurrent: int = DEFAULT_CONCURRENT_BATCHES, size: int | None = None) -> Column:
     if size is not None:
         return F.lit(max(1, int(size))).cast("long")
@@ -70,6 +89,7 @@ def build_payload(planned: DataFrame, escape_newlines: bool = False, group_col:
 
 def request_json(payload: Column, target_lang: str = DEFAULT_TARGET_LANG,
                  source_lang: str = SOURCE_LANG) -> Column:
-    """The service request body; the target language is a real parameter."""
+    """The service request body; the target language is a real (checked) parameter."""
+    check_lang(target_lang)
     return F.to_json(F.struct(payload.alias("text"), F.lit(source_lang).alias("source_lang"),
                               F.lit(target_lang).alias("target_lang")))

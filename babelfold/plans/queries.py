@@ -359,21 +359,12 @@ def q_is_translatable(spark, sf_dir):
                     T.is_text_node_kept(F.col("text")).alias("text_rule"))
 
 
-# --- fixed values: language codes the reference accepts -----------------------------------
-SUPPORTED_LANGUAGES = (
-    "zh", "en", "ja", "ko", "fr", "de", "es", "it", "pt", "ru",
-    "ar", "hi", "th", "vi", "id", "ms", "tl", "nl", "sv", "da",
-    "no", "fi", "pl", "cs", "sk", "hu", "ro", "bg", "hr", "sr",
-    "sl", "et", "lv", "lt", "mt", "ga", "cy", "is", "mk", "sq",
-)
-
-
-@register("lang_supported", f"""SELECT doc_id, lang, coalesce(lang IN {O.inlist(SUPPORTED_LANGUAGES)}, false) AS supported,
-  coalesce(upper(lang) IN {O.inlist(SUPPORTED_LANGUAGES)}, false) AS supported_upper FROM documents""")
+@register("lang_supported", f"""SELECT doc_id, lang, coalesce(lang IN {O.inlist(B.SUPPORTED_LANGUAGES)}, false) AS supported,
+  coalesce(upper(lang) IN {O.inlist(B.SUPPORTED_LANGUAGES)}, false) AS supported_upper FROM documents""")
 def q_lang_supported(spark, sf_dir):
     d = D.table(spark, sf_dir, "documents")
-    return d.select("doc_id", "lang", F.coalesce(F.col("lang").isin(*SUPPORTED_LANGUAGES), F.lit(False)).alias("supported"),
-                    F.coalesce(F.upper("lang").isin(*SUPPORTED_LANGUAGES), F.lit(False)).alias("supported_upper"))
+    return d.select("doc_id", "lang", B.lang_supported(F.col("lang")).alias("supported"),
+                    B.lang_supported(F.upper("lang")).alias("supported_upper"))
 
 
 # ======================= 2.4 batching ====================================================

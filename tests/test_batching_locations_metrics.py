@@ -81,3 +81,10 @@ def test_ratios(spark):
                               M.hit_rate(F.lit(0), F.lit(0)).alias("h0"), M.hit_rate(F.lit(3), F.lit(1)).alias("h"),
                               *M.size_metrics(F.lit(0), F.lit(10))).first()
     assert r.z is None and r.k == 4.0 and r.h0 is None and r.h == 0.75 and r.change_pct is None
+
+
+def test_lang_guard(spark):
+    got = {r.v: r.ok for r in one_col(spark, ["zh", "en", "xx", "ZH"]).select("v", B.lang_supported(F.col("v")).alias("ok")).collect()}
+    assert got == {"zh": True, "en": True, "xx": False, "ZH": False}
+    with pytest.raises(ValueError):
+        B.request_json(F.lit("x"), "xx")
