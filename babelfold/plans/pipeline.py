@@ -12,11 +12,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from babelfold.operators import apply as A
 from babelfold.operators import batching as B
+from babelfold.operators import memory as MEM
 from babelfold.operators import responses as R
 from babelfold.operators import segments as S
 from babelfold.operators import tokens as TK
@@ -46,7 +47,8 @@ def translate_pages(pages: DataFrame, translator=None, concurrent: int = B.DEFAU
                     batch_size: int | None = None, iframe_mode: str = "off", escape_newlines: bool = False,
                     max_parallel: int | None = None, max_page_bytes: int = MAX_PAGE_BYTES,
                     num_partitions: int | None = None, checkpoint_responses: bool | None = None,
-                    persist: bool = False) -> PipelineResult:
+                    persist: bool = False, memory: DataFrame | None = None,
+                    lang: str = B.DEFAULT_TARGET_LANG) -> PipelineResult:
     """Translate every page.
 
     Plan: one exchange of the pages on ``page_id``; extraction, batching,
@@ -54,7 +56,7 @@ def translate_pages(pages: DataFrame, translator=None, concurrent: int = B.DEFAU
     map is built from the responses, and rendering re-tokenises without the
     depth window).  ``persist=True`` keeps the tokens instead (one tokenising
     pass, at the cost of cache storage and exchanges after the cache)."""
-    translator = translator or TR.prefix("zh")
+    translator = translator or TR.prefix(lang)
     src = pages.select("page_id", "html")
     ok = F.coalesce(within_size(F.col("html"), max_page_bytes), F.lit(True))  # NULL page: nothing to do
     rejected = src.filter(~ok).select(
@@ -65,7 +67,18 @@ def translate_pages(pages: DataFrame, translator=None, concurrent: int = B.DEFAU
     if persist:
         tokens = tokens.persist(StorageLevel.MEMORY_AND_DISK)
     segments = S.extract_segments(tokens, iframe_mode)
-    planned = B.plan_batches(segments, concurrent, batch_size)
+    hits = None
+    to_send = segments
+    if memory is not None:
+        # translation memory: texts already translated are not sent again.  The
+        # memory is probed once per distinct text (a hot text costs one probe);
+        # the misses are renumbered densely per page for the requests.
+        split = MEM.tm_split(segments.select("page_id", "seq", "text"), memory, lang)
+        hits = split.filter("hit").select("page_id", "text", "translation")
+        miss = split.filter("NOT hit").select("page_id", "seq", "text")
+        w = Window.partitionBy("page_id").orderBy("seq")
+        to_send = miss.withColumn("seq", (F.row_number().over(w) - 1).cast("long"))
+    planned = B.plan_batches(to_send, concurrent, batch_size)
     batches = B.build_payload(planned, escape_newlines)
     responses = TR.translate_batches(batches, translator, max_parallel)
     if checkpoint_responses or (checkpoint_responses is None and isinstance(translator, TR.PythonTranslator)):
@@ -75,6 +88,8 @@ def translate_pages(pages: DataFrame, translator=None, concurrent: int = B.DEFAU
     full = R.translation_map_from_responses(responses)
     tmap = full.filter(F.col("text").isNotNull() & F.col("translation").isNotNull()).select(
         "page_id", "text", "translation")
+    if hits is not None:
+        tmap = tmap.unionByName(hits)
     # rendering re-reads the partitioned pages: tokens without the depth window
     render_tokens = tokens if persist else TK.tokenize(part, with_level=False)
     applied = A.applied_pieces(render_tokens, tmap)

@@ -156,3 +156,21 @@ def test_many_bare_lt_do_not_overflow(spark):
     tok = TK.tokenize(TK.partition_pages(pages_df(spark, [(1, html)])))
     rows = tok.orderBy("pos").collect()
     assert [r.kind for r in rows] == ["open", "text", "close"] and rows[1].raw == "a < b " * 200000
+
+
+def test_memory_second_run_sends_nothing(spark):
+    from babelfold.operators import memory as MEM
+    pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet").filter("page_id < 10")
+    first = translate_pages(pages)
+    mem = first.tmap.select(F.lit("zh").alias("lang"), "text", "translation", F.lit(1).cast("long").alias("run_ts"))
+    mem = MEM.tm_merge(mem.limit(0), mem)  # one entry per text
+    second = translate_pages(pages, memory=mem)
+    assert second.batches.count() == 0
+    a = {r.page_id: r.html for r in first.pages.collect()}
+    b = {r.page_id: r.html for r in second.pages.collect()}
+    assert a == b
+    # half a memory: only the misses are sent, output unchanged
+    half = mem.filter(F.length("text") % 2 == 0)
+    third = translate_pages(pages, memory=half)
+    assert 0 < third.batches.count()
+    assert {r.page_id: r.html for r in third.pages.collect()} == a
