@@ -80,10 +80,15 @@ def applied_pieces(tokens: DataFrame, tmap: DataFrame) -> DataFrame:
 
 
 def render(applied: DataFrame) -> DataFrame:
-    """Rebuild each page from its pieces in ``(pos, i)`` order (one page per group)."""
+    """Rebuild each page from its pieces in ``(pos, i)`` order (one page per group).
+
+    A 'whole' page (NULL, empty or oversized) is its single untouched piece.
+    """
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "i", "out"))),
+                                      lambda x: x["out"]), "")
+    is_whole = F.col("pkind") == "whole"
     return applied.groupBy("page_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "i", "out"))), lambda x: x["out"]),
-                     "").alias("html"),
+        F.when(F.count_if(is_whole) > 0, F.max(F.when(is_whole, F.col("piece")))).otherwise(joined).alias("html"),
         F.count_if(F.col("applied")).alias("n_applied"),
     )
 

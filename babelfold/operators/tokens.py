@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 from babelfold.functions import text as T
 
+MAX_PAGE_BYTES = 50 * 1024 * 1024   # the reference's page limit (50 MiB)
+
 # --- fixed values ----------------------------------------------------------------
 HTML_SPACE = r"\t\n\f\r "
 # Markup only: comments, script/style blocks, tags, declarations.  Text is
@@ -46,7 +48,7 @@ BLOCK_CLOSE_TAG_RE = r"(</[a-zA-Z]+[\t\n\f\r ]*>)\z"
 TOKEN_COLUMNS = ["page_id", "pos", "kind", "tag", "level", "raw"]
 
 
-def _sql_flat_tokens(html: str) -> str:
+def _sql_flat_tokens(html: str, max_bytes: int = MAX_PAGE_BYTES) -> str:
     """SQL text: gap/markup tokens of a page in order; script/style blocks in three."""
     t = "m"
     op = f"regexp_extract({t}, '^(<[^>]*>)', 1)"
@@ -62,22 +64,29 @@ def _sql_flat_tokens(html: str) -> str:
     pat = T.sql_str(MARKUP_RE)
     pairs = (f"zip_with(split({html}, {pat}, -1), regexp_extract_all({html}, {pat}, 0), "
              f"(g, {t}) -> concat(array({mk('g', 'gap', nul)}), {markup}))")
-    return f"filter(flatten({pairs}), x -> x.raw IS NOT NULL AND x.raw <> '')"
+    tokens = f"filter(flatten({pairs}), x -> x.raw IS NOT NULL AND x.raw <> '')"
+    # NULL, empty and oversized pages are one untouched 'whole' token, so they
+    # flow through the same plan (no branch filter that would split the exchange)
+    whole = (f"{html} IS NULL OR {html} = '' OR octet_length({html}) > {int(max_bytes)}")
+    return f"CASE WHEN {whole} THEN array({mk(html, 'whole', nul)}) ELSE {tokens} END"
 
 
-def tokenize(pages: DataFrame, html_col: str = "html", with_level: bool = True) -> DataFrame:
+def tokenize(pages: DataFrame, html_col: str = "html", with_level: bool = True,
+             max_bytes: int = MAX_PAGE_BYTES) -> DataFrame:
     """``pages(page_id, html)`` -> ``tokens(page_id, pos, kind, tag, level, raw)``.
 
-    kind: open | close | text | rawtext | comment | decl.  ``rawtext`` is the
+    kind: open | close | text | rawtext | comment | decl | whole (a NULL, empty or
+    oversized page, kept as one untouched token).  ``rawtext`` is the
     body of a script or style block (``tag`` names the parent, no entity
     decoding).  Expects ``pages`` hash-partitioned on ``page_id`` (see
     :func:`partition_pages`) so the window adds no exchange.
     """
-    t = pages.select("page_id", F.posexplode(F.expr(_sql_flat_tokens(f"`{html_col}`"))).alias("pos", "tok"))
+    t = pages.select("page_id", F.posexplode(F.expr(_sql_flat_tokens(f"`{html_col}`", max_bytes))).alias("pos", "tok"))
     void = ", ".join(T.sql_str(v) for v in VOID_TAGS)
     t = t.selectExpr(
         "page_id", "pos", "tok.raw AS raw", "tok.parent AS parent",
         """CASE WHEN tok.k = 'body' THEN 'rawtext'
+                WHEN tok.k = 'whole' THEN 'whole'
                 WHEN tok.k = 'gap' THEN 'text'
                 WHEN startswith(tok.raw, '<!--') AND endswith(tok.raw, '-->') THEN 'comment'
                 WHEN tok.raw RLIKE '^<[!?]' THEN 'decl'
@@ -109,6 +118,7 @@ def partition_pages(pages: DataFrame, num_partitions: int | None = None) -> Data
     ``page_id`` (first), so it reuses this partitioning instead of shuffling
     tokens.  Shuffling the compact page rows is cheaper than shuffling tokens.
     """
+    pages = pages.filter(F.col("page_id").isNotNull())  # NULL ids are reported, never tokenised
     if num_partitions:
         return pages.repartition(num_partitions, "page_id")
     return pages.repartition("page_id")

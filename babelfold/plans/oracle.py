@@ -118,11 +118,15 @@ def cte_tokens(src: str) -> str:
                                    f"parent := {par})")
     void = inlist(TK.VOID_TAGS)
     return f"""
+tk_w AS (SELECT page_id, html, html IS NULL OR html = '' OR strlen(html) > {TK.MAX_PAGE_BYTES} AS whole
+         FROM {src} WHERE page_id IS NOT NULL),
 tk_a AS (SELECT page_id, regexp_split_to_array(html, {q(TK.MARKUP_RE)}) AS gs,
-                 regexp_extract_all(html, {q(TK.MARKUP_RE)}) AS ms FROM {src}),
+                 regexp_extract_all(html, {q(TK.MARKUP_RE)}) AS ms FROM tk_w WHERE NOT whole),
 tk_g AS (SELECT page_id, unnest(gs) AS t, generate_subscripts(gs, 1) AS mno FROM tk_a),
 tk_m AS (SELECT page_id, unnest(ms) AS t, generate_subscripts(ms, 1) AS mno FROM tk_a),
 tk_s AS (
+  SELECT page_id, 0 AS mno, {st('html', 0, "'whole'", 'CAST(NULL AS VARCHAR)')} AS s FROM tk_w WHERE whole
+  UNION ALL
   SELECT page_id, mno, {st('t', 0, "'gap'", 'CAST(NULL AS VARCHAR)')} AS s FROM tk_g
   UNION ALL
   SELECT page_id, mno, unnest(CASE WHEN {blk}
@@ -132,10 +136,11 @@ tk_s AS (
 tk_p AS (
   SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY mno, s.sub) - 1 AS INTEGER) AS pos,
          s.raw AS raw, s.k AS k, s.parent AS parent
-  FROM tk_s WHERE s.raw <> ''),
+  FROM tk_s WHERE s.k = 'whole' OR s.raw <> ''),
 tk_k AS (
   SELECT page_id, pos, raw, parent,
     CASE WHEN k = 'body' THEN 'rawtext'
+         WHEN k = 'whole' THEN 'whole'
          WHEN k = 'gap' THEN 'text'
          WHEN starts_with(raw, '<!--') AND suffix(raw, '-->') THEN 'comment'
          WHEN regexp_matches(raw, '^<[!?]') THEN 'decl'

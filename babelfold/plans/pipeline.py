@@ -58,12 +58,15 @@ def translate_pages(pages: DataFrame, translator=None, concurrent: int = B.DEFAU
     pass, at the cost of cache storage and exchanges after the cache)."""
     translator = translator or TR.prefix(lang)
     src = pages.select("page_id", "html")
-    ok = F.coalesce(within_size(F.col("html"), max_page_bytes), F.lit(True))  # NULL page: nothing to do
-    rejected = src.filter(~ok).select(
+    # report view only (lazy): pages that are passed through untouched for input reasons
+    too_big = ~F.coalesce(within_size(F.col("html"), max_page_bytes), F.lit(True))
+    rejected = src.filter(too_big | F.col("page_id").isNull()).select(
         "page_id", F.lit("input").alias("error_class"),
-        F.concat(F.lit("page over "), F.lit(str(max_page_bytes)), F.lit(" bytes")).alias("error_message"))
-    part = TK.partition_pages(src.filter(ok), num_partitions)
-    tokens = TK.tokenize(part)
+        F.when(F.col("page_id").isNull(), F.lit("page_id is NULL"))
+        .otherwise(F.lit(f"page over {max_page_bytes} bytes")).alias("error_message"))
+    # the one exchange; every branch below reads it unfiltered, so it is shared
+    part = TK.partition_pages(src, num_partitions)
+    tokens = TK.tokenize(part, max_bytes=max_page_bytes)
     if persist:
         tokens = tokens.persist(StorageLevel.MEMORY_AND_DISK)
     segments = S.extract_segments(tokens, iframe_mode)
@@ -91,16 +94,11 @@ def translate_pages(pages: DataFrame, translator=None, concurrent: int = B.DEFAU
     if hits is not None:
         tmap = tmap.unionByName(hits)
     # rendering re-reads the partitioned pages: tokens without the depth window
-    render_tokens = tokens if persist else TK.tokenize(part, with_level=False)
+    render_tokens = tokens if persist else TK.tokenize(part, with_level=False, max_bytes=max_page_bytes)
     applied = A.applied_pieces(render_tokens, tmap)
     rendered = A.render(applied)
-    # Every non-empty page has at least one token, so ``rendered`` already holds
-    # it (unchanged bytes when nothing applied); only empty/NULL pages and the
-    # oversized ones (never tokenised) are added back.  A union, not a join:
-    # the pages' html is never sorted or shuffled a second time.
-    no_tokens = part.filter(F.col("html").isNull() | (F.col("html") == ""))
-    out = rendered.select("page_id", "html", "n_applied").unionByName(
-        no_tokens.unionByName(src.filter(~ok)).select("page_id", "html", F.lit(0).cast("long").alias("n_applied")))
+    # every page (NULL/empty/oversized ones as a single 'whole' token) is rendered
+    out = rendered.select("page_id", "html", "n_applied")
     # stage views for reports (lazy; not on the path of ``pages``)
     ok_resp = responses.filter(F.col("error_class").isNull()).select(
         "page_id", "batch_idx", "n", R.unwrap_response(F.col("response")).alias("text"))

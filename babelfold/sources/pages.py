@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # --- fixed values -------------------------------------------------------------------
-MAX_PAGE_BYTES = 50 * 1024 * 1024   # 50 MiB page limit
+from babelfold.operators.tokens import MAX_PAGE_BYTES  # noqa: E402  (50 MiB page limit)
 # --------------------------------------------------------------------------------------
 
 
