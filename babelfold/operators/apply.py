@@ -87,9 +87,13 @@ def render(applied: DataFrame) -> DataFrame:
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "i", "out"))),
                                       lambda x: x["out"]), "")
     is_whole = F.col("pkind") == "whole"
+    whole = F.count_if(is_whole) > 0
     return applied.groupBy("page_id").agg(
-        F.when(F.count_if(is_whole) > 0, F.max(F.when(is_whole, F.col("piece")))).otherwise(joined).alias("html"),
+        F.when(whole, F.max(F.when(is_whole, F.col("piece")))).otherwise(joined).alias("html"),
         F.count_if(F.col("applied")).alias("n_applied"),
+        # input size from the pieces themselves (they cover every byte of the page)
+        F.when(whole, F.max(F.when(is_whole, F.octet_length("piece"))))
+        .otherwise(F.sum(F.octet_length("piece"))).cast("long").alias("bytes_in"),
     )
 
 

@@ -66,13 +66,14 @@ def hit_rate(hits, misses) -> Column:
     return F.when(h + m > 0, F.try_divide(h.cast("double"), (h + m).cast("double")))
 
 
-def run_metrics(pages: DataFrame, out_pages: DataFrame, responses: DataFrame) -> DataFrame:
-    """One row per input page.
+def run_metrics(out_pages: DataFrame, responses: DataFrame) -> DataFrame:
+    """One row per page.
 
     The batch, failure and acceptance counts come from ONE aggregate over the
-    responses (each carries its page's segment count ``n``); applied counts
-    and output bytes come with the translated pages.  Two page-level inputs,
-    one join on ``page_id``.
+    responses (each carries its page's segment count ``n``); input/output bytes
+    and applied counts come with the translated pages (``bytes_in`` is
+    measured on the tokens).  Two page-level inputs, one co-partitioned join;
+    the raw pages are not read again.
     """
     from babelfold.operators.responses import sql_marked_lines, unwrap_response
 
@@ -81,11 +82,11 @@ def run_metrics(pages: DataFrame, out_pages: DataFrame, responses: DataFrame) ->
     stats = r.groupBy("page_id").agg(
         F.max("n").alias("n_segments"), F.count(F.lit(1)).alias("n_batches"),
         F.count("error_class").alias("n_failed_batches"), F.sum(acc).alias("n_accepted"))
-    out = out_pages.select("page_id", F.octet_length("html").alias("bytes_out"), "n_applied")
-    j = pages.select("page_id", F.octet_length("html").alias("bytes_in")).join(out, "page_id", "left") \
-        .join(stats, "page_id", "left")
+    out = out_pages.select("page_id", "bytes_in", F.octet_length("html").alias("bytes_out"), "n_applied")
+    j = out.join(stats, "page_id", "left")
     counts = ["n_segments", "n_batches", "n_failed_batches", "n_accepted", "n_applied"]
-    return j.select("page_id", "bytes_in", "bytes_out", *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    return j.select("page_id", F.col("bytes_in").cast("int").alias("bytes_in"),
+                    F.col("bytes_out").cast("int").alias("bytes_out"), *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
                                                           for c in counts])
 
 

@@ -28,7 +28,7 @@ from babelfold.sources.pages import MAX_PAGE_BYTES, within_size
 
 @dataclass
 class PipelineResult:
-    pages: DataFrame          # page_id, html (translated; unchanged when nothing applied)
+    pages: DataFrame          # page_id, html (translated; unchanged when nothing applied), n_applied, bytes_in
     tokens: DataFrame
     segments: DataFrame
     batches: DataFrame
@@ -98,7 +98,7 @@ def translate_pages(pages: DataFrame, translator=None, concurrent: int = B.DEFAU
     applied = A.applied_pieces(render_tokens, tmap)
     rendered = A.render(applied)
     # every page (NULL/empty/oversized ones as a single 'whole' token) is rendered
-    out = rendered.select("page_id", "html", "n_applied")
+    out = rendered.select("page_id", "html", "n_applied", "bytes_in")
     # stage views for reports (lazy; not on the path of ``pages``)
     ok_resp = responses.filter(F.col("error_class").isNull()).select(
         "page_id", "batch_idx", "n", R.unwrap_response(F.col("response")).alias("text"))

@@ -518,8 +518,7 @@ PIPE_MIXED = O.with_(TOK_MIXED, O.cte_segments(), O.cte_batches(), O.cte_after_b
 @register("render_html", PIPE_MIXED + "\nSELECT page_id, html, n_applied FROM rendered")
 def q_render_html(spark, sf_dir):
     r = _pipe(spark, sf_dir, D.mixed_pages(spark, sf_dir))
-    a = r.applied
-    return A.render(a)
+    return A.render(r.applied).select("page_id", "html", "n_applied")
 
 
 PASS_SRC_SQL = f"(SELECT page_id, html FROM pages UNION ALL SELECT page_id, html FROM {D.BARE_PAGES_SQL})"
@@ -546,9 +545,8 @@ SELECT p.page_id, CAST(strlen(p.html) AS INTEGER) AS bytes_in, CAST(strlen(coale
   (CASE WHEN strlen(p.html) = 0 THEN NULL ELSE CAST(strlen(coalesce(r.html, p.html)) AS DOUBLE) / CAST(strlen(p.html) AS DOUBLE) END - 1.0) * 100.0 AS change_pct
 FROM pages p LEFT JOIN rendered r ON p.page_id = r.page_id""")
 def q_size_metrics(spark, sf_dir):
-    out = _pipe(spark, sf_dir).pages.select("page_id", F.col("html").alias("html_out"))
-    j = _pages(spark, sf_dir).join(out, "page_id")
-    return j.select("page_id", *M.size_metrics(F.octet_length("html"), F.octet_length("html_out")))
+    out = _pipe(spark, sf_dir).pages
+    return out.select("page_id", *M.size_metrics(F.col("bytes_in").cast("int"), F.octet_length("html")))
 
 
 EVENT_MS_SQL = "(SELECT event_id, user_id, CAST(floor(value * 100) AS BIGINT) AS ms FROM events)"
@@ -623,9 +621,8 @@ SELECT p.page_id, CAST(strlen(p.html) AS INTEGER) AS bytes_in, CAST(strlen(coale
   coalesce(r.n_applied, 0) AS n_applied
 FROM pages p LEFT JOIN rendered r ON p.page_id = r.page_id""")
 def q_run_metrics(spark, sf_dir):
-    pages = _pages(spark, sf_dir)
     r = _pipe(spark, sf_dir)
-    return M.run_metrics(pages, r.pages, r.responses)
+    return M.run_metrics(r.pages, r.responses)
 
 
 # ======================= 2.8 reuse =======================================================
@@ -668,7 +665,7 @@ def q_tm_update(spark, sf_dir):
 SELECT p.page_id, coalesce(r.html, p.html) AS html, coalesce(r.n_applied, 0) AS n_applied
 FROM pages p LEFT JOIN rendered r ON p.page_id = r.page_id""")
 def q_translate_pages(spark, sf_dir):
-    return _pipe(spark, sf_dir).pages
+    return _pipe(spark, sf_dir).pages.select("page_id", "html", "n_applied")
 
 
 def queries() -> dict:
