@@ -14,11 +14,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # --- fixed values (must equal the reference's rules) -------------------------
-# Unicode White_Space, the set used by trim and by whitespace splitting.
-WS_CHARS = (
+# Unicode White_Space, the set used by trim and by whitespace splitting:
+# U+0009-000D, U+0020, U+0085, U+00A0, U+1680, U+2000-200A, U+2028, U+2029,
+# U+202F, U+205F, U+3000.  Java regex names it \p{IsWhite_Space} (one type
+# check per char); RE2, used by the SQL oracle, gets the same set spelled out.
+WS_CHARS_EXPLICIT = (
     r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 )
+WS_CHARS = r"\p{IsWhite_Space}"
 # ASCII punctuation: ! " # $ % & ' ( ) * + , - . / : ; < = > ? @ [ \ ] ^ _ ` { | } ~
 PUNCT_CHARS = r"!-/:-@\[-`{-~"
 # Attribute names the reference translates.
@@ -192,6 +196,11 @@ def escape_attr(col) -> Column:
 # Heavy expressions are built as SQL text and parsed once with ``F.expr``: one
 # driver->JVM call instead of hundreds of Column calls; the plan is identical.
 
+def explicit_ws(pattern: str) -> str:
+    """The same pattern with the White_Space property spelled out (for RE2)."""
+    return pattern.replace(WS_CHARS, WS_CHARS_EXPLICIT)
+
+
 def sql_str(s: str) -> str:
     """Spark SQL string literal for ``s`` (backslash, quote and non-ASCII escaped)."""
     out = []

@@ -16,7 +16,8 @@ from babelfold.operators.apply import APPLY_ATTR_PREFILTER_RE
 
 
 def q(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
+    """DuckDB literal; regex classes get the White_Space set spelled out for RE2."""
+    return "'" + T.explicit_ws(s).replace("'", "''") + "'"
 
 
 def inlist(vals) -> str:
