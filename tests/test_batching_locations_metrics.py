@@ -88,3 +88,11 @@ def test_lang_guard(spark):
     assert got == {"zh": True, "en": True, "xx": False, "ZH": False}
     with pytest.raises(ValueError):
         B.request_json(F.lit("x"), "xx")
+
+
+def test_job_totals(spark):
+    cols = "page_id long, bytes_in long, bytes_out long, n_segments long, n_batches long, n_failed_batches long, " \
+           "n_accepted long, n_applied long"
+    per_page = spark.createDataFrame([(1, 10, 12, 3, 1, 0, 3, 3), (2, 5, 5, 0, 0, 0, 0, 0)], cols)
+    r = M.job_totals(per_page).first()
+    assert (r.n_pages, r.bytes_in, r.bytes_out, r.n_segments, r.n_applied) == (2, 15, 17, 3, 3)
