@@ -112,6 +112,37 @@ def _map_batches(factory: Callable[[], Callable[[str], str]], group_col: str):
     return run
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark) -> None:
+    """Make ``babelfold`` importable in Python workers (once per application).
+
+    Python translators are pickled by reference to this package, so executors
+    need it: the package's ``.py`` files are zipped and sent with ``addPyFile``.
+    """
+    import os
+    import tempfile
+    import zipfile
+
+    import babelfold
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(babelfold.__file__))
+    root = os.path.dirname(pkg)
+    z = os.path.join(tempfile.mkdtemp(prefix="babelfold-pyfiles-"), "babelfold.zip")
+    with zipfile.ZipFile(z, "w") as zf:
+        for dirpath, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(z)
+    _SHIPPED.add(sc.applicationId)
+
+
 def translate_batches(batches: DataFrame, translator, max_parallel: int | None = None,
                       group_col: str = "page_id") -> DataFrame:
     """``batches(group, batch_idx, n, payload)`` -> responses (group column named page_id).
@@ -134,5 +165,6 @@ def translate_batches(batches: DataFrame, translator, max_parallel: int | None =
     if max_parallel:
         # caps concurrent calls to the service; costs one shuffle of the payloads
         src = src.repartition(int(max_parallel), group_col, "batch_idx")
+    ship_package(batches.sparkSession)
     schema = RESPONSE_SCHEMA + (f", items {ITEMS_TYPE}" if carry else "")
     return src.mapInPandas(_map_batches(translator.factory, group_col), schema)
