@@ -7,7 +7,9 @@ parameters and derives the contract's columns from the operator's output.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import find_passages
 from .near_dup import near_duplicates
 
 # joins keep all their keys, so that hot keys can be split at run time
@@ -27,6 +29,14 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
+    ids = F.array_sort(F.array_distinct(F.filter(F.col("found.item_id"), lambda x: x.isNotNull())))
+    return found.select("doc_id", "n_words", "n_hit", F.size(ids).cast("long").alias("n_items"),
+                        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2_SQL = rf"""
@@ -34,7 +44,7 @@ WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3
-      THEN list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+      THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]
       WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (
@@ -53,9 +63,36 @@ FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """
 
 
+OP5_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+i AS (
+  SELECT item_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+p AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS m,
+         unnest([array_to_string(w[k:k + least(len(w), 10) - 1], ' ') FOR k IN range(1, greatest(len(w) - 8, 2))]) AS g
+  FROM i WHERE len(w) > 0),
+t AS (
+  SELECT doc_id, m, unnest(range(1, len(w) - m + 2)) AS k,
+         unnest([array_to_string(w[k:k + m - 1], ' ') FOR k IN range(1, len(w) - m + 2)]) AS g
+  FROM d, (SELECT DISTINCT m FROM p) WHERE len(w) >= m),
+o AS (SELECT t.doc_id, p.item_id, t.k, t.m FROM t JOIN p ON t.g = p.g AND t.m = p.m),
+h AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + m)) AS x FROM o) GROUP BY doc_id),
+s AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM o) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {"op2_near_duplicates": op2_near_duplicates}
+    return {
+        "op2_near_duplicates": op2_near_duplicates,
+        "op5_decontaminate": op5_decontaminate,
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op2_near_duplicates": OP2_SQL}
+    return {"op2_near_duplicates": OP2_SQL, "op5_decontaminate": OP5_SQL}
