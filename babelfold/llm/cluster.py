@@ -49,3 +49,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         seen = now
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+
+
+SMALL_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A written table, marked for broadcast only if it is counted to have
+    ``rows`` rows at most; beyond that the join shuffles both sides."""
+    n = df.limit(rows + 1).count()
+    return F.broadcast(df) if n <= rows else df

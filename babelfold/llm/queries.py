@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .decontaminate import find_passages
+from .line_dedup import dedup_lines
 from .near_dup import near_duplicates
 
 # joins keep all their keys, so that hot keys can be split at run time
@@ -37,6 +38,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
+    return dedup_lines(docs.withColumn("n_lines", lines)).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2_SQL = rf"""
@@ -87,12 +94,40 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN s USING (doc_id)
 """
 
 
+OP10_SQL = rf"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS t FROM documents),
+l AS (
+  SELECT doc_id, i, regexp_extract_all({LOWER_SQL}, '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT doc_id, unnest(range(0, len(t))) AS i, unnest(t) AS text FROM d WHERE doc_id IS NOT NULL)),
+u AS (
+  SELECT w, len(w) AS n, min((doc_id, i)) AS pos FROM l WHERE len(w) >= 5 GROUP BY w),
+v AS (
+  SELECT w, n, pos, unnest(range(1, n + 1)) AS k, unnest([array_to_string(w[1:k - 1] || w[k + 1:], ' ') FOR k IN range(1, n + 1)]) AS g
+  FROM u WHERE n >= 8),
+p AS (
+  SELECT a.w, b.pos FROM v a JOIN v b ON a.g = b.g AND a.n = b.n AND a.k = b.k AND a.w <> b.w
+  UNION ALL
+  SELECT v.w, u.pos FROM v JOIN u ON v.g = array_to_string(u.w, ' ') AND u.n = v.n - 1 AND u.n >= 8
+  UNION ALL
+  SELECT u.w, v.pos FROM v JOIN u ON v.g = array_to_string(u.w, ' ') AND u.n = v.n - 1 AND u.n >= 8
+  UNION ALL
+  SELECT w, pos FROM u),
+o AS (SELECT w, min(pos) AS pos FROM p GROUP BY w),
+x AS (SELECT doc_id, list(i) AS gone FROM l JOIN o ON l.w = o.w WHERE o.pos < (l.doc_id, l.i) GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(len(t), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped,
+       CASE WHEN gone IS NULL THEN text
+            ELSE coalesce(array_to_string([t[k + 1] FOR k IN range(0, len(t)) IF NOT list_contains(gone, k)], chr(10)), '') END AS text
+FROM d LEFT JOIN x ON x.doc_id = d.doc_id
+"""
+
+
 def queries() -> dict:
     return {
         "op2_near_duplicates": op2_near_duplicates,
         "op5_decontaminate": op5_decontaminate,
+        "op10_line_dedup": op10_line_dedup,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_near_duplicates": OP2_SQL, "op5_decontaminate": OP5_SQL}
+    return {"op2_near_duplicates": OP2_SQL, "op5_decontaminate": OP5_SQL, "op10_line_dedup": OP10_SQL}
