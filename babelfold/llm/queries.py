@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import digests, encode_decode
 from .decontaminate import find_passages
 from .line_dedup import dedup_lines
 from .near_dup import near_duplicates
@@ -38,6 +39,17 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def tokenizer_file(name: str) -> str:
+    """Where an installed vocabulary file of a public tokenizer lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(encode_decode(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
@@ -125,6 +137,7 @@ def queries() -> dict:
     return {
         "op2_near_duplicates": op2_near_duplicates,
         "op5_decontaminate": op5_decontaminate,
+        "op6_bpe": op6_bpe,
         "op10_line_dedup": op10_line_dedup,
     }
 
