@@ -13,6 +13,7 @@ from .bpe import digests, encode_decode
 from .decontaminate import find_passages
 from .line_dedup import dedup_lines
 from .near_dup import near_duplicates
+from .toxicity import score_toxicity, train
 
 # joins keep all their keys, so that hot keys can be split at run time
 CONF = {
@@ -31,6 +32,17 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+TOXIC = 0.7
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_toxicity(docs, train(docs, _table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+                         F.col("evidence.doc_id").alias("evidence"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
     ids = F.array_sort(F.array_distinct(F.filter(F.col("found.item_id"), lambda x: x.isNotNull())))
@@ -136,6 +148,7 @@ FROM d LEFT JOIN x ON x.doc_id = d.doc_id
 def queries() -> dict:
     return {
         "op2_near_duplicates": op2_near_duplicates,
+        "op3_toxicity": op3_toxicity,
         "op5_decontaminate": op5_decontaminate,
         "op6_bpe": op6_bpe,
         "op10_line_dedup": op10_line_dedup,
