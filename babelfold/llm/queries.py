@@ -13,6 +13,8 @@ from .bpe import digests, encode_decode
 from .decontaminate import find_passages
 from .line_dedup import dedup_lines
 from .near_dup import near_duplicates
+from .quality import judge
+from .token_counts import count_tokens
 from .toxicity import score_toxicity, train
 
 # joins keep all their keys, so that hot keys can be split at run time
@@ -43,6 +45,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.col("evidence.doc_id").alias("evidence"))
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_passages(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
     ids = F.array_sort(F.array_distinct(F.filter(F.col("found.item_id"), lambda x: x.isNotNull())))
@@ -62,6 +68,11 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
@@ -149,8 +160,10 @@ def queries() -> dict:
     return {
         "op2_near_duplicates": op2_near_duplicates,
         "op3_toxicity": op3_toxicity,
+        "op4_token_counts": op4_token_counts,
         "op5_decontaminate": op5_decontaminate,
         "op6_bpe": op6_bpe,
+        "op7_quality": op7_quality,
         "op10_line_dedup": op10_line_dedup,
     }
 
