@@ -13,6 +13,7 @@ from .bpe import digests, encode_decode
 from .decontaminate import find_passages
 from .line_dedup import dedup_lines
 from .near_dup import near_duplicates
+from .pii import digests as span_digests, find_spans
 from .quality import judge
 from .token_counts import count_tokens
 from .toxicity import score_toxicity, train
@@ -73,6 +74,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(find_spans(_table(spark, sf_dir, "documents")))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
@@ -164,6 +169,7 @@ def queries() -> dict:
         "op5_decontaminate": op5_decontaminate,
         "op6_bpe": op6_bpe,
         "op7_quality": op7_quality,
+        "op8_pii": op8_pii,
         "op10_line_dedup": op10_line_dedup,
     }
 
