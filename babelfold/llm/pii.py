@@ -40,14 +40,20 @@ def _pieces(text: Column, form: str) -> Column:
     return F.split(F.regexp_replace(text, f"({form})", f"{MARK}$1{MARK}"), MARK)
 
 
-LUHN = ("aggregate(sequence(1, length(digits)), 0, (s, i) -> s + case when (length(digits) - i) % 2 = 0 "
-        "then cast(substring(digits, i, 1) as int) else cast(substring('0246813579', cast(substring(digits, i, 1) as int) + 1, 1) as int) end) % 10 = 0")
-VALID = f"""case kind
-  when 'email' then true
-  when 'ip' then forall(split(value, '[.]'), x -> length(ltrim('0', x)) <= 3 and coalesce(try_cast(ltrim('0', x) as int), 0) <= 255)
-  when 'card' then case when length(digits) between 13 and 19 then {LUHN} else false end
-  when 'phone' then length(digits) between 9 and 15
-  else true end"""
+def _valid(kind: str, x: str) -> str:
+    """Whether a match of a kind counts, as SQL over the expression ``x``."""
+    digits = f"regexp_replace({x}, '[^0-9]', '')"
+    if kind == "ip":
+        return f"forall(split({x}, '[.]'), p -> length(ltrim('0', p)) <= 3 and coalesce(try_cast(ltrim('0', p) as int), 0) <= 255)"
+    if kind == "card":
+        double = f"cast(substring('0246813579', cast(substring({digits}, k, 1) as int) + 1, 1) as int)"
+        luhn = (f"aggregate(sequence(1, length({digits})), 0, (s, k) -> s + case when (length({digits}) - k) % 2 = 0 "
+                f"then cast(substring({digits}, k, 1) as int) else {double} end) % 10 = 0")
+        return f"case when length({digits}) between 13 and 19 then {luhn} else false end"
+    return f"length({digits}) between 9 and 15" if kind == "phone" else "true"
+
+
+VALID = "case kind " + " ".join(f"when '{k}' then {_valid(k, 'value')}" for k in KINDS) + " else true end"
 
 
 def _ends(kind: str) -> Column:
@@ -73,11 +79,12 @@ def _matches(docs: DataFrame) -> DataFrame:
         none = F.array(F.col("t"))
         cut_ = _pieces(F.col("t"), FORMS[k])
         t = t.withColumn(k, F.when(F.contains("t", F.lit("@")), cut_).otherwise(none) if k == "email" else cut_)
-    # what a seed's form covers is no candidate
-    hidden = F.col("t")
-    for k in KINDS:
-        pieces = _pieces(hidden, FORMS[k])
-        hidden = F.array_join(F.transform(pieces, lambda x, i: F.when(i % 2 == 1, F.repeat(F.lit(MASK), F.length(x))).otherwise(x)), "")
+    # what a seed covers is no candidate
+    t = t.withColumn("hidden", F.col("t"))
+    for k in ("phone", "email", "ip", "card"):  # a form that can hold another comes first
+        t = t.withColumn("p", _pieces(F.col("hidden"), FORMS[k])).withColumn("hidden", F.expr(
+            f"array_join(transform(p, (x, i) -> case when i % 2 = 1 and {_valid(k, 'x')} then repeat('{MASK}', length(x)) else x end), '')"))
+    hidden = F.col("hidden")
     any_digit = F.col("t").rlike("[0-9@]")
     t = t.withColumn("word", F.when(any_digit, _pieces(hidden, CANDIDATE)).otherwise(F.array(F.col("t"))))
     # of the pieces between matches only the length and the words at either end go on
@@ -104,7 +111,7 @@ def find_spans(docs: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float =
         "row", "doc_id", "kind", "i", "value", "len",
         F.expr(f"sum(len) over ({w}) - len").alias("start"),
         F.expr(f"lag(tail) over ({w})").alias("before"), F.expr(f"lead(head) over ({w})").alias("after"))
-    seen = seen.filter("i % 2 = 1 or kind is null").withColumn("digits", F.regexp_replace("value", "[^0-9]", "")).withColumn("ok", F.expr(VALID))
+    seen = seen.filter("i % 2 = 1 or kind is null").withColumn("ok", F.expr(VALID))
     # a candidate's closing punctuation isn't part of it
     value = F.when(F.col("kind") == "word", F.regexp_replace("value", r"[.,;:!?\)\]\"']+$", "")).otherwise(F.col("value"))
     hits = cut(seen.filter("ok or kind is null").withColumn("value", value).filter("kind is null or length(value) > 0").select(
@@ -143,8 +150,10 @@ def find_spans(docs: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float =
     def spans(which):
         return F.transform(F.array_sort(F.collect_list(F.when(which & F.col("k").isNotNull(), span))),
                            lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
-    return out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), spans(base).alias("base"),
-                                  spans(F.col("kind") == "word").alias("found")).drop("row")
+    out = out.groupBy("row").agg(F.first("doc_id").alias("doc_id"), spans(base).alias("base"), spans(F.col("kind") == "word").alias("found"))
+    # a candidate that a seed overlaps (one form inside another) adds nothing
+    apart = F.expr("filter(found, f -> not exists(base, b -> f.start < b.end and b.start < f.end))")
+    return out.select("doc_id", "base", F.when(F.size("found") > 0, apart).otherwise(F.col("found")).alias("found"))
 
 
 def listed(spans: Column) -> Column:
