@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .bpe import digests, encode_decode
 from .decontaminate import find_passages
+from .licenses import scan
 from .line_dedup import dedup_lines
 from .near_dup import near_duplicates
 from .pii import digests as span_digests, find_spans
@@ -78,6 +79,13 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digests(find_spans(_table(spark, sf_dir, "documents")))
 
 
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan(_table(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct(F.col("notices.family")))
+    return found.select("doc_id", "n_paragraphs", F.size("notices").cast("long").alias("n_notices"),
+                        F.array_join(names, ",").alias("families"), F.col("notices.line").alias("lines"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long")
@@ -170,6 +178,7 @@ def queries() -> dict:
         "op6_bpe": op6_bpe,
         "op7_quality": op7_quality,
         "op8_pii": op8_pii,
+        "op9_licences": op9_licences,
         "op10_line_dedup": op10_line_dedup,
     }
 
