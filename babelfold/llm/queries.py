@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .bpe import digests, encode_decode
 from .decontaminate import find_passages
+from .html_extract import extract_text
 from .licenses import scan
 from .line_dedup import dedup_lines
 from .near_dup import near_duplicates
@@ -32,6 +33,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -171,6 +176,7 @@ FROM d LEFT JOIN x ON x.doc_id = d.doc_id
 
 def queries() -> dict:
     return {
+        "op1_html_text": op1_html_text,
         "op2_near_duplicates": op2_near_duplicates,
         "op3_toxicity": op3_toxicity,
         "op4_token_counts": op4_token_counts,
