@@ -18,9 +18,20 @@ def ready(df: DataFrame) -> SparkSession:
 def cut(df: DataFrame) -> DataFrame:
     """The rows written to the shared checkpoint folder (reliable: a lost
     executor loses nothing), read back as a plain scan.  Joins of two such
-    tables sit directly on their exchanges, where Spark splits hot keys."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    tables sit directly on their exchanges, where Spark splits hot keys.
+
+    A checkpointed table carries the constraints of its plan along; over the
+    rounds of an iteration they multiply and fill the driver.  So they are not
+    derived here."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    name = "spark.sql.constraintPropagation.enabled"
+    was = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, was)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -51,7 +62,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-SMALL_ROWS = 200_000
+SMALL_ROWS = 20_000
 
 
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:

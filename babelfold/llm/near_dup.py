@@ -12,10 +12,12 @@ share a long prefix stand next to each other.
    the longest common prefix over all trees.  The depth at which it is found
    adapts to how crowded the region is.  These pairs are confirmed on the full
    shingle sets and joined into components.
-4. Every pair of a region whose members are not yet in one component is then
-   confirmed too, whatever the region's size.  So no cap on regions: what (3)
-   leaves over has this exact way, and pairs inside a component, which cannot
-   change the result, are never listed.
+4. Regions that overlap make a crowd.  A few members of each crowd are compared
+   with all its members; then every member that is not yet in the crowd's
+   largest component is compared with all of them.  So no link of a region is
+   lost, whatever its size, and pairs inside a component, which cannot change
+   the result, are never listed.  The comparisons run in blocks of a bounded
+   number of shingles, and only confirmed links leave a block.
 
 A pair at similarity ``s`` shares a region with probability
 ``1 - (1 - s**base_depth)**trees`` (s=0.85: 1 - 4e-7, s=0.8: 1 - 3e-5).
@@ -30,9 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .cluster import connected_components, cut, ready
+from .cluster import connected_components, cut, ready, small
 
 BASE_DEPTH, DEPTH, TREES, LOOK_BACK = 4, 8, 20, 3
+SCOUTS = 16  # members of a crowd that meet all its members first
+BLOCK_SHINGLES = 1 << 19  # shingles on either side of a block
 
 
 def _shingle_sets(batches, text, shingle):
@@ -115,6 +119,65 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return j.filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
 
+def _block_links(percent: int):
+    """Links between the queries (role 0) and members (role 1) of each key, in
+    rows (key, role, cid, shingles) sorted by key and role."""
+    def links(ids, sets, roles):
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        off = np.concatenate([[0], np.cumsum(n)])
+        first = int(np.searchsorted(roles, 1))
+        if not first or first == len(ids):
+            return
+        known, code = np.unique(np.concatenate(sets), return_inverse=True)
+        members = code[off[first]:]
+        at = off[first:-1] - off[first]
+        mark = np.zeros(len(known), bool)
+        for i in range(first):
+            mark[:] = False
+            mark[code[off[i]: off[i + 1]]] = True
+            both = np.add.reduceat(mark[members], at, dtype=np.int64)
+            for j in np.flatnonzero(100 * both >= percent * (n[i] + n[first:] - both)):
+                if ids[first + j] != ids[i]:
+                    yield ids[i], ids[first + j]
+
+    def run(batches):
+        key, ids, sets, roles = None, [], [], []
+
+        def flush():
+            got = list(links(ids, sets, np.array(roles)))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], pa.int64()) for k in (0, 1)], ["a", "b"])
+        for b in batches:
+            values = b.column(3)
+            flat, off = values.flatten().to_numpy(), np.asarray(values.offsets)
+            off = off - off[0]
+            for i, (k, role, cid) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)))):
+                if k != key and ids:
+                    yield flush()
+                    ids, sets, roles = [], [], []
+                key = k
+                ids.append(cid), roles.append(role), sets.append(flat[off[i]: off[i + 1]])
+        if ids:
+            yield flush()
+    return run
+
+
+def compare(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of the queries of each group with all its members, among
+    ``members(g, cid, n, query)``.  Queries and members of a group are dealt out
+    over as many blocks as their shingles need."""
+    size = cut(members.groupBy("g").agg(
+        F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("mb"),
+        F.ceil(F.sum(F.when(F.col("query"), F.col("n"))) / BLOCK_SHINGLES).cast("int").alias("qb")).filter("qb > 0"))
+    m = members.join(small(size), "g").withColumn("h", F.xxhash64("cid"))
+    as_member = m.select("cid", F.lit(1).alias("role"), "g", F.pmod("h", "mb").alias("i"),
+                         F.explode(F.sequence(F.lit(0), F.col("qb") - 1)).alias("j"))
+    as_query = m.filter("query").select("cid", F.lit(0).alias("role"), "g", F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"),
+                                        F.pmod("h", "qb").alias("j"))
+    rows = as_member.union(as_query).select("cid", "role", F.xxhash64("g", "i", "j").alias("key")).join(sets, "cid")
+    return (rows.select("key", "role", "cid", "shingles").repartition("key").sortWithinPartitions("key", "role")
+            .mapInArrow(_block_links(percent), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees: int = TREES,
                     base_depth: int = BASE_DEPTH, depth: int = DEPTH) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs(doc_id, text)``.
@@ -148,21 +211,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
     pairs = (trunk.repartitionByRange("tree", "s", "cid").sortWithinPartitions("tree", "s", "cid")
              .mapInArrow(_neighbours(base_depth, depth, percent), "a long, b long, lcp int"))
     best = pairs.groupBy("a").agg(F.max(F.struct("lcp", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    links = cut(confirm(best, sets, percent))
+    links = confirm(best, sets, percent)
+
+    # crowds: classes of overlapping regions
+    member = forest(near).select("region", "cid")
+    low = cut(member.groupBy("region").agg(F.min("cid").alias("b"), F.max("cid").alias("hi")).filter("b <> hi").drop("hi"))
+    crowd = cut(connected_components(member.join(small(low), "region").select(F.col("cid").alias("a"), "b")))
+    crowd = cut(near.select("cid", "n").join(crowd.select(F.col("node").alias("cid"), F.col("component").alias("g")), "cid"))
+    scouts = crowd.groupBy("g").agg(F.count(F.lit(1)).alias("m"))
+    order = F.xxhash64("cid")
+    # the SCOUTS first by hash: the threshold that so many of m hashes stay under, on average
+    limit = F.expr(f"-9223372036854775808 + 18446744073709551615.0 * least(1.0, {SCOUTS} / cast(m as double))")
+    scouted = crowd.join(small(cut(scouts)), "g").withColumn("query", order.cast("double") <= limit).select("g", "cid", "n", "query")
+    links = cut(links.union(compare(cut(scouted), sets, percent)))
     comp = cut(connected_components(links))
 
-    # regions whose members are not all in one component: every pair across
-    member = cut(forest(near).select("region", "cid", "n").join(
-        comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))
-    mixed = cut(member.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                .filter("lo <> hi").select("region"))
-    open_ = cut(member.join(mixed, "region", "left_semi"))
-    x, y = open_.alias("x"), open_.alias("y")
-    across = x.join(y, (F.col("x.region") == F.col("y.region")) & (F.col("x.cid") < F.col("y.cid"))
-                    & (F.col("x.component") != F.col("y.component"))
-                    & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")))
-    across = across.select(F.col("x.cid").alias("a"), F.col("y.cid").alias("b")).distinct()
-    comp = cut(connected_components(links.union(confirm(across, sets, percent))))
+    # members outside their crowd's largest component meet all its members
+    placed = cut(crowd.join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")))
+    parts = placed.groupBy("g", "component").agg(F.count(F.lit(1)).alias("m"))
+    main = parts.groupBy("g").agg(F.max(F.struct("m", "component")).alias("x"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    open_ = placed.join(small(cut(main.select("g", F.col("x.component").alias("main")))), "g")
+    open_ = cut(open_.select("g", "cid", "n", (F.col("component") != F.col("main")).alias("query")))
+    comp = cut(connected_components(links.union(compare(open_, sets, percent))))
 
     named = cut(classes.select("k1", "k2", "cid").join(comp.withColumnRenamed("node", "cid"), "cid", "left")
                 .select("k1", "k2", F.coalesce("component", "cid").alias("component_id")))
