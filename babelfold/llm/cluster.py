@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,22 +18,26 @@ def ready(df: DataFrame) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder (reliable: a lost
-    executor loses nothing), read back as a plain scan.  Joins of two such
-    tables sit directly on their exchanges, where Spark splits hot keys.
-
-    A checkpointed table carries the constraints of its plan along; over the
-    rounds of an iteration they multiply and fill the driver.  So they are not
-    derived here."""
+    """The rows written to a table in the shared checkpoint folder and read
+    back: a lost executor loses nothing, the lineage ends here, and the size of
+    the table is known to the planner.  (A checkpointed DataFrame keeps the size
+    estimate of its plan, and over the joins of an iteration that grows beyond
+    all bounds.)  Joins of two such tables sit directly on their exchanges,
+    where Spark splits hot keys.  :func:`release` deletes an application's tables."""
     spark = df.sparkSession
-    checkpoint_dir(spark)
-    name = "spark.sql.constraintPropagation.enabled"
-    was = spark.conf.get(name, "true")
-    spark.conf.set(name, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(name, was)
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what :func:`cut` has written in this application; no result may be in use."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
