@@ -23,7 +23,9 @@ def dedup_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html
     """``(id, rep_id, n_copies)``: every page mapped to the smallest id with the same content."""
     h = pages.select(id_col, content_hash(html_col).alias("h"))
     reps = h.groupBy("h").agg(F.min(id_col).alias("rep_id"), F.count(F.lit(1)).alias("n_copies"))
-    return h.join(reps, "h").select(id_col, "rep_id", "n_copies")
+    # null-safe: pages without content are copies of each other, none is lost
+    r = reps.withColumnRenamed("h", "rh")
+    return h.join(r, h["h"].eqNullSafe(r["rh"])).select(id_col, "rep_id", "n_copies")
 
 
 def representatives(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -38,7 +40,9 @@ def tm_split(segments: DataFrame, memory: DataFrame, lang: str) -> DataFrame:
     The memory is probed once per DISTINCT text (aggregated first), then the
     answer is joined back to the segments, so a hot text costs one probe.
     """
-    mem = memory.filter(F.col("lang") == lang).select("text", "translation")
+    # one entry per text: the newest (of equal age the larger), so no segment is doubled
+    newest = F.struct(*[c for c in ("run_ts", "translation") if c in memory.columns])
+    mem = memory.filter(F.col("lang") == lang).groupBy("text").agg(F.max_by("translation", newest).alias("translation"))
     distinct = segments.select("text").distinct()
     probe = distinct.join(mem, "text", "left")
     j = segments.join(probe, "text", "left")

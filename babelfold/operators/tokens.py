@@ -8,8 +8,8 @@ Script/style blocks are split into open tag, raw body and close tag.
 
 ``level`` is the number of elements open before a token (a running sum over the
 page), so ``(level, pos)`` is breadth-first order on well-nested markup.
-The window is partitioned by ``page_id``: its groups are bounded by the page
-size guard, never by the corpus.
+The window is partitioned by ``page_id``: a group is one page, whatever its
+size, and never grows with the corpus.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from babelfold.functions import text as T
 
-MAX_PAGE_BYTES = 50 * 1024 * 1024   # the reference's page limit (50 MiB)
+MAX_PAGE_BYTES = 50 * 1024 * 1024   # the declared page limit (50 MiB); reported, never enforced
 
 # --- fixed values ----------------------------------------------------------------
 HTML_SPACE = r"\t\n\f\r "
@@ -27,11 +27,15 @@ HTML_SPACE = r"\t\n\f\r "
 # the gaps between matches (``split`` on the same pattern), so no pattern
 # repeats a group: Java's regex engine recurses on group repetition, and a
 # page with many bare '<' would otherwise overflow the task's stack.
+# A '>' inside a quoted attribute value does not end a tag; a quote that is
+# never closed is an ordinary character.  The runs are possessive: they are
+# matched in a loop, not by recursion, however many attributes a tag has.
+TAG_REST = r"(?:[^>=]++|=[\t\n\f\r ]*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>"
 MARKUP_RE = (
     r"<!--(?s:.*?)-->"
-    r"|(?i:<script\b[^>]*>(?s:.*?)</script[\t\n\f\r ]*>)"
-    r"|(?i:<style\b[^>]*>(?s:.*?)</style[\t\n\f\r ]*>)"
-    r"|</?[a-zA-Z][^>]*>"
+    rf"|(?i:<script\b{TAG_REST}(?s:.*?)</script[\t\n\f\r ]*>)"
+    rf"|(?i:<style\b{TAG_REST}(?s:.*?)</style[\t\n\f\r ]*>)"
+    rf"|</?[a-zA-Z]{TAG_REST}"
     r"|<[!?][^>]*>"
 )
 RAWTEXT_BLOCK_RE = r"(?i)^<(script|style)\b"
@@ -48,10 +52,10 @@ BLOCK_CLOSE_TAG_RE = r"(</[a-zA-Z]+[\t\n\f\r ]*>)\z"
 TOKEN_COLUMNS = ["page_id", "pos", "kind", "tag", "level", "raw"]
 
 
-def _sql_flat_tokens(html: str, max_bytes: int = MAX_PAGE_BYTES) -> str:
+def _sql_flat_tokens(html: str, max_bytes: int | None = None) -> str:
     """SQL text: gap/markup tokens of a page in order; script/style blocks in three."""
     t = "m"
-    op = f"regexp_extract({t}, '^(<[^>]*>)', 1)"
+    op = f"regexp_extract({t}, {T.sql_str('^(<[a-zA-Z]' + TAG_REST + ')')}, 1)"
     cl = f"regexp_extract({t}, {T.sql_str(BLOCK_CLOSE_TAG_RE)}, 1)"
     body = f"substring({t}, length({op}) + 1, length({t}) - length({op}) - length({cl}))"
     parent = f"lower(regexp_extract({t}, {T.sql_str(RAWTEXT_BLOCK_RE)}, 1))"
@@ -65,18 +69,18 @@ def _sql_flat_tokens(html: str, max_bytes: int = MAX_PAGE_BYTES) -> str:
     pairs = (f"zip_with(split({html}, {pat}, -1), regexp_extract_all({html}, {pat}, 0), "
              f"(g, {t}) -> concat(array({mk('g', 'gap', nul)}), {markup}))")
     tokens = f"filter(flatten({pairs}), x -> x.raw IS NOT NULL AND x.raw <> '')"
-    # NULL, empty and oversized pages are one untouched 'whole' token, so they
-    # flow through the same plan (no branch filter that would split the exchange)
-    whole = (f"{html} IS NULL OR {html} = '' OR octet_length({html}) > {int(max_bytes)}")
+    # NULL and empty pages (and, where a job sets a limit, larger ones) are one
+    # untouched 'whole' token, so they flow through the same plan
+    whole = f"{html} IS NULL OR {html} = ''" + (f" OR octet_length({html}) > {int(max_bytes)}" if max_bytes else "")
     return f"CASE WHEN {whole} THEN array({mk(html, 'whole', nul)}) ELSE {tokens} END"
 
 
 def tokenize(pages: DataFrame, html_col: str = "html", with_level: bool = True,
-             max_bytes: int = MAX_PAGE_BYTES) -> DataFrame:
+             max_bytes: int | None = None) -> DataFrame:
     """``pages(page_id, html)`` -> ``tokens(page_id, pos, kind, tag, level, raw)``.
 
-    kind: open | close | text | rawtext | comment | decl | whole (a NULL, empty or
-    oversized page, kept as one untouched token).  ``rawtext`` is the
+    kind: open | close | text | rawtext | comment | decl | whole (a NULL or empty
+    page, kept as one untouched token; with ``max_bytes`` larger ones too).  ``rawtext`` is the
     body of a script or style block (``tag`` names the parent, no entity
     decoding).  Expects ``pages`` hash-partitioned on ``page_id`` (see
     :func:`partition_pages`) so the window adds no exchange.

@@ -96,11 +96,16 @@ def _map_batches(factory: Callable[[], Callable[[str], str]], group_col: str):
             resp, ecls, emsg = [], [], []
             for payload in pdf["payload"]:
                 try:
-                    resp.append(fn(payload))
+                    body = fn(payload)
+                    if body is not None and not isinstance(body, str):
+                        raise TranslationError(f"the translator returned {type(body).__name__}, not text", "parse")
+                    resp.append(body)
                     ecls.append(None)
                     emsg.append(None)
                 except TranslationError as e:
                     resp.append(None), ecls.append(e.error_class), emsg.append(str(e))
+                except (TimeoutError, ConnectionError) as e:
+                    resp.append(None), ecls.append("network"), emsg.append(f"{type(e).__name__}: {e}")
                 except Exception as e:  # a failed batch never fails the job
                     resp.append(None), ecls.append("internal"), emsg.append(f"{type(e).__name__}: {e}")
             yield pd.DataFrame({

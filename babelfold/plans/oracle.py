@@ -108,10 +108,16 @@ def prefix_translate(payload: str, lang: str = "zh") -> str:
 
 # --- table fragments (CTE bodies) ------------------------------------------------------
 
+# written out for this engine, not taken from the operator
+REST_RE2 = r"(?:[^>=]|=[\t\n\f\r ]*(?:\"[^\"]*\"|'[^']*')?)*>"
+MARKUP_RE2 = (r"<!--(?s:.*?)-->|(?i:<script\b" + REST_RE2 + r"(?s:.*?)</script[\t\n\f\r ]*>)|(?i:<style\b" + REST_RE2
+              + r"(?s:.*?)</style[\t\n\f\r ]*>)|</?[a-zA-Z]" + REST_RE2 + r"|<[!?][^>]*>")
+
+
 def cte_tokens(src: str) -> str:
     """CTEs tk_m .. tokens from a relation ``src(page_id, html)``."""
     blk = f"regexp_matches(t, {q(TK.RAWTEXT_BLOCK_RE)}) AND regexp_matches(t, {q(TK.BLOCK_CLOSE_RE)})"
-    open_t = "regexp_extract(t, '^(<[^>]*>)', 1)"
+    open_t = f"regexp_extract(t, {q('^(<[a-zA-Z]' + REST_RE2 + ')')}, 1)"
     close_t = f"regexp_extract(t, {q(r'(</[a-zA-Z]+[\t\n\f\r ]*>)\z')}, 1)"
     body = f"substr(t, length({open_t}) + 1, length(t) - length({open_t}) - length({close_t}))"
     parent = f"lower(regexp_extract(t, {q(TK.RAWTEXT_BLOCK_RE)}, 1))"
@@ -119,10 +125,10 @@ def cte_tokens(src: str) -> str:
                                    f"parent := {par})")
     void = inlist(TK.VOID_TAGS)
     return f"""
-tk_w AS (SELECT page_id, html, html IS NULL OR html = '' OR strlen(html) > {TK.MAX_PAGE_BYTES} AS whole
+tk_w AS (SELECT page_id, html, html IS NULL OR html = '' AS whole
          FROM {src} WHERE page_id IS NOT NULL),
-tk_a AS (SELECT page_id, regexp_split_to_array(html, {q(TK.MARKUP_RE)}) AS gs,
-                 regexp_extract_all(html, {q(TK.MARKUP_RE)}) AS ms FROM tk_w WHERE NOT whole),
+tk_a AS (SELECT page_id, regexp_split_to_array(html, {q(MARKUP_RE2)}) AS gs,
+                 regexp_extract_all(html, {q(MARKUP_RE2)}) AS ms FROM tk_w WHERE NOT whole),
 tk_g AS (SELECT page_id, unnest(gs) AS t, generate_subscripts(gs, 1) AS mno FROM tk_a),
 tk_m AS (SELECT page_id, unnest(ms) AS t, generate_subscripts(ms, 1) AS mno FROM tk_a),
 tk_s AS (

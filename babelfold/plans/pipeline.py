@@ -23,7 +23,7 @@ from babelfold.operators import segments as S
 from babelfold.operators import tokens as TK
 from babelfold.operators import translate as TR
 from babelfold.session import cut_lineage
-from babelfold.sources.pages import MAX_PAGE_BYTES, within_size
+from babelfold.sources.pages import within_size
 
 
 @dataclass
@@ -45,7 +45,7 @@ class PipelineResult:
 
 def translate_pages(pages: DataFrame, translator=None, concurrent: int = B.DEFAULT_CONCURRENT_BATCHES,
                     batch_size: int | None = None, iframe_mode: str = "off", escape_newlines: bool = False,
-                    max_parallel: int | None = None, max_page_bytes: int = MAX_PAGE_BYTES,
+                    max_parallel: int | None = None, max_page_bytes: int | None = None,
                     num_partitions: int | None = None, checkpoint_responses: bool | None = None,
                     persist: bool = False, memory: DataFrame | None = None,
                     lang: str = B.DEFAULT_TARGET_LANG) -> PipelineResult:
@@ -59,7 +59,7 @@ def translate_pages(pages: DataFrame, translator=None, concurrent: int = B.DEFAU
     translator = translator or TR.prefix(lang)
     src = pages.select("page_id", "html")
     # report view only (lazy): pages that are passed through untouched for input reasons
-    too_big = ~F.coalesce(within_size(F.col("html"), max_page_bytes), F.lit(True))
+    too_big = ~F.coalesce(within_size(F.col("html"), max_page_bytes), F.lit(True)) if max_page_bytes else F.lit(False)
     rejected = src.filter(too_big | F.col("page_id").isNull()).select(
         "page_id", F.lit("input").alias("error_class"),
         F.when(F.col("page_id").isNull(), F.lit("page_id is NULL"))
@@ -99,6 +99,11 @@ def translate_pages(pages: DataFrame, translator=None, concurrent: int = B.DEFAU
     rendered = A.render(applied)
     # every page (NULL/empty/oversized ones as a single 'whole' token) is rendered
     out = rendered.select("page_id", "html", "n_applied", "bytes_in")
+    # pages without an id can't be addressed: reported, and handed back as they are
+    nameless = src.filter(F.col("page_id").isNull()).select(
+        "page_id", "html", F.lit(0).cast(out.schema["n_applied"].dataType).alias("n_applied"),
+        F.octet_length("html").cast(out.schema["bytes_in"].dataType).alias("bytes_in"))
+    out = out.unionByName(nameless)
     # stage views for reports (lazy; not on the path of ``pages``)
     ok_resp = responses.filter(F.col("error_class").isNull()).select(
         "page_id", "batch_idx", "n", R.unwrap_response(F.col("response")).alias("text"))

@@ -49,5 +49,6 @@ def write_html_files(pages: DataFrame, path: str) -> None:
 
 
 def write_pages(df: DataFrame, path: str, lang_col: str = "lang") -> None:
-    """Sink: translated pages as parquet, one folder per target language."""
-    df.write.mode("overwrite").partitionBy(lang_col).parquet(path)
+    """Sink: translated pages as parquet, one folder per target language.
+    Only the languages written are replaced; others in the path stay."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(lang_col).parquet(path)

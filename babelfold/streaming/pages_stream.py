@@ -35,7 +35,7 @@ def translate_stream(spark: SparkSession, source_dir: str, sink_dir: str, checkp
     translator = translator or TR.prefix(lang)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
-        res = translate_pages(batch, translator=translator, **pipeline_kw)
+        res = translate_pages(batch, translator=translator, lang=lang, **pipeline_kw)
         out = res.pages.join(batch.select("page_id", "url"), "page_id").select(
             "page_id", "url", "html", "n_applied", F.lit(lang).alias("lang"))
         out.write.mode("overwrite").parquet(f"{sink_dir.rstrip('/')}/batch_id={batch_id}")

@@ -174,3 +174,39 @@ def test_memory_second_run_sends_nothing(spark):
     third = translate_pages(pages, memory=half)
     assert 0 < third.batches.count()
     assert {r.page_id: r.html for r in third.pages.collect()} == a
+
+
+def test_no_page_is_lost_or_left_out_for_its_size(spark):
+    big = "<p>Hello World</p>" + "<b>x1</b>" * 200_000
+    out = translate_pages(pages_df(spark, [(None, "<p>Hello World</p>"), (1, big)])).pages.collect()
+    assert len(out) == 2
+    assert {r.page_id: "zh:Hello World" in r.html for r in out} == {None: False, 1: True}
+
+
+def test_quoted_angle_bracket_does_not_end_a_tag(spark):
+    from babelfold.operators.tokens import partition_pages, tokenize
+
+    for html in ('<img alt="a > b picture" src="z.png">Hello', "<a title=it's x='>'>Hi</a>", '<p title="open>text</p>',
+                 '<script data-x="a>b">var a=1;</script>Hi', "<i " + " ".join(f'a{i}="{i}>"' for i in range(20_000)) + ">Hi</i>"):
+        rows = tokenize(partition_pages(pages_df(spark, [(1, html)]))).orderBy("pos").collect()
+        assert "".join(r.raw for r in rows) == html
+        assert [r.raw for r in rows if r.kind == "text"][-1] in ("Hello", "Hi", "text")
+    one = tokenize(partition_pages(pages_df(spark, [(1, '<img alt="a > b picture" src="z.png">Hello')]))).collect()
+    assert [(r.kind, r.tag) for r in sorted(one, key=lambda r: r.pos)] == [("open", "img"), ("text", None)]
+
+
+def test_memory_with_two_entries_and_null_pages(spark):
+    from babelfold.operators import memory as MEM
+
+    mem = spark.createDataFrame([("zh", "Hello", "old", 1), ("zh", "Hello", "new", 2)], "lang string, text string, translation string, run_ts long")
+    seg = spark.createDataFrame([(1, 0, "Hello")], "doc_id long, seq long, text string")
+    assert [r.translation for r in MEM.tm_split(seg, mem, "zh").collect()] == ["new"]
+    p = spark.createDataFrame([(1, None), (2, None), (3, "x")], "page_id long, html string")
+    assert {r.page_id: r.rep_id for r in MEM.dedup_pages(p).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_translator_errors_have_classes(spark):
+    def fn(payload):
+        raise TimeoutError("late") if "Hello" in payload else ValueError("x")
+    assert translate_pages(pages_df(spark, [(1, "<p>Hello World</p>")]), translator=fn).responses.first().error_class == "network"
+    assert translate_pages(pages_df(spark, [(1, "<p>Hello World</p>")]), translator=lambda p: {"a": 1}).responses.first().error_class == "parse"
