@@ -68,6 +68,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
+def sampled(df: DataFrame, text: str, rows: int) -> DataFrame:
+    """About ``rows`` of the table's distinct texts, those whose hash is under a
+    share of all hashes; all of them if there are fewer.  Every task picks its
+    own, so no task gathers candidates."""
+    some = df.select(F.col(text).cast("string").alias(text)).dropna()
+    share = rows / max(df.count(), 1)
+    if share < 1:
+        some = some.filter(F.xxhash64(text) <= int(share * 2**64) - 2**63)
+    return some.groupBy(F.xxhash64(text)).agg(F.first(text).alias(text)).select(text)
+
+
 SMALL_ROWS = 20_000
 
 

@@ -10,8 +10,8 @@ Decoding is hierarchical: over the whole tree the likeliest choice is taken
 under which everything below a rejected node is rejected and everything above
 a kept one is kept (two costs a node, summed from the leaves up).
 
-There are no labelled pages, so training pages are made from the words of at
-most ``TRAIN_PAGES`` pages of the table: layouts with menus, headers, footers,
+There are no labelled pages, so training pages are made from the words of
+about ``TRAIN_PAGES`` pages of the table: layouts with menus, headers, footers,
 sidebars, notices, adverts, forms and reader comments around an article, of
 which it is known what is what.  Pages are read where they lie, without a
 shuffle; the trees, of a fixed size, are broadcast.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .cluster import cut, ready
+from .cluster import cut, ready, sampled
 
 TRAIN_PAGES, VARIANTS = 300, 3
 TREES, DEPTH = 20, 5
@@ -376,9 +376,9 @@ def _tree(root):
 
 
 def train(pages: DataFrame, sample: int = TRAIN_PAGES) -> Trees:
-    """Trees fitted on training pages made from the words of ``sample`` pages at most."""
+    """Trees fitted on training pages made from the words of about ``sample`` pages."""
     ready(pages)
-    some = pages.select(F.col("html").cast("string").alias("html")).filter("length(html) > 0").orderBy(F.xxhash64("html")).limit(sample)
+    some = sampled(pages.select("html"), "html", sample).filter("length(html) > 0")
     rows = some.mapInArrow(_train_rows, "x array<double>, label double")
     rows = cut(rows.select(array_to_vector("x").alias("features"), "label").repartition(6))
     if rows.isEmpty():
