@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,16 +41,52 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+FOREST_EDGES = 500_000  # edges that one task joins by itself
+
+
+def _forest(batches):
+    """A partition's edges (a, b) as stars (node, smallest node joined to it here)."""
+    up: dict[int, int] = {}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            up.setdefault(a, a), up.setdefault(b, b)
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    stars = [(x, root(x)) for x in up]
+    stars = [s for s in stars if s[0] != s[1]]
+    yield pa.RecordBatch.from_arrays([pa.array([s[k] for s in stars], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` -> ``(node, component)``, the smallest node reachable.
 
-    Alternating large-star / small-star rounds.  Every round is an aggregate
-    with map-side partials and a join of two written tables, so a node with a
-    third of all edges is split; nothing is gathered in a task or the driver.
+    First every task replaces its edges, FOREST_EDGES at most, by the stars of
+    their own components, on fewer and fewer partitions as the edges shrink.  If
+    that ends in one partition of that bounded size, it is the answer.  Else
+    alternating large-star / small-star rounds join the stars: each is an
+    aggregate with map-side partials and a join of two written tables, so a
+    node with a third of all edges is split, and no task or driver gathers them.
     Nodes without an edge are not in the result; an empty input gives no rows.
     """
+    ready(edges)
     # kept with a > b
-    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = cut(edges.filter("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct())
+    n = e.count()
+    while True:
+        parts = max(1, -(-n // FOREST_EDGES))
+        e, was = cut(e.coalesce(parts).mapInArrow(_forest, "a long, b long")), n
+        if parts == 1:
+            return _named(e)
+        n = e.count()
+        if n > 0.7 * was:
+            break
     seen = None
     while True:
         # large star: every larger neighbour of u is linked to the smallest node around u
@@ -64,8 +101,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-        e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+    return _named(e)
+
+
+def _named(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
+        stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
 def sampled(df: DataFrame, text: str, rows: int) -> DataFrame:
