@@ -2,11 +2,15 @@
 
 Every text becomes a vector of transformed statistics.  For each language and
 source a minimum-covariance-determinant estimate is made of the vectors that
-pass the base rules: from medians and quartiles as the start, concentration
-steps keep the ``keep_share`` of rows nearest to the current centre and take
-their mean and covariance anew.  A row is rejected if its squared Mahalanobis
-distance, scaled to the chi-square median, is beyond the chi-square quantile
-``confidence``.
+pass the base rules.  Fixed starts are the medians with the quartiles, and the
+rows on either side of each statistic's median; junk that stands apart in some
+statistic is missing from one of them.  From each, concentration steps keep the
+``keep_share`` of rows nearest to the current centre and take their mean and
+covariance anew; the start that reaches the least determinant goes on.  All
+rows near its result then give the mean and covariance that count, so up to
+nearly half of a group may be junk.  A row is rejected if its squared
+Mahalanobis distance, scaled to the chi-square median of those rows, is beyond
+the chi-square quantile ``confidence``.
 
 The covariance has a floor per statistic (``FLOORS``): many statistics are
 constant in clean text, and the first symbol in a text is no outlier.  All is
@@ -31,7 +35,8 @@ from .cluster import cut, ready, small
 
 NAMES = ("word_length", "symbols", "punctuation", "capitals", "repeats", "same_lines")
 FLOORS = (0.10, 0.60, 0.30, 0.10, 0.25, 0.25)  # least standard deviation of each
-KEEP_SHARE, STEPS, MIN_ROWS, CONFIDENCE = 0.75, 4, 60, 0.9999
+KEEP_SHARE, STEPS, MIN_ROWS, CONFIDENCE = 0.5, 3, 60, 0.9999  # STEPS from every start, and again from the best
+NEAR, REWEIGHTS = 0.975, 2  # chi-square quantile up to which rows count in the end
 ALL = "*"  # the group of all rows
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_punct", "n_upper")
 
@@ -125,12 +130,24 @@ def chi2_quantile(p: float, k: int) -> float:
     return k * (1 - 2 / (9 * k) + z * math.sqrt(2 / (9 * k))) ** 3
 
 
+def consistency(share: float, k: int) -> float:
+    """By how much the covariance of the innermost ``share`` of normal vectors of an even dimension is too small."""
+    x = chi2_quantile(share, k) / 2
+    return share / (1 - math.exp(-x) * sum(x ** i / math.factorial(i) for i in range(k // 2 + 1)))
+
+
 def _inverse(batches):
-    """(g, centre, cov) -> (g, centre, precision): one small matrix a row."""
+    """(g, s, centre, cov) -> (g, s, centre, precision, log of the determinant): one small matrix a row."""
     p = len(FLOORS)
     for b in batches:
-        inv = [np.linalg.inv(np.array(c, float).reshape(p, p) + np.diag(np.square(FLOORS))).ravel().tolist() for c in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(inv, pa.list_(pa.float64()))], ["g", "centre", "precision"])
+        cov = [np.array(c, float).reshape(p, p) + np.diag(np.square(FLOORS)) for c in b.column(3).to_pylist()]
+        inv = [np.linalg.inv(c).ravel().tolist() for c in cov]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(inv, pa.list_(pa.float64())),
+                                          pa.array([np.linalg.slogdet(c)[1] for c in cov], pa.float64())], ["g", "s", "centre", "precision", "det"])
+
+
+def _inverted(moments: DataFrame) -> DataFrame:
+    return cut(moments.select("g", "s", "centre", "cov").mapInArrow(_inverse, "g string, s int, centre array<double>, precision array<double>, det double"))
 
 
 def _distance() -> Column:
@@ -140,31 +157,54 @@ def _distance() -> Column:
 
 
 def _moments(rows: DataFrame) -> DataFrame:
-    """(g, centre, cov) of the vectors of each group."""
+    """(g, s, centre, cov) of the vectors of each group and start."""
     p = len(FLOORS)
-    mean = [F.avg(F.col("x")[i]) for i in range(p)]
-    cov = [F.covar_pop(F.col("x")[i], F.col("x")[j]) for i in range(p) for j in range(p)]
-    return rows.groupBy("g").agg(F.array(*mean).alias("centre"), F.array(*cov).alias("cov"))
+    mean = [F.avg(F.col("x")[i]).alias(f"m{i}") for i in range(p)]
+    cov = [F.covar_pop(F.col("x")[i], F.col("x")[j]).alias(f"c{i}{j}") for i in range(p) for j in range(i, p)]
+    return rows.groupBy("g", "s").agg(*mean, *cov).select("g", "s", F.array(*[f"m{i}" for i in range(p)]).alias("centre"), F.array(
+        *[f"c{min(i, j)}{max(i, j)}" for i in range(p) for j in range(p)]).alias("cov"))
 
 
-def estimates(rows: DataFrame, keep_share: float = KEEP_SHARE, steps: int = STEPS) -> DataFrame:
-    """``rows(g, x)`` -> ``(g, centre, precision, scale)``, one row a group."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """(g, s, centre, cov): start 0 from medians and quartiles, the others from the rows on either side of a median."""
     p = len(FLOORS)
     quart = [F.percentile_approx(F.col("x")[i], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000) for i in range(p)]
-    start = rows.groupBy("g").agg(*[q.alias(f"q{i}") for i, q in enumerate(quart)])
+    q = cut(rows.groupBy("g").agg(*[c.alias(f"q{i}") for i, c in enumerate(quart)]))
     spread = [F.pow((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, 2) for i in range(p)]
-    now = start.select("g", F.array(*[F.col(f"q{i}")[1] for i in range(p)]).alias("centre"),
-                       F.array(*[spread[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p)]).alias("cov"))
-    schema = "g string, centre array<double>, precision array<double>"
-    for step in range(steps + 1):
-        now = cut(now.mapInArrow(_inverse, schema))
-        far = rows.join(small(now), "g").select("g", "x", _distance().alias("d"))
-        share = 0.5 if step == steps else keep_share
-        limit = cut(far.groupBy("g").agg(F.percentile_approx("d", share, 10_000).alias("limit")))
-        if step < steps:
-            now = _moments(far.join(small(limit), "g").filter("d <= limit"))
+    middle = q.select("g", F.lit(0).alias("s"), F.array(*[F.col(f"q{i}")[1] for i in range(p)]).alias("centre"),
+                      F.array(*[spread[i] if i == j else F.lit(0.0) for i in range(p) for j in range(p)]).alias("cov"))
+    sides = [F.when(c, F.lit(k)) for i in range(p) for c, k in ((F.col("x")[i] <= F.col(f"q{i}")[1], 2 * i + 1), (F.col("x")[i] >= F.col(f"q{i}")[1], 2 * i + 2))]
+    halves = rows.join(small(q), "g").select("g", "x", F.explode(F.array_compact(F.array(*sides))).alias("s"))
+    return middle.union(_moments(halves))
+
+
+def _far(rows: DataFrame, now: DataFrame) -> DataFrame:
+    return rows.join(small(now), "g").select("g", "s", "x", _distance().alias("d"))
+
+
+def _quantile(far: DataFrame, share: float) -> DataFrame:
+    return cut(far.groupBy("g", "s").agg(F.percentile_approx("d", share, 10_000).alias("limit")))
+
+
+def estimates(rows: DataFrame, keep_share: float = KEEP_SHARE, steps: int = STEPS) -> DataFrame:
+    """``rows(g, x)`` -> ``(g, centre, precision, scale)``, one row a group."""
+    p = len(FLOORS)
+    now = _inverted(_starts(rows))
+    for step in range(2 * steps):
+        far = _far(rows, now)
+        now = _inverted(_moments(far.join(small(_quantile(far, keep_share)), ["g", "s"]).filter("d <= limit")))
+        if step == steps - 1:
+            best = now.groupBy("g").agg(F.min(F.struct("det", "s", "centre", "precision")).alias("b"))
+            now = cut(best.select("g", "b.s", "b.centre", "b.precision", "b.det"))
+    # the innermost rows have too small a covariance; junk among the rest must not stretch it further
+    far = _far(rows, now)
+    scale = F.least(F.greatest(F.lit(1.0), F.col("limit") / chi2_quantile(keep_share, p)), F.lit(consistency(keep_share, p)))
+    near = far.join(small(_quantile(far, keep_share)), ["g", "s"]).filter(F.col("d") <= chi2_quantile(NEAR, p) * scale)
+    for _ in range(REWEIGHTS):
+        now = _inverted(_moments(near))
+        near = _far(rows, now).filter(F.col("d") <= chi2_quantile(NEAR, p))
     scale = F.greatest(F.lit(1.0), F.col("limit") / chi2_quantile(0.5, p))
-    return now.join(limit, "g").select("g", "centre", "precision", scale.alias("scale"))
+    return now.join(_quantile(near, 0.5), ["g", "s"]).select("g", "centre", "precision", scale.alias("scale"))
 
 
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", columns: list[str] | None = None,

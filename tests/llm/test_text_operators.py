@@ -125,6 +125,25 @@ def test_quality_counts_and_outliers(spark):
     assert quality.judge(df.limit(0)).count() == 0
 
 
+def test_quality_rejects_junk_that_is_nearly_half_of_a_group(spark):
+    rng = random.Random(16)
+
+    def plain():
+        return ". ".join(" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(12)).capitalize()
+                         for _ in range(rng.randint(6, 30)))
+    rows = []
+    for share in (0, 10, 30, 38, 45):
+        for i in range(200):
+            t = plain()
+            junk = i < 2 * share
+            if junk:
+                t = " ".join(w + "***" if rng.random() < 0.7 else w for w in t.split())
+            rows.append((share * 1000 + i, t, "en", f"s{share}", junk))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, junk boolean")
+    wrong = [(r.source, r.doc_id, r.distance) for r in quality.judge(df, columns=["doc_id", "source", "junk"]).collect() if r.base_failed or r.kept == r.junk]
+    assert not wrong, (len(wrong), wrong[:5])
+
+
 def test_seeds_equal_the_forms(spark):
     rng = random.Random(7)
     bits = ["a.b@c-d.org", "x@y", "1.2.3.4", "300.1.1.1", "1.2.3.4.5.6.7.8", "4111 1111 1111 1111", "4111111111111112", "+1 (017) 555-7713",
