@@ -23,6 +23,8 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,8 @@ TREES, DEPTH = 20, 5
 SLICE_CHARS = 1 << 21
 
 # fixed values: what HTML says of its elements
-RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "title", "select", "object", "noembed", "noframes", "xmp")
+RAW = ("script", "style", "textarea", "iframe", "title", "noembed", "noframes", "xmp")
+HIDDEN = frozenset(("noscript", "template", "svg", "select", "object"))  # markup inside, which shows no main text
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("""html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure
 footer form frameset h1 h2 h3 h4 h5 h6 header hgroup legend li main menu nav ol p pre search section summary table caption
@@ -66,13 +69,52 @@ TOKENS = {
 GROUP = {w: i for i, ws in enumerate(TOKENS.values()) for w in ws.split()}
 TAGS = ("nav", "header", "footer", "aside", "form", "article", "main", "section", "div", "p", "heading", "list", "li", "table", "button", "text", "other")
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<(" + "|".join(RAW) + r")(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|([^<]+|<)", re.S | re.I)
+# attributes as HTML reads them: a quote opens a value only directly after '='
+_ATTRS = r"(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)?+)*+"
+
+
+def _token(raw: str) -> re.Pattern:
+    return re.compile(r"<!--.*?(?:--!?>|\Z)|<(" + raw + r")(?=[\s/>])" + _ATTRS + r">.*?(?:</\1(?=[\s/>])[^>]*>|\Z)"
+                      r"|<(/?)([a-zA-Z][^\s/>]*)(" + _ATTRS + r")>|<[!?/][^>]*>|([^<]+|<)", re.S | re.I)
+
+
+_TOKEN, _FOREIGN = _token("|".join(RAW)), _token(r"(?!)")  # svg has no raw text
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
 
+def _tokens(source: str) -> list[re.Match]:
+    """The tokens outside of hidden elements, which end at their own end tag.
+    One that has none hides nothing; an svg also ends where a block begins or ends."""
+    found, edge, inside, names, pos = [], Counter(), [], Counter(), 0
+
+    def end(k):  # of the open element k and those in it, before the next token
+        if inside[k][0] in HIDDEN:
+            edge[inside[k][1]] += 1
+            edge[len(found)] -= 1
+        names.subtract(n for n, _ in inside[k:])
+        del inside[k:]
+    while pos < len(source):
+        foreign = bool(inside) and inside[-1][0] == "svg"
+        m = (_FOREIGN if foreign else _TOKEN).match(source, pos)
+        pos, tag = m.end(), (m.group(3) or "").lower()
+        if foreign and tag in BLOCKS:
+            while inside and inside[-1][0] == "svg":
+                end(len(inside) - 1)
+        if tag == "select" and not m.group(2) and inside and inside[-1][0] == "select":
+            end(len(inside) - 1)
+        found.append(m)
+        if tag in HIDDEN or tag == "foreignobject" and (foreign or names[tag]):
+            if not m.group(2):
+                if not ((foreign or tag == "svg") and m.group(4).endswith("/")):
+                    inside.append((tag, len(found) - 1))
+                    names[tag] += 1
+            elif names[tag]:
+                end(max(k for k in range(len(inside)) if inside[k][0] == tag) if inside[-1][0] != tag else len(inside) - 1)
+    depth = accumulate(edge[i] for i in range(len(found)))
+    return [m for m, d in zip(found, depth) if not d]
+
+
 class Page:
     """Nodes of a page in document order: parent, tag, groups of tokens, text of runs, link characters."""
 
@@ -87,7 +129,7 @@ class Page:
                 self._add(stack[-1], "text", 0, t, min(linked, len(t)))
             run.clear()
             linked = 0
-        for m in _TOKEN.finditer(source):
+        for m in _tokens(source):
             raw, close, tag, attrs, text = m.group(1), m.group(2), m.group(3), m.group(4), m.group(5)
             if text is not None:
                 if not skip:

@@ -195,6 +195,23 @@ def test_main_text(spark):
     assert html_extract.extract_text(df.limit(0), trees).count() == 0
 
 
+@pytest.mark.parametrize("source, want", [
+    ('<p>A <svg class="i"/> first.</p><p>second</p></article>', ["A first.", "second"]),
+    ('<p>A <svg class="i"/> first.</p><p>second</p><svg><text>x</text></svg><p>third', ["A first.", "second", "third"]),
+    ("<p title=it's>one</p><p>two don't three</p>", ["one", "two don't three"]),
+    ("<p title='a > b' id=\"c > d\" x = 'e > f'>one", ["one"]),
+    ("<p>a<svg><style/><title/><svg>x</svg>y</svg>b<p>c", ["ab", "c"]),
+    ("<p>a<svg><path><p>b<p>c<svg></svg>", ["a", "b", "c"]),
+    ("<p>a<svg><foreignObject><p>x</p></foreignObject>y</svg>b", ["ab"]),
+    ("<p>a<object>x<object>y</object>z</object>b<p>c", ["ab", "c"]),
+    ("<p>a<object data=x><p>b<p>c", ["a", "b", "c"]),
+    ("<p>a<select><option>x<option>y</select>b<noscript>x</noscript><template><p>x</template>c", ["abc"]),
+    ("<p>a<script>if (a < b) '</p>'</script>b<style>p > a {}", ["ab"]),
+])
+def test_only_hidden_elements_hide_text(source, want):
+    assert [t for t in html_extract.Page(source).text if t] == want
+
+
 def test_main_text_on_layouts_it_was_not_trained_on(spark):
     trees = html_extract.train(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
     bad = 0
