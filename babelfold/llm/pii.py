@@ -6,12 +6,15 @@
 2. Candidates: the other words that hold a digit or an @.
 3. Seeds and candidates have lexical patterns: the word before, the two words
    before, and the words around.  Patterns and values form a graph.
-4. Rounds over the graph: a pattern's confidence for a kind is the mean
-   confidence of its distinct values (seeds: 1); a value's is that of its best
-   pattern with enough seed support.  What the graph gathers grows with the
-   corpus; every step is an aggregate with map-side partials, or a join of two
-   written tables, so that a pattern with a third of all values is split.
-5. Candidates of values above the confidence bound become spans of their kind.
+4. Rounds over the graph: a pattern is accepted for a kind if enough of its
+   distinct values, and the share ``confidence`` of all of them, are seeds of
+   the kind or were accepted as such in an earlier round, so through other
+   patterns.  All values of an accepted pattern are accepted for the next
+   round.  What the graph gathers grows with the corpus; every step is an
+   aggregate with map-side partials, or a join of two written tables, so that a
+   pattern with a third of all values is split.
+5. Candidates become spans of their kind where a pattern of their own place is
+   accepted; the same value elsewhere does not.
 """
 
 from __future__ import annotations
@@ -124,24 +127,28 @@ def find_spans(docs: DataFrame, min_seeds: int = MIN_SEEDS, confidence: float =
     after = F.regexp_replace("after", "[0-9]", "9")
     named = F.array(F.concat(F.lit("1 "), one), F.when(F.size(two) > 1, F.concat_ws(" ", F.lit("2"), two)),
                     F.concat(F.lit("3 "), one, F.lit(" _ "), after))
-    edges = (hits.filter("kind is not null").withColumn("two", two).filter(F.size("two") > 0)
-             .select(F.lower("value").alias("value"), "kind", F.explode(F.filter(named, lambda x: x.isNotNull())).alias("pattern"))
-             .groupBy("pattern", "value").agg(F.max(F.when(F.col("kind") != "word", F.col("kind"))).alias("seed")))
-    # a pattern without enough seeds, or without a candidate, has no part in it
-    use = edges.groupBy("pattern").agg(F.count("seed").alias("seeds"), F.count(F.lit(1)).alias("n")).filter(
-        (F.col("seeds") >= min_seeds) & (F.col("n") > F.col("seeds")))
-    edges = cut(edges.join(small(cut(use.select("pattern"))), "pattern", "left_semi"))
-    value_conf = cut(edges.filter("seed is not null").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("c")).distinct())
-    total = cut(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n")))
+    placed = hits.filter("kind is not null").withColumn("two", two).filter(F.size("two") > 0).select(
+        "row", "start", F.lower("value").alias("value"), "kind", F.explode(F.filter(named, lambda x: x.isNotNull())).alias("pattern"))
+    edges = placed.groupBy("pattern", "value").agg(F.max(F.when(F.col("kind") != "word", F.col("kind"))).alias("seed"))
+    # a pattern of too few values, or without a candidate, has no part in it in any round
+    total = cut(edges.groupBy("pattern").agg(F.count("seed").alias("seeds"), F.count(F.lit(1)).alias("n")).filter(
+        (F.col("n") >= min_seeds) & (F.col("n") > F.col("seeds"))).select("pattern", "n"))
+    edges = cut(edges.join(small(total), "pattern"))
+    seeds = cut(edges.filter("seed is not null").select("value", F.col("seed").alias("kind")).distinct())
+    known, many, rated = seeds, -1, None
     for _ in range(rounds):
-        gained = edges.select("pattern", "value").join(small(value_conf), "value").groupBy("pattern", "kind").agg(F.sum("c").alias("c"))
-        rated = cut(gained.join(small(total), "pattern").select("pattern", "kind", (F.col("c") / F.col("n")).alias("r")))
-        passed = edges.filter("seed is null").join(small(rated), "pattern").groupBy("value", "kind").agg(F.max("r").alias("c"))
-        value_conf = cut(edges.filter("seed is not null").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("c")).distinct()
-                         .union(passed.select("value", "kind", "c")))
-    best = (value_conf.filter(F.col("c") >= confidence).groupBy("value").agg(F.max(F.struct("c", "kind")).alias("b"))
-            .select("value", F.col("b.kind").alias("as_kind")))
-    out = hits.join(small(cut(best.withColumnRenamed("value", "low"))), F.lower("value") == F.col("low"), "left")
+        gained = edges.select("pattern", "n", "value").join(small(known), "value").groupBy("pattern", "kind").agg(
+            F.count(F.lit(1)).alias("c"), F.first("n").alias("n"))
+        rated = cut(gained.filter((F.col("c") >= min_seeds) & (F.col("c") / F.col("n") >= confidence)).select(
+            "pattern", F.col("kind").alias("as_kind"), (F.col("c") / F.col("n")).alias("r")))
+        was, many = many, rated.count()
+        if many in (0, was):  # patterns stay accepted, so the same number is the same set
+            break
+        passed = edges.filter("seed is null").join(small(rated), "pattern").select("value", F.col("as_kind").alias("kind"))
+        known = cut(seeds.union(passed.distinct()))
+    best = placed.filter("kind = 'word'").join(small(rated), "pattern").groupBy("row", "start").agg(
+        F.max(F.struct("r", "as_kind")).alias("b")).select("row", "start", F.lit("word").alias("kind"), F.col("b.as_kind").alias("as_kind"))
+    out = hits.join(small(cut(best)), ["row", "start", "kind"], "left")
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("k")).cast("int")
     base = F.col("kind").isNotNull() & (F.col("kind") != "word")
     span = F.struct("rank", "start", "end", F.col("k").alias("kind"), "value")

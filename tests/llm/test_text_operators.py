@@ -163,6 +163,18 @@ def test_contexts_discover_what_the_forms_miss(spark):
     assert pii.digests(pii.find_spans(table(spark, []))).count() == 0
 
 
+def test_contexts_are_rated_by_others_only_and_values_count_in_place(spark):
+    rows = [(i, f"call my phone number: +1 (555) 123-{i:04d} any time") for i in range(1000, 1120)]
+    rows += [(2000 + j, f"call my phone number: 555-123-900{j} any time") for j in range(10)]  # 120 of 130 are seeds
+    rows += [(2100 + j, f"by fax desk 555-123-900{j} now") for j in range(10)] + [(2110, "by fax desk 555-777-0000 now")]  # a second hop
+    rows += [(2200 + i, f"the ticket ref +1 (555) 999-{i:04d} ok") for i in range(12)]
+    rows += [(2300 + i, f"the ticket ref 77{i} ok") for i in range(8)]  # 12 of 20 are seeds
+    rows += [(2400, "a room 555-123-9001 empty")]
+    out = {r.doc_id: [x.value for x in r.found] for r in pii.find_spans(table(spark, rows)).collect()}
+    want = {2000 + 100 * k + j: [f"555-123-900{j}"] for j in range(10) for k in (0, 1)} | {2110: ["555-777-0000"]}
+    assert {d: v for d, v in out.items() if v} == want
+
+
 def test_licences(spark):
     rng = random.Random(8)
     plain = [(i, "\n".join(" ".join(rng.choice(("alpha", "version", "beta", "gamma", "under", "the", "this", "work", "is")) for _ in range(rng.randint(3, 30)))
