@@ -5,8 +5,6 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-SF_SMALL = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -14,7 +12,3 @@ def spark():
 
     s = get_session(master="local[*]", shuffle_partitions=8)
     yield s
-
-
-def one_col(spark, values, name="v", dtype="string"):
-    return spark.createDataFrame([(v,) for v in values], f"{name} {dtype}")

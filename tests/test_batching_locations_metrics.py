@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from babelfold.functions import urls as U
 from babelfold.operators import batching as B
 from babelfold.operators import metrics as M
-from conftest import one_col
+from support import one_col
 
 
 @pytest.mark.parametrize("n,c,size,batches", [(1, 5, 5, 1), (5, 5, 5, 1), (27, 5, 5, 6), (50, 5, 10, 5),

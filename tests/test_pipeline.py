@@ -9,7 +9,7 @@ from babelfold.operators import segments as S
 from babelfold.operators import tokens as TK
 from babelfold.operators import translate as TR
 from babelfold.plans.pipeline import translate_pages
-from conftest import SF_SMALL
+from support import SF_SMALL
 
 PAGE = """<!DOCTYPE html>
 <html lang="en"><head><title>Test Page</title></head>

@@ -4,7 +4,7 @@ import os
 import tempfile
 
 from babelfold.streaming.pages_stream import translate_stream
-from conftest import SF_SMALL
+from support import SF_SMALL
 
 
 def test_stream_translates_landed_pages(spark):

@@ -5,7 +5,7 @@ import html
 from pyspark.sql import functions as F
 
 from babelfold.functions import text as T
-from conftest import one_col
+from support import one_col
 
 NBSP = " "
 
