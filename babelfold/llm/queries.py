@@ -14,6 +14,7 @@ from .decontaminate import find_passages
 from .html_extract import extract_text
 from .licenses import scan
 from .line_dedup import dedup_lines
+from .merkle import fold, manifest, siblings
 from .near_dup import near_duplicates
 from .pii import digests as span_digests, find_spans
 from .quality import judge
@@ -97,6 +98,14 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs.withColumn("n_lines", lines)).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one_more = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    proved = manifest(_table(spark, sf_dir, "documents"), changed={"n_chars": one_more})
+    return (proved.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("proof")), 256).alias("proof_sha256"),
+                          fold(F.col("changed"), F.col("proof")).alias("folded_root"))
+            .withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
 LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2_SQL = rf"""
@@ -174,6 +183,59 @@ FROM d LEFT JOIN x ON x.doc_id = d.doc_id
 """
 
 
+OP12_SQL = r"""
+WITH RECURSIVE f(s) AS (SELECT NULL),
+d AS (
+  SELECT doc_id, lang, n_chars AS c, row_number() OVER () AS r,
+    CASE WHEN list_reduce(list_concat([4294967295::UBIGINT], [ascii(x)::UBIGINT FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]),
+        lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: xor(c >> 1, 3988292384::UBIGINT * (c & 1)))) IS NULL
+      THEN false ELSE
+      xor(list_reduce(list_concat([4294967295::UBIGINT], [ascii(x)::UBIGINT FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]),
+        lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: xor(c >> 1, 3988292384::UBIGINT * (c & 1)))), 4294967295::UBIGINT) % 7 = 0
+    END AS t,
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS p,
+    coalesce(strlen(text) || ':' || text, '-') AS q
+  FROM documents),
+e AS (
+  SELECT doc_id, lang, r, sha256(p || coalesce(strlen(CAST(c AS VARCHAR)) || ':' || CAST(c AS VARCHAR), '-') || q) AS leaf,
+    CASE WHEN t AND c IS NOT NULL THEN sha256(p || strlen(CAST(c + 1 AS VARCHAR)) || ':' || CAST(c + 1 AS VARCHAR) || q) END AS bad
+  FROM d),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos FROM e),
+t(lang, level, idx, digest, n) AS (
+  SELECT lang, 0, pos, leaf, count(*) OVER (PARTITION BY lang) FROM leaves
+  UNION ALL
+  SELECT lang, level + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), count(*) OVER (PARTITION BY lang)
+  FROM t WHERE n > 1 GROUP BY lang, level, idx // 2),
+s AS (
+  SELECT lang, digest AS subroot, level AS high, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS pos FROM t WHERE n = 1),
+u(level, idx, digest, n) AS (
+  SELECT 0, pos, subroot, count(*) OVER () FROM s
+  UNION ALL
+  SELECT level + 1, idx // 2, sha256(string_agg(digest, '' ORDER BY idx)), count(*) OVER () FROM u WHERE n > 1 GROUP BY level, idx // 2),
+-- every leaf climbs: its own digest with or without the change, and the siblings met so far
+c(doc_id, lang, r, leaf, level, idx, digest, proof, part) AS (
+  SELECT doc_id, lang, r, leaf, 0, pos, coalesce(bad, leaf), '', 0 FROM leaves
+  UNION ALL
+  SELECT c.doc_id, c.lang, c.r, c.leaf,
+    CASE WHEN c.part = 0 AND c.level = s.high THEN 0 ELSE c.level + 1 END,
+    CASE WHEN c.part = 0 AND c.level = s.high THEN s.pos ELSE c.idx // 2 END,
+    CASE WHEN c.part = 0 AND c.level = s.high THEN c.digest
+         WHEN c.idx % 2 = 1 THEN sha256(coalesce(a.digest, b.digest) || c.digest)
+         ELSE sha256(c.digest || coalesce(a.digest, b.digest, '')) END,
+    c.proof || coalesce(a.digest, b.digest, ''),
+    CASE WHEN c.part = 0 AND c.level = s.high THEN 1 ELSE c.part END
+  FROM c JOIN s ON s.lang IS NOT DISTINCT FROM c.lang
+  LEFT JOIN t a ON c.part = 0 AND a.lang IS NOT DISTINCT FROM c.lang AND a.level = c.level AND a.idx = xor(c.idx, 1)
+  LEFT JOIN u b ON c.part = 1 AND b.level = c.level AND b.idx = xor(c.idx, 1)
+  WHERE c.part = 0 OR c.level < (SELECT max(level) FROM u))
+SELECT c.doc_id, c.leaf, s.subroot, (SELECT digest FROM u WHERE n = 1) AS root, sha256(c.proof) AS proof_sha256,
+       c.digest AS folded_root, c.digest = (SELECT digest FROM u WHERE n = 1) AS verified
+FROM c JOIN s ON s.lang IS NOT DISTINCT FROM c.lang
+WHERE c.part = 1 AND c.level = (SELECT max(level) FROM u)
+"""
+
+
 def queries() -> dict:
     return {
         "op1_html_text": op1_html_text,
@@ -186,8 +248,10 @@ def queries() -> dict:
         "op8_pii": op8_pii,
         "op9_licences": op9_licences,
         "op10_line_dedup": op10_line_dedup,
+        "op12_merkle_manifest": op12_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_near_duplicates": OP2_SQL, "op5_decontaminate": OP5_SQL, "op10_line_dedup": OP10_SQL}
+    return {"op2_near_duplicates": OP2_SQL, "op5_decontaminate": OP5_SQL, "op10_line_dedup": OP10_SQL,
+            "op12_merkle_manifest": OP12_SQL}
