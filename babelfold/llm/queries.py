@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .bpe import digests, encode_decode
 from .decontaminate import find_passages
 from .html_extract import extract_text
+from .langid import identify, train as train_languages
 from .licenses import scan
 from .line_dedup import dedup_lines
 from .merkle import fold, manifest, siblings
@@ -20,6 +21,7 @@ from .pii import digests as span_digests, find_spans
 from .quality import judge
 from .token_counts import count_tokens
 from .toxicity import score_toxicity, train
+from .whitening import whiten
 
 # joins keep all their keys, so that hot keys can be split at run time
 CONF = {
@@ -98,6 +100,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs.withColumn("n_lines", lines)).select("doc_id", "n_lines", "n_dropped", "text")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     one_more = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
     proved = manifest(_table(spark, sf_dir, "documents"), changed={"n_chars": one_more})
@@ -106,6 +112,14 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("verified", F.col("folded_root") == F.col("root")))
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    rest = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = train_languages(docs.filter(rest != 2))
+    return identify(docs, model, columns=["doc_id"]).select(
+        "doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP2_SQL = rf"""
@@ -248,7 +262,9 @@ def queries() -> dict:
         "op8_pii": op8_pii,
         "op9_licences": op9_licences,
         "op10_line_dedup": op10_line_dedup,
+        "op11_whitening": op11_whitening,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_language": op13_language,
     }
 
 
