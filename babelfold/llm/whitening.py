@@ -41,7 +41,7 @@ from .cluster import ready
 SCALE, OFFSET = 1024, 100_000
 PASSES = 6        # Gram passes at most
 RANK = 1e-10      # singular values under this share of the greatest are no components
-ADDERS = 256      # tasks that add the Gram matrices of the tasks before them
+ADDERS = 256      # slots in which the tasks' Gram matrices are added first (few matrices: fewer tasks)
 BLOCK = 1 << 21   # entries that a task handles at once
 _U = np.finfo(float).eps / 2
 
@@ -136,7 +136,7 @@ _GRAM = "slot int, g array<double>"
 
 
 def gram(vectors: DataFrame, dims: int, mean: np.ndarray, project: np.ndarray | None = None, factors=()) -> np.ndarray:
-    rows = (vectors.mapInArrow(_gram(dims, mean, project, list(factors)), _GRAM).repartition(ADDERS, "slot")
+    rows = (vectors.mapInArrow(_gram(dims, mean, project, list(factors)), _GRAM).repartition("slot")
             .mapInArrow(_add, _GRAM).repartition(1).mapInArrow(_add, _GRAM).collect())  # one matrix
     k = int(round(len(rows[0].g) ** 0.5))
     return np.array(rows[0].g).reshape(k, k)
