@@ -97,82 +97,22 @@ def fold_ws(col) -> Column:
 
 
 # --- character references ------------------------------------------------------
-# Named references: the HTML 4 table shipped with Python's standard library
-# (252 names) plus ``apos``; built from that table, not listed here.  The rarer
-# HTML5-only names (mostly mathematical symbols) are left undecoded.
-ENTITY_TABLE: dict[str, str] = {
-    **{k: chr(v) for k, v in sorted(html.entities.name2codepoint.items())}, "apos": "'",
-}
+# All names of HTML5 come from the table of Python's standard library, built
+# here and not listed: names with ';', and the older ones that also count
+# without it.  A reference is the longest name that the text after '&' starts
+# with, so a name without ';' can end inside a word ("&notit" is "¬it"); inside
+# attribute values such a name doesn't count before '=', a letter or a digit.
+ENTITY_TABLE: dict[str, str] = {k[:-1]: v for k, v in sorted(html.entities.html5.items()) if k.endswith(";")}
+LEGACY_NAMES: list[str] = sorted((k for k in html.entities.html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+# --- fixed values: code points 128-159 mean Windows-1252 characters (five have none)
+C1_REMAP: dict[int, int] = {128 + i: ord(c) for i in range(32) if (c := bytes([128 + i]).decode("cp1252", "ignore"))}
+# ------------------------------------------------------------------------------
 _PAIR_SEP, _KV_SEP = "\x02", "\x01"
 
 
-def _entity_map() -> Column:
-    """The name -> text table as ONE string literal turned into a map
-    (constant-folded by the optimizer; cheap to build and to analyse)."""
-    packed = _PAIR_SEP.join(f"{k}{_KV_SEP}{v}" for k, v in ENTITY_TABLE.items())
-    return F.str_to_map(F.lit(packed), F.lit(_PAIR_SEP), F.lit(_KV_SEP))
-
-
-def codepoint_to_str(cp: Column) -> Column:
-    """UTF-8 encode a code point natively (SQL ``chr`` is byte-sized in Spark).
-
-    NUL, surrogates and values beyond U+10FFFF become U+FFFD, as in HTML5.
-    """
-    b = lambda v: F.lpad(F.hex(v), 2, "0")
-    hx = (
-        F.when(cp < 0x80, b(cp))
-        .when(cp < 0x800, F.concat(b(F.lit(0xC0) + F.shiftright(cp, 6)), b(F.lit(0x80) + (cp % 64))))
-        .when(
-            cp < 0x10000,
-            F.concat(
-                b(F.lit(0xE0) + F.shiftright(cp, 12)),
-                b(F.lit(0x80) + (F.shiftright(cp, 6) % 64)),
-                b(F.lit(0x80) + (cp % 64)),
-            ),
-        )
-        .otherwise(
-            F.concat(
-                b(F.lit(0xF0) + F.shiftright(cp, 18)),
-                b(F.lit(0x80) + (F.shiftright(cp, 12) % 64)),
-                b(F.lit(0x80) + (F.shiftright(cp, 6) % 64)),
-                b(F.lit(0x80) + (cp % 64)),
-            )
-        )
-    )
-    bad = cp.isNull() | (cp == 0) | ((cp >= 0xD800) & (cp <= 0xDFFF)) | (cp > 0x10FFFF)
-    return F.when(bad, F.lit("\ufffd")).otherwise(F.decode(F.unhex(hx), "UTF-8"))
-
-
-def decode_entities(col) -> Column:
-    """Decode ``&name;``, ``&#d;`` and ``&#xh;`` references, natively.
-
-    Splits on ``&`` and rewrites each piece that starts with a complete
-    reference; pieces without one keep their ``&``.  Rows without ``&`` skip
-    the work entirely.  A column name goes through :func:`sql_decode`.
-    """
-    if isinstance(col, str):
-        return F.expr(sql_decode(f"`{col}`"))
-    c = col
-
-    def piece(p: Column) -> Column:
-        dec = F.regexp_extract(p, "^#([0-9]{1,7});", 1)
-        hexd = F.regexp_extract(p, "^#[xX]([0-9a-fA-F]{1,6});", 1)
-        name = F.regexp_extract(p, "^([A-Za-z][A-Za-z0-9]*);", 1)
-        named = F.element_at(_entity_map(), name)
-        return (
-            F.when(dec != "", F.concat(codepoint_to_str(dec.cast("int")),
-                                       F.regexp_replace(p, F.lit("^#[0-9]{1,7};"), F.lit(""))))
-            .when(hexd != "", F.concat(codepoint_to_str(F.conv(hexd, 16, 10).cast("int")),
-                                       F.regexp_replace(p, F.lit("^#[xX][0-9a-fA-F]{1,6};"), F.lit(""))))
-            .when((name != "") & named.isNotNull(),
-                  F.concat(named, F.substring(p, F.length(name) + 2, 1 << 30)))
-            .otherwise(F.concat(F.lit("&"), p))
-        )
-
-    parts = F.split(c, "&", -1)
-    rest = F.transform(F.slice(parts, 2, 1 << 30), piece)
-    decoded = F.concat(F.element_at(parts, 1), F.array_join(rest, ""))
-    return F.when(c.contains("&"), decoded).otherwise(c)
+def decode_entities(name: str) -> Column:
+    """The text of column ``name`` with its character references decoded, natively."""
+    return F.expr(sql_decode(f"`{name}`"))
 
 
 def escape_text(col) -> Column:
@@ -257,24 +197,45 @@ def sql_cp_to_str(cp: str) -> str:
             f"THEN {sql_str(chr(0xFFFD))} ELSE decode(unhex({hx}), 'UTF-8') END")
 
 
-def sql_entity_map() -> str:
-    packed = _PAIR_SEP.join(f"{k}{_KV_SEP}{v}" for k, v in ENTITY_TABLE.items())
-    return f"str_to_map({sql_str(packed)}, {sql_str(_PAIR_SEP)}, {sql_str(_KV_SEP)})"
+def sql_entity(name: str) -> str:
+    """Text of an entity name (NULL if there is none).  Maps are scanned one entry after the
+    other, so the table is split by the first letter, and the commonest names come first."""
+    common = " ".join(f"WHEN {sql_str(k)} THEN {sql_str(ENTITY_TABLE[k])}" for k in ("amp", "nbsp", "lt", "gt", "quot", "apos"))
+    by_first: dict[str, list[str]] = {}
+    for k, v in ENTITY_TABLE.items():
+        by_first.setdefault(k[0], []).append(f"{k}{_KV_SEP}{v}")
+    maps = [f"str_to_map({sql_str(_PAIR_SEP.join(by_first.get(chr(c), ['?'])))}, {sql_str(_PAIR_SEP)}, {sql_str(_KV_SEP)})"
+            for c in range(ord("A"), ord("z") + 1)]
+    return f"(CASE {name} {common} ELSE try_element_at(try_element_at(array({', '.join(maps)}), ascii({name}) - 64), {name}) END)"
 
 
-def sql_decode(x: str, var: str = "ep") -> str:
-    """SQL twin of :func:`decode_entities`; ``var`` names the inner lambda variable."""
-    p = var
-    dec = f"CAST(regexp_extract({p}, '^#([0-9]{{1,7}});', 1) AS INT)"
-    hexd = f"CAST(conv(regexp_extract({p}, '^#[xX]([0-9a-fA-F]{{1,6}});', 1), 16, 10) AS INT)"
+def sql_decode(x: str, var: str = "ep", attr: bool = False) -> str:
+    """SQL for ``x`` with its character references decoded; ``attr`` for attribute values.
+
+    Splits on ``&`` and rewrites each piece that starts with a reference; rows
+    without ``&`` skip the work.  ``var`` names the inner lambda variable.  Each
+    piece first becomes its decoded text and the length it stands for, so that
+    every table is looked up once.
+    """
+    p, e = var, f"{var}_e"
+    digits, hexes = f"regexp_extract({p}, '^#0*([0-9]*)', 1)", f"regexp_extract({p}, '^#[xX]0*([0-9a-fA-F]*)', 1)"
+    cp = (f"CASE WHEN {p} RLIKE '^#[0-9]' AND length({digits}) <= 7 THEN coalesce(try_cast({digits} AS INT), 0) "
+          f"WHEN {p} RLIKE '^#[xX][0-9a-fA-F]' AND length({hexes}) <= 6 THEN coalesce(CAST(conv({hexes}, 16, 10) AS INT), 0) ELSE 0 END")
+    remap = " ".join(f"WHEN {k} THEN {v}" for k, v in C1_REMAP.items())
+    numeric = f"regexp_extract({p}, '^(#(?:[0-9]+|[xX][0-9a-fA-F]+);?)', 1)"
     name = f"regexp_extract({p}, '^([A-Za-z][A-Za-z0-9]*);', 1)"
-    named = f"{sql_entity_map()}[{name}]"
-    piece = (f"CASE WHEN {p} RLIKE '^#[0-9]{{1,7}};' THEN concat({sql_cp_to_str(dec)}, "
-             f"regexp_replace({p}, '^#[0-9]{{1,7}};', '')) "
-             f"WHEN {p} RLIKE '^#[xX][0-9a-fA-F]{{1,6}};' THEN concat({sql_cp_to_str(hexd)}, "
-             f"regexp_replace({p}, '^#[xX][0-9a-fA-F]{{1,6}};', '')) "
-             f"WHEN {name} <> '' AND {named} IS NOT NULL THEN concat({named}, substring({p}, length({name}) + 2)) "
-             f"ELSE concat('&', {p}) END")
+    legacy = f"regexp_extract({p}, {sql_str('^(' + '|'.join(LEGACY_NAMES) + ')')}, 1)"
+    # steps: (reference, its code point), (reference, its text)
+    number = (f"transform(array({cp}), {e} -> transform(array(CASE {e} {remap} ELSE {e} END), {e}c -> {sql_cp_to_str(f'{e}c')})[0])[0]")
+    old = f"{legacy}"
+    if attr:  # an old name counts only where no letter, digit or '=' follows
+        old = f"CASE WHEN {p} RLIKE {sql_str('^(?:' + '|'.join(LEGACY_NAMES) + ')(?:[^=A-Za-z0-9]|\\z)')} THEN {legacy} ELSE '' END"
+    named = (f"transform(array(struct({name} AS n, {sql_entity(name)} AS v)), {e} -> CASE WHEN {e}.v IS NOT NULL "
+             f"THEN concat({e}.v, substring({p}, length({e}.n) + 2)) "
+             f"ELSE transform(array({old}), {e}o -> CASE WHEN {e}o <> '' THEN concat({sql_entity(f'{e}o')}, substring({p}, length({e}o) + 1)) "
+             f"ELSE concat('&', {p}) END)[0] END)[0]")
+    piece = (f"CASE WHEN {p} RLIKE '^#(?:[0-9]|[xX][0-9a-fA-F])' THEN concat({number}, substring({p}, length({numeric}) + 1)) "
+             f"WHEN {p} RLIKE '^[A-Za-z]' THEN {named} ELSE concat('&', {p}) END")
     parts = f"split({x}, '&', -1)"
     return (f"(CASE WHEN instr({x}, '&') > 0 THEN concat(element_at({parts}, 1), "
             f"array_join(transform(slice({parts}, 2, size({parts})), {p} -> {piece}), '')) ELSE {x} END)")

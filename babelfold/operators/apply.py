@@ -15,7 +15,7 @@ ONE aggregate per page glues the pieces back together.  Both are keyed on
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from babelfold.functions import text as T
@@ -39,11 +39,6 @@ def sql_text_key(kind: str = "kind", raw: str = "raw") -> str:
             f"WHEN {kind} = 'rawtext' THEN {T.sql_trim(raw)} END")
 
 
-def text_key(kind: Column, raw: Column) -> Column:
-    return (F.when(kind == "text", T.trim_ws(T.decode_entities(raw)))
-            .when(kind == "rawtext", T.trim_ws(raw)))
-
-
 def pieces(tokens: DataFrame) -> DataFrame:
     """``(page_id, pos, kind, i, piece, key, pkind)``: the unit of rendering.
 
@@ -56,7 +51,7 @@ def pieces(tokens: DataFrame) -> DataFrame:
     names = ", ".join(T.sql_str(n) for n in T.TRANSLATABLE_ATTRS)
     attr_arr = (f"transform(a0, a -> named_struct('i', a.i, 'piece', a.piece, 'key', "
                 f"CASE WHEN a.name IN ({names}) AND {S.sql_first('a0', 'a')} "
-                f"THEN {T.sql_trim(T.sql_decode('a.value'))} END, 'pkind', 'attr'))")
+                f"THEN {T.sql_trim(T.sql_decode('a.value', attr=True))} END, 'pkind', 'attr'))")
     one = f"array(named_struct('i', 0, 'piece', raw, 'key', {sql_text_key()}, 'pkind', kind))"
     arr = f"CASE WHEN a0 IS NOT NULL THEN {attr_arr} ELSE {one} END"
     p = t.select("page_id", "pos", "kind", F.explode(F.expr(arr)).alias("p"))

@@ -3,8 +3,8 @@
 Corpus-wide keys (a content hash, a segment text) can be hot -- one text may
 sit on a third of all pages.  Every grouping here is a hash aggregate with a
 map-side partial step, so a hot key collapses before the shuffle; the joins
-back to the rows are left to AQE's skew-join split (enabled by
-:mod:`babelfold.session`).  Nothing is collected to the driver.
+back to the rows split the rows of hot keys (:mod:`babelfold.operators.hotkeys`).
+Nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from babelfold.operators.hotkeys import join_unique, key_counts
+
 
 def content_hash(col) -> Column:
     """Portable page identity (SHA-256 hex)."""
@@ -21,11 +23,11 @@ def content_hash(col) -> Column:
 
 def dedup_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """``(id, rep_id, n_copies)``: every page mapped to the smallest id with the same content."""
-    h = pages.select(id_col, content_hash(html_col).alias("h"))
-    reps = h.groupBy("h").agg(F.min(id_col).alias("rep_id"), F.count(F.lit(1)).alias("n_copies"))
-    # null-safe: pages without content are copies of each other, none is lost
-    r = reps.withColumnRenamed("h", "rh")
-    return h.join(r, h["h"].eqNullSafe(r["rh"])).select(id_col, "rep_id", "n_copies")
+    # pages without content are copies of each other, none is lost
+    h = pages.select(id_col, F.coalesce(content_hash(html_col), F.lit("")).alias("h"))
+    reps = h.groupBy("h").agg(F.min(id_col).alias("rep_id"), F.count(F.lit(1)).alias("n"))
+    joined = join_unique(h, reps.select("h", "rep_id", F.col("n").alias("n_copies")), "h", counts=reps)
+    return joined.select(id_col, "rep_id", "n_copies")
 
 
 def representatives(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
@@ -34,18 +36,25 @@ def representatives(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     return pages.join(d.filter(F.col(id_col) == F.col("rep_id")).select(id_col), id_col, "left_semi")
 
 
+def newest_entries(memory: DataFrame, lang: str | None) -> DataFrame:
+    """``(text, translation)``, one entry per text: the newest (of equal age the
+    larger), so no segment is doubled.  A table without ``lang`` holds one language."""
+    if lang is not None and "lang" in memory.columns:
+        memory = memory.filter(F.col("lang") == lang)
+    order = F.struct(*[c for c in ("run_ts", "translation") if c in memory.columns])
+    return memory.groupBy("text").agg(F.max_by("translation", order).alias("translation"))
+
+
 def tm_split(segments: DataFrame, memory: DataFrame, lang: str) -> DataFrame:
     """Mark each segment as a memory hit (with its translation) or a miss.
 
     The memory is probed once per DISTINCT text (aggregated first), then the
-    answer is joined back to the segments, so a hot text costs one probe.
+    answer is joined back to the segments; a hot text costs one probe, and its
+    segments are spread over tasks.
     """
-    # one entry per text: the newest (of equal age the larger), so no segment is doubled
-    newest = F.struct(*[c for c in ("run_ts", "translation") if c in memory.columns])
-    mem = memory.filter(F.col("lang") == lang).groupBy("text").agg(F.max_by("translation", newest).alias("translation"))
-    distinct = segments.select("text").distinct()
-    probe = distinct.join(mem, "text", "left")
-    j = segments.join(probe, "text", "left")
+    counts = key_counts(segments, "text")
+    probe = counts.join(newest_entries(memory, lang), "text", "left").filter("n > 0").select("text", "translation")
+    j = join_unique(segments, probe, "text", counts=counts)
     return j.withColumn("hit", F.col("translation").isNotNull())
 
 

@@ -37,4 +37,4 @@ def page_title(tokens: DataFrame) -> DataFrame:
     w = Window.partitionBy("page_id").orderBy("pos")
     t = tokens.withColumn("prev_tag", F.lag("tag").over(w)).withColumn("prev_kind", F.lag("kind").over(w))
     t = t.filter((F.col("kind") == "text") & (F.col("prev_kind") == "open") & (F.col("prev_tag") == "title"))
-    return t.groupBy("page_id").agg(F.min_by(T.trim_ws(T.decode_entities(F.col("raw"))), F.col("pos")).alias("title"))
+    return t.groupBy("page_id").agg(F.min_by(T.trim_ws(T.decode_entities("raw")), F.col("pos")).alias("title"))

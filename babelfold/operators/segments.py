@@ -12,7 +12,7 @@ element is visited; text children one level deeper.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from babelfold.functions import text as T
@@ -25,7 +25,8 @@ JSON_KV_RE = rf'"([A-Za-z][^"]*)":{T.WS}*"([^"]{{3,}})"'
 JSON_KV_KEYS = ("text", "title", "name", "description")
 IFRAME_SRC_MARK = "data:text/html;"
 IFRAME_TEXT_RE = r">([^<>]{3,})<"
-IFRAME_PHRASE_RE = rf"[A-Z][a-z]+(?:{T.WS}+[A-Z]?[a-z]+)*"
+# possessive: matched in a loop, however many words a phrase has
+IFRAME_PHRASE_RE = rf"[A-Z][a-z]++(?:{T.WS}++[A-Z]?[a-z]++)*+"
 IFRAME_PHRASE_MIN_BYTES, IFRAME_PHRASE_MAX_WORDS, IFRAME_TEXT_MIN_BYTES = 3, 6, 2
 # Strict standard Base64: full quanta, canonical padding bits.
 STRICT_B64_RE = r"^[A-Za-z0-9+/]*(?:[A-Za-z0-9+/][AQgw]==|[A-Za-z0-9+/]{2}[AEIMQUYcgkosw048]=)?\z"
@@ -56,15 +57,6 @@ _CAND_TYPE = ("array<struct<text:string,kind:string,attr:string,o_level:int,o_po
 _CAND_FIELDS = ["text", "kind", "attr", "o_level", "o_pos", "o_phase", "o_a", "o_b", "o_c"]
 
 
-def piece_name(p: Column) -> Column:
-    return F.lower(F.regexp_extract(p, ATTR_PIECE_RE, 1))
-
-
-def piece_value(p: Column) -> Column:
-    """Raw (undecoded) value of an attribute piece, '' when it has none."""
-    return F.concat(*[F.regexp_extract(p, r, 1) for r in ATTR_VALUE_RES])
-
-
 # --- SQL text builders (one F.expr per heavy expression) ------------------------------
 
 def sql_pieces(raw: str) -> str:
@@ -86,20 +78,6 @@ def with_pieces(tokens: DataFrame, cond_sql: str, out: str = "a0") -> DataFrame:
     return tokens.withColumn(out, F.expr(f"CASE WHEN {cond_sql} THEN {sql_pieces('raw')} END"))
 
 
-def attr_table(raw: Column) -> Column:
-    """Column API: array<struct<i, name, value, piece, first>> for an open tag."""
-    pieces = F.regexp_extract_all(raw, F.lit(TAG_PIECE_RE), 0)
-    names = F.transform(pieces, lambda p: F.when(p.rlike(ATTR_PIECE_RE), piece_name(p)))
-    return F.transform(
-        pieces,
-        lambda p, i: F.struct(
-            i.alias("i"), F.element_at(names, i + 1).alias("name"), piece_value(p).alias("value"),
-            p.alias("piece"), F.coalesce(F.array_position(names, F.element_at(names, i + 1)) == i + 1,
-                                         F.lit(False)).alias("first"),
-        ),
-    )
-
-
 def _sql_cand(text, kind, attr, lvl, pos, phase, a, b, c) -> str:
     return (f"named_struct('text', {text}, 'kind', '{kind}', 'attr', CAST({attr} AS STRING), "
             f"'o_level', CAST({lvl} AS INT), 'o_pos', CAST({pos} AS INT), 'o_phase', {phase}, "
@@ -129,7 +107,7 @@ def _sql_script_candidates() -> str:
 def sql_iframe_html(arr: str) -> str:
     """Decoded HTML of a ``data:text/html;`` iframe source, NULL if none/invalid."""
     src = f"try_element_at(filter({arr}, s -> s.name = 'src' AND {sql_first(arr, 's')}), 1)"
-    v = T.sql_trim(T.sql_decode(f"{src}.value", "fp"))
+    v = T.sql_trim(T.sql_decode(f"{src}.value", "fp", attr=True))
     b64 = (f"CASE WHEN instr({v}, {T.sql_str(IFRAME_SRC_MARK)}) > 0 AND instr({v}, ',') > 0 "
            f"THEN substring({v}, instr({v}, ',') + 1) END")
     return (f"CASE WHEN {b64} RLIKE {T.sql_str(STRICT_B64_RE)} AND length({b64}) % 4 = 0 "
@@ -143,7 +121,7 @@ def sql_iframe_src_i(arr: str) -> str:
 def _sql_attr_candidates(iframe_mode: str) -> str:
     names = ", ".join(T.sql_str(n) for n in T.TRANSLATABLE_ATTRS)
     kept = f"filter(a0, a -> a.name IN ({names}) AND {sql_first('a0', 'a')})"
-    cand = _sql_cand(T.sql_trim(T.sql_decode("a.value")), "attr", "a.name", "level", "pos", 0, "a.i", 0, 0)
+    cand = _sql_cand(T.sql_trim(T.sql_decode("a.value", attr=True)), "attr", "a.name", "level", "pos", 0, "a.i", 0, 0)
     cands = f"filter(transform({kept}, a -> {cand}), c -> {T.sql_attr_kept('c.text')})"
     if iframe_mode != "repaired":
         return cands
@@ -165,9 +143,9 @@ def candidates(tokens: DataFrame, iframe_mode: str = "off") -> DataFrame:
     """Every extracted string with its visiting-order key, before dedupe (one pass)."""
     t = with_pieces(tokens, f"kind = 'open' AND raw RLIKE {T.sql_str(ATTR_PREFILTER_RE)}")
     text_c = _sql_cand(T.sql_trim(T.sql_decode("raw")), "text", "NULL", "level", "pos", 0, 0, 0, 0)
-    style_c = _sql_cand(T.sql_trim("raw"), "text", "NULL", "level", "pos", 0, 0, 0, 0)
+    raw_c = _sql_cand(T.sql_trim("raw"), "text", "NULL", "level", "pos", 0, 0, 0, 0)
     arr = (f"CASE WHEN kind = 'text' THEN filter(array({text_c}), c -> {T.sql_text_kept('c.text')}) "
-           f"WHEN kind = 'rawtext' AND tag = 'style' THEN filter(array({style_c}), c -> {T.sql_text_kept('c.text')}) "
+           f"WHEN kind = 'rawtext' AND tag <> 'script' THEN filter(array({raw_c}), c -> {T.sql_text_kept('c.text')}) "
            f"WHEN kind = 'rawtext' AND tag = 'script' THEN {_sql_script_candidates()} "
            f"WHEN a0 IS NOT NULL THEN {_sql_attr_candidates(iframe_mode)} END")
     c = t.select("page_id", "tag", F.explode(F.expr(f"CAST(({arr}) AS {_CAND_TYPE})")).alias("c"))

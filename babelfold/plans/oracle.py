@@ -1,23 +1,50 @@
 """DuckDB SQL twins of the Spark operators (the correctness oracle).
 
-Each helper returns SQL text.  The regular expressions and fixed values are
-imported from the operator modules, so both sides read the same rules; the
-logic is written out again in SQL, independently of the DataFrame code.
+Each helper returns SQL text.  Nothing is imported from the operators: the rules
+(patterns, names, bounds) are written out here once more, in RE2's syntax, and
+the logic in SQL, so that a change of an operator's rule shows as a difference.
 """
 
 from __future__ import annotations
 
-from babelfold.functions import text as T
-from babelfold.operators import batching as B
-from babelfold.operators import responses as R
-from babelfold.operators import segments as S
-from babelfold.operators import tokens as TK
-from babelfold.operators.apply import APPLY_ATTR_PREFILTER_RE
+import html.entities
+
+# --- fixed values: the rules, for RE2 ---------------------------------------------
+WS_CHARS = r"\t\n\v\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WS, NOT_WS = f"[{WS_CHARS}]", f"[^{WS_CHARS}]"
+ASCII_PUNCT = r"\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E"
+NOT_WS_PUNCT, NOT_WS_PUNCT_DIGIT = f"[^{WS_CHARS}{ASCII_PUNCT}]", f"[^{WS_CHARS}{ASCII_PUNCT}0-9]"
+TRIM_RE, WS_RUN_RE = f"^{WS}+|{WS}+\\z", f"{WS}+"
+JS_MIN_BYTES, JS_MAX_BYTES, JS_MAX_WORDS = 2, 200, 10
+CODE_PREFIXES, CODE_MARKERS = ("http", "www."), ("function", "var ")
+TRANSLATABLE_ATTRS, NO_ATTR_APPLY_TAGS = ("title", "alt", "placeholder"), ("script", "style", "noscript")
+JS_STRING_RE = r"""['"`]([^'"`]{3,})['"`]"""
+JSON_TEXT_RE = rf'"text":{WS}*"([^"]{{3,}})"'
+JSON_KEY_RE = rf'"([^"]{{3,}})"{WS}*:'
+JSON_KV_RE = rf'"([A-Za-z][^"]*)":{WS}*"([^"]{{3,}})"'
+JSON_KV_KEYS = ("text", "title", "name", "description")
+IFRAME_SRC_MARK, IFRAME_TEXT_RE = "data:text/html;", ">([^<>]{3,})<"
+IFRAME_PHRASE_RE = rf"[A-Z][a-z]+(?:{WS}+[A-Z]?[a-z]+)*"
+IFRAME_PHRASE_MIN_BYTES, IFRAME_PHRASE_MAX_WORDS, IFRAME_TEXT_MIN_BYTES = 3, 6, 2
+STRICT_B64_RE = "^[A-Za-z0-9+/]*(?:[A-Za-z0-9+/][AQgw]==|[A-Za-z0-9+/]{2}[AEIMQUYcgkosw048]=)?\\z"
+SP = r"\t\n\f\r "  # white space between attributes
+TAG_PIECE_RE = (rf"^<[a-zA-Z][^{SP}/>]*|[{SP}/]+[^{SP}/>\"'=]+(?:[{SP}]*=[{SP}]*(?:\"[^\"]*\"|'[^']*'|[^{SP}>]+))?|(?s:.)")
+ATTR_PIECE_RE = rf"^[{SP}/]+([^{SP}/>\"'=]+)"
+ATTR_VALUE_RES = tuple(rf"^[{SP}/]+[^{SP}/>\"'=]+[{SP}]*=[{SP}]*" + v for v in
+                       (r'"([^"]*)"\z', r"'([^']*)'\z", rf"([^{SP}>\"'][^{SP}>]*)\z"))
+ATTR_PREFILTER_RE = rf"(?i)[{SP}/](?:title|alt|placeholder|src)[{SP}]*="
+APPLY_ATTR_PREFILTER_RE = rf"(?i)[{SP}/](?:title|alt|placeholder)[{SP}]*="
+VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link", "meta", "param", "source", "track", "wbr")
+TAG_NAME_RE = r"^</?([a-zA-Z][^\t\n\f\r />]*)"
+RESPONSE_KEYS = ("data", "text", "result")
+JSON_OBJECT_RE, MARKER_RE = rf"(?s)^{WS}*\{{.*\}}{WS}*\z", rf"(?s)^\[([0-9]+)\]{WS}*(.*)\z"
+MIN_BATCH_SIZE, CONCURRENT_BATCHES = 5, 5
+# -----------------------------------------------------------------------------------
 
 
 def q(s: str) -> str:
-    """DuckDB literal; regex classes get the White_Space set spelled out for RE2."""
-    return "'" + T.explicit_ws(s).replace("'", "''") + "'"
+    """DuckDB literal."""
+    return "'" + s.replace("'", "''") + "'"
 
 
 def inlist(vals) -> str:
@@ -27,36 +54,36 @@ def inlist(vals) -> str:
 # --- scalar helpers ------------------------------------------------------------------
 
 def trim_ws(x: str) -> str:
-    return f"regexp_replace({x}, {q(T.TRIM_RE)}, '', 'g')"
+    return f"regexp_replace({x}, {q(TRIM_RE)}, '', 'g')"
 
 
 def word_count(x: str) -> str:
-    return f"len(regexp_extract_all({x}, {q(T.NOT_WS + '+')}))"
+    return f"len(regexp_extract_all({x}, {q(NOT_WS + '+')}))"
 
 
 def text_kept(x: str) -> str:
-    return f"(strlen({x}) > 1 AND regexp_matches({x}, {q(T.NOT_WS_PUNCT)}))"
+    return f"(strlen({x}) > 1 AND regexp_matches({x}, {q(NOT_WS_PUNCT)}))"
 
 
 def attr_kept(x: str) -> str:
-    return f"(strlen({x}) > 1 AND regexp_matches({x}, {q(T.NOT_WS)}))"
+    return f"(strlen({x}) > 1 AND regexp_matches({x}, {q(NOT_WS)}))"
 
 
 def translatable(x: str) -> str:
-    parts = [f"strlen({x}) > {T.JS_MIN_BYTES}", f"strlen({x}) < {T.JS_MAX_BYTES}",
-             f"regexp_matches({x}, {q(T.NOT_WS_PUNCT_DIGIT)})"]
-    parts += [f"NOT starts_with({x}, {q(p)})" for p in T.CODE_PREFIXES]
-    parts += [f"NOT contains({x}, {q(m)})" for m in T.CODE_MARKERS]
-    parts.append(f"{word_count(x)} <= {T.JS_MAX_WORDS}")
+    parts = [f"strlen({x}) > {JS_MIN_BYTES}", f"strlen({x}) < {JS_MAX_BYTES}",
+             f"regexp_matches({x}, {q(NOT_WS_PUNCT_DIGIT)})"]
+    parts += [f"NOT starts_with({x}, {q(p)})" for p in CODE_PREFIXES]
+    parts += [f"NOT contains({x}, {q(m)})" for m in CODE_MARKERS]
+    parts.append(f"{word_count(x)} <= {JS_MAX_WORDS}")
     return "(" + " AND ".join(parts) + ")"
 
 
 def fold_ws(x: str) -> str:
-    return f"regexp_replace({x}, {q(T.WS_RUN_RE)}, ' ', 'g')"
+    return f"regexp_replace({x}, {q(WS_RUN_RE)}, ' ', 'g')"
 
 
 def _entity_map() -> str:
-    return "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in T.ENTITY_TABLE.items()) + "}"
+    return "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in html.entities.html5.items()) + "}"
 
 
 def cp_to_str(cp: str) -> str:
@@ -64,24 +91,30 @@ def cp_to_str(cp: str) -> str:
             f"THEN chr(65533) ELSE chr({cp}) END)")
 
 
-def decode(x: str) -> str:
-    dec_re, hex_re, name_re = "^#([0-9]{1,7});", "^#[xX]([0-9a-fA-F]{1,6});", "^([A-Za-z][A-Za-z0-9]*);"
-    p = "p"
-    dec = f"CAST(regexp_extract({p}, {q(dec_re)}, 1) AS INTEGER)"
-    hx = f"CAST('0x' || regexp_extract({p}, {q(hex_re)}, 1) AS INTEGER)"
-    name = f"regexp_extract({p}, {q(name_re)}, 1)"
-    ent = f"({_entity_map()})[{name}]"
-    piece = (
-        f"CASE WHEN regexp_matches({p}, {q('^#[0-9]{1,7};')}) "
-        f"THEN {cp_to_str(dec)} || regexp_replace({p}, {q('^#[0-9]{1,7};')}, '') "
-        f"WHEN regexp_matches({p}, {q('^#[xX][0-9a-fA-F]{1,6};')}) "
-        f"THEN {cp_to_str(hx)} || regexp_replace({p}, {q('^#[xX][0-9a-fA-F]{1,6};')}, '') "
-        f"WHEN {name} <> '' AND {ent} IS NOT NULL THEN {ent} || substr({p}, length({name}) + 2) "
-        f"ELSE '&' || {p} END"
-    )
+_OLD = sorted((k for k in html.entities.html5 if k[-1] != ";"), key=len, reverse=True)  # names without ';'
+_CP1252 = {i: ord(bytes([i]).decode("cp1252")) for i in range(128, 160) if i not in (129, 141, 143, 144, 157)}
+
+
+def decode(x: str, attr: bool = False) -> str:
+    """Character references: the longest known name after '&', or a number."""
+    cp = (f"CASE WHEN r.num[2] IN ('x', 'X') THEN CASE WHEN length(ltrim(r.num[3:], '0')) > 6 THEN 0 ELSE CAST('0x0' || ltrim(r.num[3:], '0') AS INTEGER) END "
+          f"WHEN length(ltrim(r.num[2:], '0')) > 7 THEN 0 ELSE CAST('0' || ltrim(r.num[2:], '0') AS INTEGER) END")
+    remap = "CASE c " + " ".join(f"WHEN {k} THEN {v}" for k, v in _CP1252.items()) + " ELSE c END"
+    number = f"list_transform([{cp}], lambda c: {cp_to_str('(' + remap + ')')})[1]"
+    old = q("^(?:" + "|".join(_OLD) + ")")
+    old_ref = f"regexp_extract(p, {old})"
+    if attr:
+        old_ref = f"CASE WHEN regexp_matches(substr(p, length({old_ref}) + 1), '^[=A-Za-z0-9]') THEN '' ELSE {old_ref} END"
+    refs = (f"struct_pack(num := regexp_extract(p, '^#(?:[0-9]+|[xX][0-9a-fA-F]+)'), "
+            f"full := regexp_extract(p, '^[A-Za-z][A-Za-z0-9]*;'), old := {old_ref})")
+    names = _entity_map()
+    piece = (f"list_transform([{refs}], lambda r: CASE WHEN r.num <> '' THEN {number} || regexp_replace(substr(p, length(r.num) + 1), '^;', '') "
+             f"ELSE list_transform([struct_pack(m := {names})], lambda t: "
+             f"CASE WHEN t.m[r.full] IS NOT NULL THEN t.m[r.full] || substr(p, length(r.full) + 1) "
+             f"WHEN r.old <> '' THEN t.m[r.old] || substr(p, length(r.old) + 1) ELSE '&' || p END)[1] END)[1]")
     parts = f"string_split({x}, '&')"
     return (f"(CASE WHEN contains({x}, '&') THEN ({parts})[1] || "
-            f"array_to_string(list_transform(({parts})[2:], lambda {p}: {piece}), '') ELSE {x} END)")
+            f"array_to_string(list_transform(({parts})[2:], lambda p: {piece}), '') ELSE {x} END)")
 
 
 def escape_text(x: str) -> str:
@@ -94,10 +127,10 @@ def escape_attr(x: str) -> str:
 
 def unwrap(b: str) -> str:
     inner = b
-    for k in reversed(R.RESPONSE_KEYS):
+    for k in reversed(RESPONSE_KEYS):
         val = f"CASE WHEN json_type({b}, {q('$.' + k)}) = 'VARCHAR' THEN json_extract_string({b}, {q('$.' + k)}) ELSE {b} END"
         inner = f"CASE WHEN list_contains(json_keys({b}), {q(k)}) THEN {val} ELSE {inner} END"
-    is_obj = f"(regexp_matches({b}, {q(R.JSON_OBJECT_RE)}) AND json_valid({b}) AND json_type({b}) = 'OBJECT')"
+    is_obj = f"(regexp_matches({b}, {q(JSON_OBJECT_RE)}) AND json_valid({b}) AND json_type({b}) = 'OBJECT')"
     return f"(CASE WHEN {is_obj} THEN ({inner}) ELSE {b} END)"
 
 
@@ -108,22 +141,22 @@ def prefix_translate(payload: str, lang: str = "zh") -> str:
 
 # --- table fragments (CTE bodies) ------------------------------------------------------
 
-# written out for this engine, not taken from the operator
 REST_RE2 = r"(?:[^>=]|=[\t\n\f\r ]*(?:\"[^\"]*\"|'[^']*')?)*>"
-MARKUP_RE2 = (r"<!--(?s:.*?)-->|(?i:<script\b" + REST_RE2 + r"(?s:.*?)</script[\t\n\f\r ]*>)|(?i:<style\b" + REST_RE2
-              + r"(?s:.*?)</style[\t\n\f\r ]*>)|</?[a-zA-Z]" + REST_RE2 + r"|<[!?][^>]*>")
+AFTER_RE2 = r"(?:>|[\t\n\f\r /]" + REST_RE2 + ")"
+_ENDED = "|".join(n + AFTER_RE2 + r"(?s:.*?)(?:</" + n + r"(?:[\t\n\f\r /][^>]*)?>|\z)" for n in
+                  ("iframe", "noembed", "noframes", "noscript", "script", "style", "textarea", "title", "xmp"))
+MARKUP_RE2 = (r"<!--(?:>|->|(?s:.*?)(?:-->|--!>|\z))|(?i:<(?:" + _ENDED + "|plaintext" + AFTER_RE2 + r"(?s:.*)\z))|</?[a-zA-Z]" + REST_RE2
+              + r"|</>|<(?:[!?]|/[^a-zA-Z>])[^>]*(?:>|\z)|</?[a-zA-Z][^>]*\z")
+CONTENT_RE2 = "(?i:^(<(iframe|noembed|noframes|noscript|plaintext|script|style|textarea|title|xmp)" + AFTER_RE2 + "))"
 
 
 def cte_tokens(src: str) -> str:
-    """CTEs tk_m .. tokens from a relation ``src(page_id, html)``."""
-    blk = f"regexp_matches(t, {q(TK.RAWTEXT_BLOCK_RE)}) AND regexp_matches(t, {q(TK.BLOCK_CLOSE_RE)})"
-    open_t = f"regexp_extract(t, {q('^(<[a-zA-Z]' + REST_RE2 + ')')}, 1)"
-    close_t = f"regexp_extract(t, {q(r'(</[a-zA-Z]+[\t\n\f\r ]*>)\z')}, 1)"
-    body = f"substr(t, length({open_t}) + 1, length(t) - length({open_t}) - length({close_t}))"
-    parent = f"lower(regexp_extract(t, {q(TK.RAWTEXT_BLOCK_RE)}, 1))"
+    """CTEs tk_w .. tokens from a relation ``src(page_id, html)``."""
     st = lambda raw, sub, k, par: (f"struct_pack(raw := {raw}, sub := {sub}, k := {k}, "
                                    f"parent := {par})")
-    void = inlist(TK.VOID_TAGS)
+    void, nul = inlist(VOID_TAGS), "CAST(NULL AS VARCHAR)"
+    end_re = q(r"^(?s:.*)(</[a-zA-Z]+(?:[\t\n\f\r /][^>]*)?>)\z")
+    template = q(r"(?i)^</?template(?:>|[\t\n\f\r /])")
     return f"""
 tk_w AS (SELECT page_id, html, html IS NULL OR html = '' AS whole
          FROM {src} WHERE page_id IS NOT NULL),
@@ -131,33 +164,45 @@ tk_a AS (SELECT page_id, regexp_split_to_array(html, {q(MARKUP_RE2)}) AS gs,
                  regexp_extract_all(html, {q(MARKUP_RE2)}) AS ms FROM tk_w WHERE NOT whole),
 tk_g AS (SELECT page_id, unnest(gs) AS t, generate_subscripts(gs, 1) AS mno FROM tk_a),
 tk_m AS (SELECT page_id, unnest(ms) AS t, generate_subscripts(ms, 1) AS mno FROM tk_a),
+tk_b AS (
+  SELECT page_id, mno, t, op, parent, CASE WHEN starts_with(lower(cl), '</' || parent) THEN cl ELSE '' END AS cl FROM (
+    SELECT page_id, mno, t, regexp_extract(t, {q(CONTENT_RE2)}, 1) AS op, lower(regexp_extract(t, {q(CONTENT_RE2)}, 2)) AS parent,
+           regexp_extract(t, {end_re}, 1) AS cl FROM tk_m WHERE regexp_matches(t, {q(CONTENT_RE2)}))),
 tk_s AS (
-  SELECT page_id, 0 AS mno, {st('html', 0, "'whole'", 'CAST(NULL AS VARCHAR)')} AS s FROM tk_w WHERE whole
+  SELECT page_id, 0 AS mno, {st('html', 0, "'whole'", nul)} AS s FROM tk_w WHERE whole
   UNION ALL
-  SELECT page_id, mno, {st('t', 0, "'gap'", 'CAST(NULL AS VARCHAR)')} AS s FROM tk_g
+  SELECT page_id, mno, {st('t', 0, "'gap'", nul)} AS s FROM tk_g
   UNION ALL
-  SELECT page_id, mno, unnest(CASE WHEN {blk}
-      THEN [{st(open_t, 1, "'markup'", parent)}, {st(body, 2, "'body'", parent)}, {st(close_t, 3, "'markup'", parent)}]
-      ELSE [{st('t', 1, "'markup'", 'CAST(NULL AS VARCHAR)')}] END) AS s
-  FROM tk_m),
+  SELECT page_id, mno, {st('t', 1, "'markup'", nul)} AS s FROM tk_m WHERE NOT regexp_matches(t, {q(CONTENT_RE2)})
+  UNION ALL
+  SELECT page_id, mno, unnest([{st('op', 1, "'markup'", 'parent')}, {st('cl', 3, "'markup'", 'parent')},
+    {st('substr(t, length(op) + 1, length(t) - length(op) - length(cl))', 2, "'body'", 'parent')}]) AS s FROM tk_b),
 tk_p AS (
   SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY mno, s.sub) - 1 AS INTEGER) AS pos,
          s.raw AS raw, s.k AS k, s.parent AS parent
   FROM tk_s WHERE s.k = 'whole' OR s.raw <> ''),
+-- template depth: a running sum that an unmatched end tag can't take below zero
+tk_d AS (
+  SELECT *, CASE WHEN k <> 'markup' OR NOT regexp_matches(raw, {template}) THEN 0 WHEN starts_with(raw, '</') THEN -1 ELSE 1 END AS d FROM tk_p),
+tk_e AS (SELECT *, sum(d) OVER (PARTITION BY page_id ORDER BY pos) AS s FROM tk_d),
+tk_f AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY page_id ORDER BY pos)) AS depth FROM tk_e),
+tk_h AS (SELECT *, coalesce(lag(depth) OVER (PARTITION BY page_id ORDER BY pos), 0) AS before FROM tk_f),
 tk_k AS (
   SELECT page_id, pos, raw, parent,
-    CASE WHEN k = 'body' THEN 'rawtext'
+    -- a template's own tags are visited: the one that opens it and the one that closes it
+    CASE WHEN before > 0 AND NOT (d = -1 AND depth = 0) THEN 'unvisited'
+         WHEN k = 'body' AND parent IN ('title', 'textarea') THEN 'text'
+         WHEN k = 'body' THEN 'rawtext'
          WHEN k = 'whole' THEN 'whole'
          WHEN k = 'gap' THEN 'text'
-         WHEN starts_with(raw, '<!--') AND suffix(raw, '-->') THEN 'comment'
-         WHEN regexp_matches(raw, '^<[!?]') THEN 'decl'
-         WHEN regexp_matches(raw, '^</[a-zA-Z]') THEN 'close'
-         WHEN regexp_matches(raw, '^<[a-zA-Z]') THEN 'open'
-         ELSE 'text' END AS kind
-  FROM tk_p),
+         WHEN starts_with(raw, '<!--') THEN 'comment'
+         WHEN regexp_matches(raw, '^<(?:[!?]|/[^a-zA-Z])') OR NOT suffix(raw, '>') THEN 'decl'
+         WHEN starts_with(raw, '</') THEN 'close'
+         ELSE 'open' END AS kind
+  FROM tk_h),
 tk_t AS (
   SELECT page_id, pos, kind, raw,
-    CASE WHEN kind IN ('open', 'close') THEN lower(regexp_extract(raw, {q(TK.TAG_NAME_RE)}, 1))
+    CASE WHEN kind IN ('open', 'close') THEN lower(regexp_extract(raw, {q(TAG_NAME_RE)}, 1))
          WHEN kind = 'rawtext' THEN parent END AS tag
   FROM tk_k),
 tokens AS (
@@ -172,11 +217,11 @@ tokens AS (
 
 def attr_list(raw: str) -> str:
     """SQL list of struct(i, name, value, piece, first) for a tag, like segments.attr_table."""
-    pieces = f"regexp_extract_all({raw}, {q(S.TAG_PIECE_RE)})"
-    name_of = lambda p: (f"CASE WHEN regexp_matches({p}, {q(S.ATTR_PIECE_RE)}) "
-                         f"THEN lower(regexp_extract({p}, {q(S.ATTR_PIECE_RE)}, 1)) END")
+    pieces = f"regexp_extract_all({raw}, {q(TAG_PIECE_RE)})"
+    name_of = lambda p: (f"CASE WHEN regexp_matches({p}, {q(ATTR_PIECE_RE)}) "
+                         f"THEN lower(regexp_extract({p}, {q(ATTR_PIECE_RE)}, 1)) END")
     names = f"list_transform({pieces}, lambda p: {name_of('p')})"
-    value = " || ".join(f"regexp_extract(p, {q(r)}, 1)" for r in S.ATTR_VALUE_RES)
+    value = " || ".join(f"regexp_extract(p, {q(r)}, 1)" for r in ATTR_VALUE_RES)
     return (f"list_transform({pieces}, lambda p, k: struct_pack(i := k - 1, name := ({names})[k], "
             f"value := {value}, piece := p, first := coalesce(list_position({names}, ({names})[k]) = k, false)))")
 
@@ -203,16 +248,16 @@ def cte_segments(iframe_mode: str = "off") -> str:
   SELECT {_cand_sel('text', 'json_kv', 'NULL', 'level - 1', 'pos - 1', 1, 4, 'j', 0)} FROM (
     SELECT page_id, tag, level, pos, k, {trim_ws('v')} AS text, j FROM (
       SELECT page_id, tag, level, pos, unnest(ks) AS k, unnest(vs) AS v, generate_subscripts(ks, 1) - 1 AS j FROM (
-        SELECT page_id, tag, level, pos, regexp_extract_all(raw, {q(S.JSON_KV_RE)}, 1) AS ks,
-               regexp_extract_all(raw, {q(S.JSON_KV_RE)}, 2) AS vs
+        SELECT page_id, tag, level, pos, regexp_extract_all(raw, {q(JSON_KV_RE)}, 1) AS ks,
+               regexp_extract_all(raw, {q(JSON_KV_RE)}, 2) AS vs
         FROM tokens WHERE kind = 'rawtext' AND tag = 'script')))
-  WHERE k IN {inlist(S.JSON_KV_KEYS)} AND {translatable('text')}"""
+  WHERE k IN {inlist(JSON_KV_KEYS)} AND {translatable('text')}"""
     attrs = f"""
   SELECT {_cand_sel('text', 'attr', 'name', 'level', 'pos', 0, 'i', 0, 0)} FROM (
-    SELECT page_id, tag, level, pos, a.i AS i, a.name AS name, {trim_ws(decode('a.value'))} AS text FROM (
+    SELECT page_id, tag, level, pos, a.i AS i, a.name AS name, {trim_ws(decode('a.value', attr=True))} AS text FROM (
       SELECT page_id, tag, level, pos, unnest({attr_list('raw')}) AS a
-      FROM tokens WHERE kind = 'open' AND regexp_matches(raw, {q(S.ATTR_PREFILTER_RE)}))
-    WHERE a.name IN {inlist(T.TRANSLATABLE_ATTRS)} AND a.first)
+      FROM tokens WHERE kind = 'open' AND regexp_matches(raw, {q(ATTR_PREFILTER_RE)}))
+    WHERE a.name IN {inlist(TRANSLATABLE_ATTRS)} AND a.first)
   WHERE {attr_kept('text')}"""
     iframe = ""
     if iframe_mode == "repaired":
@@ -221,14 +266,14 @@ def cte_segments(iframe_mode: str = "off") -> str:
   SELECT {_cand_sel('text', 'iframe_text', 'NULL', 'level', 'pos', 0, 'src_i', 1, 'j')} FROM (
     SELECT page_id, tag, level, pos, src_i, {trim_ws('m')} AS text, j FROM (
       SELECT page_id, tag, level, pos, src_i, unnest(ms) AS m, generate_subscripts(ms, 1) - 1 AS j FROM (
-        SELECT page_id, tag, level, pos, src_i, regexp_extract_all(h, {q(S.IFRAME_TEXT_RE)}, 1) AS ms FROM iframes)))
-  WHERE strlen(text) > {S.IFRAME_TEXT_MIN_BYTES} AND regexp_matches(text, {q(T.NOT_WS_PUNCT)})
+        SELECT page_id, tag, level, pos, src_i, regexp_extract_all(h, {q(IFRAME_TEXT_RE)}, 1) AS ms FROM iframes)))
+  WHERE strlen(text) > {IFRAME_TEXT_MIN_BYTES} AND regexp_matches(text, {q(NOT_WS_PUNCT)})
   UNION ALL
   SELECT {_cand_sel('text', 'iframe_phrase', 'NULL', 'level', 'pos', 0, 'src_i', 2, 'j')} FROM (
     SELECT page_id, tag, level, pos, src_i, {trim_ws('m')} AS text, j FROM (
       SELECT page_id, tag, level, pos, src_i, unnest(ms) AS m, generate_subscripts(ms, 1) - 1 AS j FROM (
-        SELECT page_id, tag, level, pos, src_i, regexp_extract_all(h, {q(S.IFRAME_PHRASE_RE)}, 0) AS ms FROM iframes)))
-  WHERE strlen(text) > {S.IFRAME_PHRASE_MIN_BYTES} AND {word_count('text')} <= {S.IFRAME_PHRASE_MAX_WORDS}"""
+        SELECT page_id, tag, level, pos, src_i, regexp_extract_all(h, {q(IFRAME_PHRASE_RE)}, 0) AS ms FROM iframes)))
+  WHERE strlen(text) > {IFRAME_PHRASE_MIN_BYTES} AND {word_count('text')} <= {IFRAME_PHRASE_MAX_WORDS}"""
     pre = cte_iframes() + "," if iframe_mode == "repaired" else ""
     return f"""{pre}
 cand AS (
@@ -236,10 +281,10 @@ cand AS (
   FROM tokens WHERE kind = 'text' AND {text_kept(trim_ws(decode('raw')))}
   UNION ALL
   SELECT {_cand_sel(trim_ws('raw'), 'text', 'NULL', 'level', 'pos', 0, 0, 0, 0)}
-  FROM tokens WHERE kind = 'rawtext' AND tag = 'style' AND {text_kept(trim_ws('raw'))}
-  UNION ALL {_js_pass(S.JS_STRING_RE, 1, 'js_string', 1)}
-  UNION ALL {_js_pass(S.JSON_TEXT_RE, 1, 'json_text', 2)}
-  UNION ALL {_js_pass(S.JSON_KEY_RE, 1, 'json_key', 3)}
+  FROM tokens WHERE kind = 'rawtext' AND tag <> 'script' AND {text_kept(trim_ws('raw'))}
+  UNION ALL {_js_pass(JS_STRING_RE, 1, 'js_string', 1)}
+  UNION ALL {_js_pass(JSON_TEXT_RE, 1, 'json_text', 2)}
+  UNION ALL {_js_pass(JSON_KEY_RE, 1, 'json_key', 3)}
   UNION ALL {kv}
   UNION ALL {attrs}{iframe}),
 seg_f AS (
@@ -254,7 +299,7 @@ segments AS (
 
 def cte_iframes() -> str:
     """``iframes(page_id, tag, level, pos, src_i, h)``: decoded data-URI iframe HTML."""
-    v = trim_ws(decode("a.value"))
+    v = trim_ws(decode("a.value", attr=True))
     return f"""
 ifr_a AS (
   SELECT page_id, tag, level, pos, a.i AS src_i, {v} AS v FROM (
@@ -262,18 +307,18 @@ ifr_a AS (
     FROM tokens WHERE kind = 'open' AND tag = 'iframe')
   WHERE a.name = 'src' AND a.first),
 ifr_b AS (
-  SELECT *, CASE WHEN contains(v, {q(S.IFRAME_SRC_MARK)}) AND strpos(v, ',') > 0
+  SELECT *, CASE WHEN contains(v, {q(IFRAME_SRC_MARK)}) AND strpos(v, ',') > 0
                  THEN substr(v, strpos(v, ',') + 1) END AS b64 FROM ifr_a),
 iframes AS (
   SELECT page_id, tag, level, pos, src_i,
-    CASE WHEN regexp_matches(b64, {q(S.STRICT_B64_RE)}) AND length(b64) % 4 = 0
+    CASE WHEN regexp_matches(b64, {q(STRICT_B64_RE)}) AND length(b64) % 4 = 0
          THEN try(decode(from_base64(b64))) END AS h
   FROM ifr_b)"""
 
 
-def cte_batches(concurrent: int = B.DEFAULT_CONCURRENT_BATCHES, size: int | None = None,
+def cte_batches(concurrent: int = CONCURRENT_BATCHES, size: int | None = None,
                 escape_newlines: bool = False, src: str = "segments", group: str = "page_id") -> str:
-    bs = str(max(1, int(size))) if size is not None else f"greatest({B.MIN_BATCH_SIZE}, n // {max(1, int(concurrent))})"
+    bs = str(max(1, int(size))) if size is not None else f"greatest({MIN_BATCH_SIZE}, n // {max(1, int(concurrent))})"
     t = fold_ws("text") if escape_newlines else "text"
     return f"""
 planned AS (
@@ -307,20 +352,20 @@ mk_l AS (
 mk_t AS (SELECT {group}, batch_idx{extra}, line_no, {trim_ws('line')} AS ln FROM mk_l),
 marked AS (
   SELECT * FROM (
-    SELECT {group}, batch_idx{extra}, line_no, TRY_CAST(regexp_extract(ln, {q(R.MARKER_RE)}, 1) AS BIGINT) AS seq,
-           {trim_ws(f"regexp_extract(ln, {q(R.MARKER_RE)}, 2)")} AS text
-    FROM mk_t WHERE regexp_matches(ln, {q(R.MARKER_RE)}))
+    SELECT {group}, batch_idx{extra}, line_no, TRY_CAST(regexp_extract(ln, {q(MARKER_RE)}, 1) AS BIGINT) AS seq,
+           {trim_ws(f"regexp_extract(ln, {q(MARKER_RE)}, 2)")} AS text
+    FROM mk_t WHERE regexp_matches(ln, {q(MARKER_RE)}))
   WHERE seq IS NOT NULL AND text <> '')"""
 
 
 def cte_apply() -> str:
     """tmap, pieces, applied, rendered from tokens/segments/translations."""
-    attr_tag = (f"kind = 'open' AND tag NOT IN {inlist(T.NO_ATTR_APPLY_TAGS)} "
+    attr_tag = (f"kind = 'open' AND tag NOT IN {inlist(NO_ATTR_APPLY_TAGS)} "
                 f"AND regexp_matches(raw, {q(APPLY_ATTR_PREFILTER_RE)})")
     tkey = f"CASE WHEN kind = 'text' THEN {trim_ws(decode('raw'))} WHEN kind = 'rawtext' THEN {trim_ws('raw')} END"
-    akey = f"CASE WHEN a.name IN {inlist(T.TRANSLATABLE_ATTRS)} AND a.first THEN {trim_ws(decode('a.value'))} END"
-    sep = f"regexp_extract(piece, {q(rf'^([{S._SP}/]+)')}, 1)"
-    name = f"regexp_extract(piece, {q(S.ATTR_PIECE_RE)}, 1)"
+    akey = f"CASE WHEN a.name IN {inlist(TRANSLATABLE_ATTRS)} AND a.first THEN {trim_ws(decode('a.value', attr=True))} END"
+    sep = f"regexp_extract(piece, {q(rf'^([{SP}/]+)')}, 1)"
+    name = f"regexp_extract(piece, {q(ATTR_PIECE_RE)}, 1)"
     return f"""
 tmap AS (
   SELECT s.page_id, s.text, t.translation FROM segments s JOIN translations t ON s.page_id = t.page_id AND s.seq = t.seq

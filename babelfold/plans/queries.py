@@ -263,6 +263,27 @@ def q_html_tokens(spark, sf_dir):
     return _tokens(spark, sf_dir).select("page_id", "pos", "kind", "tag", "level", "raw")
 
 
+TOK_CONTENT = O.cte_tokens(D.CONTENT_PAGES_SQL)
+
+
+@register("content_model_tokens", O.with_(TOK_CONTENT) + "\nSELECT page_id, pos, kind, tag, level, raw FROM tokens")
+def q_content_model_tokens(spark, sf_dir):
+    return _tokens(spark, sf_dir, D.content_pages(spark, sf_dir)).select("page_id", "pos", "kind", "tag", "level", "raw")
+
+
+@register("content_model_segments", O.with_(TOK_CONTENT, O.cte_segments())
+          + "\nSELECT page_id, seq, kind, tag, attr, text FROM segments")
+def q_content_model_segments(spark, sf_dir):
+    return S.extract_segments(_tokens(spark, sf_dir, D.content_pages(spark, sf_dir)))
+
+
+@register("content_model_render", O.with_(TOK_CONTENT, O.cte_segments(), O.cte_batches(), O.cte_after_batches(LANG), O.cte_apply())
+          + "\nSELECT page_id, html, n_applied FROM rendered")
+def q_content_model_render(spark, sf_dir):
+    r = _pipe(spark, sf_dir, D.content_pages(spark, sf_dir))
+    return A.render(r.applied).select("page_id", "html", "n_applied")
+
+
 SEG_PAGES = O.with_(TOK_PAGES, O.cte_segments())
 
 
@@ -338,24 +359,24 @@ def q_segment_counts(spark, sf_dir):
 # ======================= 2.3 predicates ==================================================
 
 def _lines(spark, sf_dir):
-    d = D.doc_lines(spark, sf_dir).select(F.lit("documents").alias("source"), "doc_id", "seq", "line")
+    d = D.doc_lines(spark, sf_dir).select(F.lit("documents").alias("source"), "doc_id", F.lit(0).cast("long").alias("turn"), "seq", "line")
     c = D.spread(D.table(spark, sf_dir, "conversations"), "conv_id").select(
-        F.lit("conversations").alias("source"), (F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"),
+        F.lit("conversations").alias("source"), F.col("conv_id").alias("doc_id"), F.col("turn").cast("long").alias("turn"),
         F.posexplode(F.split("text", "\n", -1)).alias("seq", "line")).withColumn("seq", F.col("seq").cast("long"))
     return d.unionByName(c)
 
 
-LINES_SQL = (f"(SELECT 'documents' AS source, doc_id, seq, line FROM {D.doc_lines_sql()} UNION ALL "
-             "SELECT 'conversations', doc_id, seq, line FROM (SELECT conv_id * 1000 + turn AS doc_id, "
+LINES_SQL = (f"(SELECT 'documents' AS source, doc_id, CAST(0 AS BIGINT) AS turn, seq, line FROM {D.doc_lines_sql()} UNION ALL "
+             "SELECT 'conversations', doc_id, turn, seq, line FROM (SELECT conv_id AS doc_id, CAST(turn AS BIGINT) AS turn, "
              "CAST(generate_subscripts(ls, 1) - 1 AS BIGINT) AS seq, unnest(ls) AS line FROM "
              "(SELECT conv_id, turn, string_split(text, chr(10)) AS ls FROM conversations)))")
 
 
-@register("is_translatable", f"""SELECT source, doc_id, seq, t AS text, {O.translatable('t')} AS ok,
-  {O.text_kept('t')} AS text_rule FROM (SELECT source, doc_id, seq, {O.trim_ws('line')} AS t FROM {LINES_SQL})""")
+@register("is_translatable", f"""SELECT source, doc_id, turn, seq, t AS text, {O.translatable('t')} AS ok,
+  {O.text_kept('t')} AS text_rule FROM (SELECT source, doc_id, turn, seq, {O.trim_ws('line')} AS t FROM {LINES_SQL})""")
 def q_is_translatable(spark, sf_dir):
-    l = _lines(spark, sf_dir).select("source", "doc_id", "seq", T.trim_ws(F.col("line")).alias("text"))
-    return l.select("source", "doc_id", "seq", "text", T.is_translatable(F.col("text")).alias("ok"),
+    l = _lines(spark, sf_dir).select("source", "doc_id", "turn", "seq", T.trim_ws(F.col("line")).alias("text"))
+    return l.select("source", "doc_id", "turn", "seq", "text", T.is_translatable(F.col("text")).alias("ok"),
                     T.is_text_node_kept(F.col("text")).alias("text_rule"))
 
 
@@ -409,6 +430,42 @@ def q_translate_batches(spark, sf_dir):
     return r.select("page_id", "batch_idx", "response", "error_class")
 
 
+DICT_SEGS_SQL = f"(SELECT doc_id, seq, {O.trim_ws('line')} AS text FROM {D.doc_lines_sql()} WHERE {O.trim_ws('line')} <> '')"
+DICT_SQL = (f"(SELECT DISTINCT t AS text, '{LANG}:' || t AS translation FROM (SELECT {O.trim_ws('line')} AS t "
+            f"FROM {D.doc_lines_sql('benchmark', 'item_id')}) WHERE t <> '')")
+
+
+@register("translate_dictionary", O.with_(O.cte_batches(src=DICT_SEGS_SQL, group="doc_id")) + f"""
+SELECT p.doc_id AS page_id, p.batch_idx, max(p.n) AS n,
+  coalesce(string_agg('[' || CAST(p.seq AS VARCHAR) || '] ' || d.translation, chr(10) ORDER BY p.seq), '') AS response
+FROM planned p LEFT JOIN {DICT_SQL} d ON p.text = d.text GROUP BY p.doc_id, p.batch_idx""")
+def q_translate_dictionary(spark, sf_dir):
+    """Document lines translated from a table of benchmark lines."""
+    b = B.build_payload(B.plan_batches(_doc_segments(spark, sf_dir), group_col="doc_id"), group_col="doc_id")
+    r = TR.translate_batches(b, TR.TableTranslator(_memory(spark, sf_dir)), group_col="doc_id", lang=LANG)
+    return r.select("page_id", "batch_idx", "n", "response")
+
+
+@register("resend_failed", O.with_(TOK_PAGES, O.cte_segments(), O.cte_batches()) + f"""
+SELECT page_id, batch_idx, CASE WHEN strlen(payload) > {FAIL_OVER_BYTES} THEN 'api' END AS error_class,
+  CASE WHEN strlen(payload) > {FAIL_OVER_BYTES} THEN 3 ELSE 1 END AS round FROM batches""")
+def q_resend_failed(spark, sf_dir):
+    """Batches that a service always refuses are sent in every round, the others once."""
+    b = B.build_payload(B.plan_batches(S.extract_segments(_tokens(spark, sf_dir))))
+    r = TR.translate_with_resends(b, TR.python_prefix(LANG, fail_over_bytes=FAIL_OVER_BYTES), rounds=3)
+    return r.select("page_id", "batch_idx", "error_class", "round")
+
+
+@register("distinct_sending", SEG_PAGES + """
+SELECT text, CAST(1 AS BIGINT) AS n_sent, count(*) AS n_pages FROM segments GROUP BY text""")
+def q_distinct_sending(spark, sf_dir):
+    """How often each text is sent, and on how many pages its translation is used."""
+    r = _pipe(spark, sf_dir, distinct=True)
+    sent = r.batches.select(F.explode("items.text").alias("text")).groupBy("text").agg(F.count(F.lit(1)).alias("n_sent"))
+    used = r.segments.groupBy("text").agg(F.count(F.lit(1)).alias("n_pages"))
+    return sent.join(used, "text", "full")
+
+
 # ======================= 2.5 responses ===================================================
 
 @register("unwrap_response", f"SELECT event_id, body, {O.unwrap('body')} AS text FROM {D.RESPONSE_BODIES_SQL}")
@@ -521,7 +578,7 @@ def q_render_html(spark, sf_dir):
     return A.render(r.applied).select("page_id", "html", "n_applied")
 
 
-PASS_SRC_SQL = f"(SELECT page_id, html FROM pages UNION ALL SELECT page_id, html FROM {D.BARE_PAGES_SQL})"
+PASS_SRC_SQL = f"(SELECT page_id * {D.SETS} AS page_id, html FROM pages UNION ALL SELECT page_id, html FROM {D.BARE_PAGES_SQL})"
 PIPE_PASS = O.with_(O.cte_tokens(PASS_SRC_SQL), O.cte_segments(), O.cte_batches(), O.cte_after_batches(LANG),
                     O.cte_apply())
 
@@ -531,7 +588,7 @@ SELECT s.page_id, coalesce(r.html, s.html) AS html, coalesce(r.html, s.html) = s
   coalesce(r.n_applied, 0) AS n_applied
 FROM {PASS_SRC_SQL} s LEFT JOIN rendered r ON s.page_id = r.page_id""")
 def q_passthrough(spark, sf_dir):
-    src = _pages(spark, sf_dir).select("page_id", "html").unionByName(D.bare_pages(spark, sf_dir))
+    src = _pages(spark, sf_dir).select((F.col("page_id") * D.SETS).alias("page_id"), "html").unionByName(D.bare_pages(spark, sf_dir))
     out = _pipe(spark, sf_dir, src).pages
     j = out.join(src.select("page_id", F.col("html").alias("html_in")), "page_id")
     return j.select("page_id", "html", (F.col("html") == F.col("html_in")).alias("unchanged"), "n_applied")
@@ -668,6 +725,12 @@ def q_translate_pages(spark, sf_dir):
     return _pipe(spark, sf_dir).pages.select("page_id", "html", "n_applied")
 
 
+@register("translate_pages_distinct", QUERIES["translate_pages"][1])
+def q_translate_pages_distinct(spark, sf_dir):
+    """Every distinct text of the corpus sent once: the same pages as page by page."""
+    return _pipe(spark, sf_dir, distinct=True).pages.select("page_id", "html", "n_applied")
+
+
 def queries() -> dict:
     return {k: v[0] for k, v in QUERIES.items()}
 

@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# id offsets keep derived pages apart from real ones in a mixed page set
-ATTR_OFFSET, SCRIPT_OFFSET, IFRAME_OFFSET, BARE_OFFSET = 1_000_000_000, 2_000_000_000, 3_000_000_000, 4_000_000_000
+# in a mixed page set a page's id is ``SETS * id + set``: no two sets meet, whatever their ids
+SETS, PAGES_SET, ATTR_SET, SCRIPT_SET, IFRAME_SET, BARE_SET = 8, 0, 1, 2, 3, 4
 # epoch and timestamp parameters, fixed so runs are repeatable
 CRAWL_EPOCH = 1_700_000_000
 RUN_TS = "2024-01-01 12:34:56"
@@ -58,44 +58,75 @@ SCRIPT_PAGES_SQL = ("(SELECT c_custkey AS page_id, '<script>var a={\"text\":\"'
 
 
 def iframe_pages(spark, sf_dir) -> DataFrame:
-    """Base64 data-URI iframes; every fifth nation gets a cut (invalid) payload."""
-    n = table(spark, sf_dir, "nation")
-    b64 = F.base64(F.encode(F.concat(F.lit("<p>Nation "), n.n_name, F.lit("</p>")), "UTF-8"))
-    b64 = F.when(n.n_nationkey % 5 == 4, F.expr("substring(base64(encode(concat('<p>Nation ', n_name, '</p>'), "
-                                                 "'UTF-8')), 2)")).otherwise(b64)
-    html = F.concat(F.lit('<iframe src="data:text/html;base64,'), b64, F.lit('"></iframe>'))
-    return n.select(F.col("n_nationkey").cast("long").alias("page_id"), html.alias("html"))
+    """Base64 data-URI iframes; every fifth customer gets a cut (invalid) payload."""
+    b64 = "replace(base64(encode(concat('<p>Customer ', c_name, '</p><b>From ', initcap(c_mktsegment), ' Street</b>'), 'UTF-8')), '\\r\\n', '')"
+    cut = f"substring({b64}, CASE WHEN c_custkey % 5 = 4 THEN 2 ELSE 1 END)"
+    return table(spark, sf_dir, "customer").selectExpr(
+        "cast(c_custkey as long) AS page_id", f"""concat('<iframe src="data:text/html;base64,', {cut}, '"></iframe>') AS html""")
+
+
+IFRAME_PAGES_SQL = """(SELECT CAST(c_custkey AS BIGINT) AS page_id, '<iframe src="data:text/html;base64,' ||
+  substr(to_base64(encode('<p>Customer ' || c_name || '</p><b>From ' || upper(c_mktsegment[1]) || lower(c_mktsegment[2:]) || ' Street</b>')),
+    CASE WHEN c_custkey % 5 = 4 THEN 2 ELSE 1 END) || '"></iframe>' AS html FROM customer)"""
+
+
+# One page of a document: elements whose content is not markup, references of all
+# kinds, nested templates, and, by id, one element that is open at the page's end
+# and holds the whole text.  ``LINE`` is the text's first line.
+CONTENT_PARTS = (
+    "<title>A <b>&notit; ", "LINE", "</title x>",
+    '<textarea title="&copy=1 &copy; x &lt">x</p>&eacute ', "LINE", "</TEXTAREA >",
+    "<noscript><p>No &amp; script ", "LINE", "</p></noscript>",
+    '<template title="tpl"><p title="inner">', "LINE", "<template>deep</template> more</p><script>var s=\"in template\";</script></template></template>",
+    "<p>After &check; it&#146;s &#x80; &#0; &#xD800; &AMP &bogus; AT&T ", "LINE", "</p>",
+    '<iframe title="frame"><b>fallback ', "LINE", "</b></iframe><xmp><u>raw &amp; ", "LINE", "</u></xmp>",
+    "<!--><p>Seen &CounterClockwiseContourIntegral; &NotEqualTilde; x</p></ bogus ><noframes>a</noframe></noframes>",
+)
+CONTENT_OPEN_ENDS = ('<script>var a = "', "<style>", "<textarea>", "<template><p>", "<!-- ", "<plaintext><b>", "<noembed>", "<p>")
+CONTENT_CUT = "<a href="  # a tag cut off at the page's end
+
+
+def content_pages(spark, sf_dir) -> DataFrame:
+    d = spread(table(spark, sf_dir, "documents").filter("doc_id IS NOT NULL"), "doc_id")
+    line = F.substring_index("text", "\n", 1)
+    ends = F.element_at(F.array(*[F.lit(e) for e in CONTENT_OPEN_ENDS]), (F.pmod("doc_id", F.lit(len(CONTENT_OPEN_ENDS))) + 1).cast("int"))
+    html = F.concat(*[line if p == "LINE" else F.lit(p) for p in CONTENT_PARTS], ends, F.col("text"), F.lit(CONTENT_CUT))
+    return d.select(F.col("doc_id").alias("page_id"), html.alias("html"))
 
 
-IFRAME_PAGES_SQL = ("(SELECT CAST(n_nationkey AS BIGINT) AS page_id, '<iframe src=\"data:text/html;base64,' || "
-                    "CASE WHEN n_nationkey % 5 = 4 THEN substr(to_base64(encode('<p>Nation ' || n_name || '</p>')), 2) "
-                    "ELSE to_base64(encode('<p>Nation ' || n_name || '</p>')) END || '\"></iframe>' AS html FROM nation)")
+def _sql_quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+CONTENT_PAGES_SQL = ("(SELECT doc_id AS page_id, " + " || ".join("split_part(text, chr(10), 1)" if p == "LINE" else _sql_quoted(p) for p in CONTENT_PARTS)
+                     + " || ([" + ", ".join(map(_sql_quoted, CONTENT_OPEN_ENDS)) + "])[doc_id % 8 + 1] || text || "
+                     + _sql_quoted(CONTENT_CUT) + " AS html FROM documents WHERE doc_id IS NOT NULL)")
 
 
 def bare_pages(spark, sf_dir) -> DataFrame:
     """Pages with nothing to translate (a comment and a one-digit paragraph)."""
-    n = table(spark, sf_dir, "nation")
-    html = F.concat(F.lit("<html><body><!-- "), n.n_name, F.lit(" --><p>"), (n.n_nationkey % 10).cast("string"),
+    c = table(spark, sf_dir, "customer")
+    html = F.concat(F.lit("<html><body><!-- "), c.c_name, F.lit(" --><p>"), (c.c_custkey % 10).cast("string"),
                     F.lit("</p></body></html>"))
-    return n.select((F.col("n_nationkey").cast("long") + BARE_OFFSET).alias("page_id"), html.alias("html"))
+    return c.select((F.col("c_custkey").cast("long") * SETS + BARE_SET).alias("page_id"), html.alias("html"))
 
 
-BARE_PAGES_SQL = (f"(SELECT CAST(n_nationkey AS BIGINT) + {BARE_OFFSET} AS page_id, '<html><body><!-- ' || n_name || "
-                  "' --><p>' || CAST(n_nationkey % 10 AS VARCHAR) || '</p></body></html>' AS html FROM nation)")
+BARE_PAGES_SQL = (f"(SELECT CAST(c_custkey AS BIGINT) * {SETS} + {BARE_SET} AS page_id, '<html><body><!-- ' || c_name || "
+                  "' --><p>' || CAST(c_custkey % 10 AS VARCHAR) || '</p></body></html>' AS html FROM customer)")
 
 
 def mixed_pages(spark, sf_dir) -> DataFrame:
-    shift = lambda df, off: df.select((F.col("page_id") + off).alias("page_id"), "html")
-    return (table(spark, sf_dir, "pages").select("page_id", "html")
-            .unionByName(shift(attr_pages(spark, sf_dir), ATTR_OFFSET))
-            .unionByName(shift(script_pages(spark, sf_dir), SCRIPT_OFFSET))
-            .unionByName(shift(iframe_pages(spark, sf_dir), IFRAME_OFFSET)))
+    shift = lambda df, k: df.select((F.col("page_id") * SETS + k).alias("page_id"), "html")
+    return (shift(table(spark, sf_dir, "pages"), PAGES_SET)
+            .unionByName(shift(attr_pages(spark, sf_dir), ATTR_SET))
+            .unionByName(shift(script_pages(spark, sf_dir), SCRIPT_SET))
+            .unionByName(shift(iframe_pages(spark, sf_dir), IFRAME_SET)))
 
 
-MIXED_PAGES_SQL = (f"(SELECT page_id, html FROM pages UNION ALL "
-                   f"SELECT page_id + {ATTR_OFFSET}, html FROM {ATTR_PAGES_SQL} UNION ALL "
-                   f"SELECT page_id + {SCRIPT_OFFSET}, html FROM {SCRIPT_PAGES_SQL} UNION ALL "
-                   f"SELECT page_id + {IFRAME_OFFSET}, html FROM {IFRAME_PAGES_SQL})")
+MIXED_PAGES_SQL = (f"(SELECT page_id * {SETS} AS page_id, html FROM pages UNION ALL "
+                   f"SELECT page_id * {SETS} + {ATTR_SET}, html FROM {ATTR_PAGES_SQL} UNION ALL "
+                   f"SELECT page_id * {SETS} + {SCRIPT_SET}, html FROM {SCRIPT_PAGES_SQL} UNION ALL "
+                   f"SELECT page_id * {SETS} + {IFRAME_SET}, html FROM {IFRAME_PAGES_SQL})")
 
 
 # --- response bodies and marker texts ----------------------------------------------------
