@@ -24,21 +24,33 @@ def cut(df: DataFrame) -> DataFrame:
     the table is known to the planner.  (A checkpointed DataFrame keeps the size
     estimate of its plan, and over the joins of an iteration that grows beyond
     all bounds.)  Joins of two such tables sit directly on their exchanges,
-    where Spark splits hot keys.  :func:`release` deletes an application's tables."""
+    where Spark splits hot keys.  :func:`release` deletes the tables."""
     spark = df.sparkSession
     path = f"{_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def written() -> int:
+    """How many tables :func:`cut` has written so far: a mark for :func:`release`."""
+    return len(_written)
+
+
 def _folder(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark)}/tables-{spark.sparkContext.applicationId}"
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what :func:`cut` has written in this application; no result may be in use."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def release(spark: SparkSession, start: int = 0, stop: int | None = None) -> None:
+    """Deletes the tables that :func:`cut` wrote between two marks; no result may still read them."""
+    for k, path in list(enumerate(_written))[start:stop]:
+        if path:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _written[k] = ""
 
 
 FOREST_EDGES = 500_000  # edges that one task joins by itself

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .cluster import cut, ready, small
+from .cluster import cut, ready
 
 MIN_WORDS, NEAR_WORDS = 5, 8
 _Q = W.U(0xA24BAED4963EE407)
@@ -89,8 +89,8 @@ def _hasher(min_words: int, near_words: int):
             off4 = np.concatenate([[0], np.cumsum(np.where(near, 4, 0))])
             keys = np.stack(halves, axis=1)[near].ravel() if len(n) else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [rows.column(0).take(pa.array(x.doc[at])), pa.array(x.line[at], pa.int32()), W.as_long(h),
-                 W.list_of(W.as_long(keys), off4)], ["doc_id", "line", "h", "halves"])
+                [*(rows.column(c).take(pa.array(x.doc[at])) for c in (0, 1)), pa.array(x.line[at], pa.int32()), W.as_long(h),
+                 W.list_of(W.as_long(keys), off4)], ["doc_id", "rid", "line", "h", "halves"])
     return run
 
 
@@ -148,27 +148,34 @@ def _verify(batches):
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int = NEAR_WORDS) -> DataFrame:
-    """``(doc_id, line)`` of every line to drop from ``docs(doc_id, text)``; lines count from 0."""
+    """``(doc_id, rid, line)`` of every line to drop from ``docs(doc_id, text)``; ``rid`` is the
+    hash of the text that the line stands in, lines count from 0.
+
+    All joins are sort-merge joins, whose hot keys Spark splits: the tables that
+    meet grow with the corpus, so none is broadcast at any size."""
     ready(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(
         "doc_id is not null and text is not null")
-    lines = cut(docs.mapInArrow(_hasher(min_words, near_words), "doc_id long, line int, h long, halves array<long>"))
-    place = F.struct("doc_id", "line")
+    # rows of one id with different texts are told apart by the texts' hash
+    docs = docs.select("doc_id", F.xxhash64("text").alias("rid"), "text")
+    lines = cut(docs.mapInArrow(_hasher(min_words, near_words), "doc_id long, rid long, line int, h long, halves array<long>"))
+    place = F.struct("doc_id", "line", "rid")
 
     # lines that share a half with another line
     half = F.posexplode("halves").alias("k", "half")
     shared = cut(lines.select("h", half).groupBy("half").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
                  .filter("lo <> hi").select("half"))
     bit = F.expr("case when k % 2 = 0 then 1 else 2 end")
-    like = cut(lines.select("h", "doc_id", "line", half).join(small(shared), "half", "left_semi")
+    like = cut(lines.select("h", "doc_id", "line", "rid", half).join(shared.hint("merge"), "half", "left_semi")
                .groupBy("h").agg(F.min(place).alias("at"), F.bit_or(bit).alias("bits")))
     # their words, from the text of the first of them
-    per_doc = like.select("h", "bits", "at.doc_id", "at.line").groupBy("doc_id").agg(
+    per_text = like.select("h", "bits", "at.doc_id", "at.rid", "at.line").groupBy("doc_id", "rid").agg(
         F.collect_list(F.struct("line", "h", "bits")).alias("of"))
-    cand = (docs.join(small(cut(per_doc)), "doc_id").dropDuplicates(["doc_id"])
+    cand = (docs.join(cut(per_text).hint("merge"), ["doc_id", "rid"])
             .select("doc_id", F.split("text", "\n").alias("t"), F.explode("of").alias("o"))
-            .select("o.h", "doc_id", "o.line", F.expr("t[o.line]").alias("text"), "o.bits"))
-    cand = cut(cand)
+            .select("o.h", "doc_id", "o.line", F.expr("get(t, o.line)").alias("text"), "o.bits"))
+    # a row that occurs twice gives its lines twice
+    cand = cut(cand.filter("text is not null").groupBy("h").agg(*[F.min(c).alias(c) for c in ("doc_id", "line", "text", "bits")]))
     keyed = cand.mapInArrow(_variants, "h long, doc_id long, line int, key long, role int")
 
     def first(role):
@@ -178,37 +185,43 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_words: int
                                           F.min("h").alias("lo"), F.max("h").alias("hi"))
                  .filter("lo <> hi").drop("lo", "hi"))
     met = F.expr("case role when 0 then sub when 1 then less else own end")
-    pairs = keyed.join(small(groups), "key").withColumn("to", met).filter(
+    pairs = keyed.join(groups.hint("merge"), "key").withColumn("to", met).filter(
         "to is not null and to.h <> h and struct(to.doc_id, to.line) < struct(doc_id, line)")
     pairs = pairs.groupBy("h", F.col("to.h").alias("h2")).agg(F.first("to").alias("to"))
     text = cand.select("h", "text")
-    near = cut(pairs.join(text, "h").join(text.select(F.col("h").alias("h2"), F.col("text").alias("text2")), "h2")
+    near = cut(pairs.join(text.hint("merge"), "h").join(text.select(F.col("h").alias("h2"), F.col("text").alias("text2")).hint("merge"), "h2")
                .select("h", "to.doc_id", "to.line", "text", "text2")
                .mapInArrow(_verify, "h long, doc_id long, line int"))
 
     # the earliest equal or near occurrence of each line that has a later one
-    origin = cut(lines.select("h", "doc_id", "line").withColumn("own", F.lit(1))
-                 .union(near.withColumn("own", F.lit(0)))
-                 .groupBy("h").agg(F.min(place).alias("origin"), F.max(place).alias("last"), F.count(F.lit(1)).alias("n"))
+    at = F.struct("doc_id", "line")
+    origin = cut(lines.select("h", "doc_id", "line").union(near)
+                 .groupBy("h").agg(F.min(at).alias("origin"), F.max(at).alias("last"), F.count(F.lit(1)).alias("n"))
                  .filter("n > 1").select("h", "origin"))
-    return (lines.select("h", "doc_id", "line").join(small(origin), "h")
-            .filter("origin < struct(doc_id, line)").select("doc_id", "line").distinct())
+    return (lines.select("h", "doc_id", "rid", "line").join(origin.hint("merge"), "h")
+            .filter("origin < struct(doc_id, line)").select("doc_id", "rid", "line").distinct())
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", dropped: str = "n_dropped", **bounds) -> DataFrame:
     """Every row of ``docs`` with its repeated lines taken out of ``text``, and
-    their number in the column ``dropped``; the lines left keep their order and form.
-
-    A null text stays null, an empty one empty; a text may become empty.  A null
-    ``doc_id`` neither drops lines nor has any dropped.  Rows of one ``doc_id``
-    are one document: they don't make each other's lines repeated.  All columns
-    of ``docs`` stay; an empty table gives no rows.
+    their number in the column ``dropped`` (a column of that name is replaced);
+    the lines left keep their order and form.
+
+    A null text stays null, an empty one empty; a text may become empty.  Very
+    long texts and lines are handled whole.  A null ``doc_id`` neither drops lines
+    nor has any dropped.  Rows of one ``doc_id`` with the same text are alike;
+    with different texts they are one document whose texts both start at line 0:
+    of a line that stands in both, the one with the greater line number goes.
+    All columns of ``docs`` stay, whatever their names; an empty table gives no
+    rows.
     """
-    gone = repeated_lines(docs.select("doc_id", F.col(text).alias("text")), **bounds)
-    per_doc = cut(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("__gone")))
-    j = docs.join(small(per_doc.withColumnRenamed("doc_id", "__doc")), F.col("doc_id").cast("long") == F.col("__doc"), "left")
-    left = F.expr(f"array_join(filter(split(`{text}`, '\\n'), (x, i) -> not array_contains(__gone, i)), '\\n')")
-    n = F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
-    new = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(left)
-    return j.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns],
-                    F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(n).alias(dropped))
+    kept = [c for c in docs.columns if c != dropped]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept if c != text]).alias("row"),
+                         F.col("doc_id").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
+    packed = packed.withColumn("r", F.xxhash64("t"))
+    gone = repeated_lines(packed.select(F.col("id").alias("doc_id"), F.col("t").alias("text")), **bounds)
+    per_text = cut(gone.groupBy(F.col("doc_id").alias("id"), F.col("rid").alias("r")).agg(F.sort_array(F.collect_set("line")).alias("gone")))
+    j = packed.join(per_text.hint("merge"), ["id", "r"], "left")
+    left = F.expr("case when gone is null then t else array_join(filter(split(t, '\\n'), (x, i) -> not array_contains(gone, i)), '\\n') end")
+    n = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    return j.select(*[left.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in kept], n.alias(dropped))
