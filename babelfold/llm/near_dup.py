@@ -204,7 +204,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, trees:
                   .filter("lo <> hi").select("region"))
     wanted = forest(classes).select("region", "cid").join(crowded, "region", "left_semi").select("cid").distinct()
     near = cut(classes.join(cut(wanted), "cid"))
-    sets = cut(docs.withColumnRenamed("doc_id", "cid").join(near.select("cid").distinct(), "cid", "left_semi")
+    sets = cut(docs.withColumnRenamed("doc_id", "cid").join(near.select("cid").distinct().hint("merge"), "cid", "left_semi")
                .select("cid", "text").mapInArrow(_set_maker(shingle), "cid long, shingles array<long>"))
 
     trunk = forest(near).select("tree", "s", "cid", "n")

@@ -1,15 +1,19 @@
 """Operators and stages that compare documents with each other, against brute force."""
 
+import hashlib
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 from babelfold.llm import toxicity
 from babelfold.llm.cluster import connected_components
 from babelfold.llm.line_dedup import dedup_lines, within_one_edit
 from babelfold.llm.near_dup import near_duplicates
+from babelfold.llm.queries import tokenizer_file
 from helpers import components, edits, lines_left, near_groups, passages, space_words
 
 SF = "/root/testdata/sf0.001"
@@ -110,6 +114,26 @@ def test_lines_odd_tables(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("turn", [1, -1])
+def test_lines_of_one_id_with_different_texts(spark, turn):
+    line = "one two three four five six seven eight nine"
+    near = line.replace("four", "vier")
+    rows = [(2, "short"), (2, f"x\ny\nz\n{line}"), (3, near), (4, f"keep this\n{line}"), (4, "other"), (4, "other")]
+    df = spark.createDataFrame(rows[::turn], "doc_id long, text string").coalesce(1)
+    got = sorted((r.doc_id, r.text, r.n_dropped) for r in dedup_lines(df).collect())
+    assert got == [(2, "short", 0), (2, f"x\ny\nz\n{line}", 0), (3, "", 1), (4, "keep this", 1), (4, "other", 0), (4, "other", 0)]
+
+
+def test_lines_columns_of_any_name(spark):
+    line = "one two three four five six seven eight nine"
+    df = spark.createDataFrame([(1, line), (2, line)], "doc_id long, text string")
+    for c in ("n_dropped", "row", "id", "t", "r", "gone", "a.b", "rid", "line", "__gone"):
+        df = df.withColumn(c, F.lit("kept"))
+    got = sorted(dedup_lines(df).collect(), key=lambda r: r["doc_id"])
+    assert sorted(got[0].asDict()) == sorted(df.columns) and [r["n_dropped"] for r in got] == [0, 1] and [r["text"] for r in got] == [line, ""]
+    assert all(r[c] == "kept" for r in got for c in ("row", "id", "t", "r", "gone", "a.b", "rid", "line", "__gone"))
+
+
 def test_block_max_search_is_exact():
     rng = np.random.default_rng(1)
     rows = [(np.sort(rng.choice(40, rng.integers(1, 8), replace=False)), rng.integers(1, 4, 8)) for _ in range(700)]
@@ -153,7 +177,9 @@ def test_toxicity_odd_tables(spark):
 def clashing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(90001, None, None, None, None), (90002, "", "en", "s", 0), (None, "no id at all here", "en", "s", 17)], docs.schema)
-    return docs.union(odd).selectExpr("*", "1 as kept", "2 as n_words", "3 as score", "'f' as found", "4 as n_hit", "5 as cid")
+    return docs.union(odd).selectExpr("*", "1 as kept", "2 as n_words", "3 as score", "'f' as found", "4 as n_hit", "5 as cid", "6 as `a.b`",
+                                     "7 as dropped", "8 as __gone", "9 as __doc", "10 as __dropped", "11 as row", "12 as id", "13 as rid", "14 as component_id",
+                                     "15 as ids", "16 as decoded", "17 as n_dropped")
 
 
 def test_stages_equal_brute_force(spark):
@@ -188,6 +214,13 @@ def test_stages_equal_brute_force(spark):
     assert clean.columns == columns
     assert {r.doc_id for r in clean.collect()} == {d for d in rows if not hits[d][1]}
 
+    tokenizer = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    tokenizer.no_padding(), tokenizer.no_truncation()
+    for r in P.encoding(spark, docs, SF).collect():
+        ids = tokenizer.encode(rows[r.doc_id].text or "", add_special_tokens=False).ids
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
 
 def test_stages_on_an_empty_table(spark):
     docs = clashing(spark).limit(0)
