@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from babelfold.llm.bpe import digests, encode_decode
-from babelfold.llm.cluster import cut, small
+from babelfold.llm.cluster import cut, release, written
 from babelfold.llm.decontaminate import find_passages
 from babelfold.llm.line_dedup import dedup_lines
 from babelfold.llm.near_dup import near_duplicates
@@ -40,18 +40,23 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go, and the documents that consist of nothing else;
     ``n_chars`` is the length of what is left of a changed text."""
-    out = dedup_lines(docs, dropped="__dropped")
-    out = out.filter("__dropped = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    mark = "dropped"
+    while mark in docs.columns:
+        mark += "_"
+    out = dedup_lines(docs, dropped=mark)
+    out = out.filter((F.col(mark) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("__dropped") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(mark) > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of the smallest id stays."""
-    gone = cut(near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(small(gone), F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    gone = cut(near_duplicates(docs.select("doc_id", "text")).filter("not kept").select(F.col("doc_id").alias("id")).distinct())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"))
+    left = rows.join(gone.hint("merge"), "id", "left_anti")
+    return left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -79,10 +84,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what a stage kept is written once for the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; what a stage kept is written once for the next,
+    then the tables that the stage wrote on its way are deleted, and its input."""
+    docs, at = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
+            end = written()
             docs = cut(docs)
+            release(spark, at, end)
+            at = end
     return docs
