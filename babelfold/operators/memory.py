@@ -9,10 +9,13 @@ Nothing is collected to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from babelfold.operators.hotkeys import join_unique, key_counts
+from babelfold.session import cut_lineage
 
 
 def content_hash(col) -> Column:
@@ -66,3 +69,59 @@ def tm_merge(memory: DataFrame, new: DataFrame) -> DataFrame:
         F.max_by("translation", F.struct("run_ts", "translation")).alias("translation"),
         F.max("run_ts").alias("run_ts"),
     )
+
+
+MEMORY_SCHEMA = "lang string, text string, translation string, run_ts long"
+BUCKETS = 256
+
+
+class MemoryTable:
+    """A translation memory kept as a table: Parquet folders ``bucket=<k>``, the bucket
+    being a hash of language and text, one entry per text.
+
+    :meth:`update` rewrites only the buckets that new entries fall into, each of
+    them whole: their old entries are read (the other folders aren't), merged and
+    written to the shared checkpoint folder first, then put in place.  So what a
+    run writes follows its new texts, as long as they are fewer than the buckets;
+    choose ``buckets`` so that one holds what a run may rewrite (100 MB, say).
+    The number is fixed when the table is first written.  One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+        self.spark, self.path = spark, path.rstrip("/")
+        meta = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_memory.json")
+        fs = meta.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.exists(meta):
+            self.buckets = json.loads(self._read(fs, meta))["buckets"]
+        else:
+            self.buckets = buckets
+            out = fs.create(meta, True)
+            out.write(bytearray(json.dumps({"buckets": buckets}).encode()))
+            out.close()
+
+    @staticmethod
+    def _read(fs, path) -> str:
+        stream = fs.open(path)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("lang", "text"), F.lit(self.buckets)).cast("int")
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        """All entries, or those of some buckets."""
+        df = self.spark.read.schema(MEMORY_SCHEMA + ", bucket int").parquet(self.path)
+        df = df if buckets is None else df.filter(F.col("bucket").isin(buckets))
+        return df.select("lang", "text", "translation", "run_ts")
+
+    def update(self, new: DataFrame) -> list[int]:
+        """Merges ``new(lang, text, translation, run_ts)``, the newest run winning; the
+        buckets rewritten (a number each, BUCKETS at most)."""
+        new = cut_lineage(new.select("lang", "text", "translation", "run_ts").filter("text is not null"))
+        touched = sorted(r.b for r in new.select(self._bucket().alias("b")).distinct().collect())
+        if touched:
+            merged = cut_lineage(tm_merge(self.read(touched), new).withColumn("bucket", self._bucket()).repartition("bucket"))
+            merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        return touched

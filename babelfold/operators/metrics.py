@@ -61,12 +61,23 @@ def size_metrics(bytes_in, bytes_out) -> list[Column]:
     ]
 
 
+def run_report(spark, counts: dict, ms: int) -> DataFrame:
+    """The report of a run (one row) from its counts and its time in milliseconds."""
+    fields = ("n_pages", "bytes_in", "bytes_out", "texts_collected", "texts_kept", "n_hits", "n_misses", "n_batches", "n_failed_batches", "n_applied")
+    row = spark.range(1).select(*[F.lit(int(counts.get(f) or 0)).cast("long").alias(f) for f in fields], F.lit(int(ms)).cast("long").alias("ms"))
+    return row.select(*fields, (F.col("texts_collected") - F.col("texts_kept")).alias("texts_filtered"),
+                      *size_metrics("bytes_in", "bytes_out")[2:],
+                      hit_rate("n_hits", "n_misses").alias("hit_rate"), "ms", format_duration("ms").alias("duration"),
+                      throughput_kbps("bytes_in", "ms").alias("kb_per_s"), perf_grade("ms").alias("grade"), grade_label(perf_grade("ms")).alias("label"),
+                      target_met("ms").alias("target_met"))
+
+
 def hit_rate(hits, misses) -> Column:
     h, m = _c(hits), _c(misses)
     return F.when(h + m > 0, F.try_divide(h.cast("double"), (h + m).cast("double")))
 
 
-def run_metrics(out_pages: DataFrame, responses: DataFrame) -> DataFrame:
+def run_metrics(out_pages: DataFrame, responses: DataFrame, split: DataFrame | None = None) -> DataFrame:
     """One row per page.
 
     The batch, failure and acceptance counts come from ONE aggregate over the
@@ -74,17 +85,26 @@ def run_metrics(out_pages: DataFrame, responses: DataFrame) -> DataFrame:
     and applied counts come with the translated pages (``bytes_in`` is
     measured on the tokens).  Two page-level inputs, one co-partitioned join;
     the raw pages are not read again.
+
+    With a memory ``split(page_id, hit)`` tells hits from misses (the pipeline
+    keeps it as a written table): segments are counted there, since only the
+    misses were sent.  Without one every segment is a miss.
     """
     from babelfold.operators.responses import sql_marked_lines, unwrap_response
 
     r = responses.withColumn("text", unwrap_response(F.col("response")))
     acc = F.expr(f"CASE WHEN error_class IS NULL THEN size(coalesce({sql_marked_lines()}, array())) ELSE 0 END")
     stats = r.groupBy("page_id").agg(
-        F.max("n").alias("n_segments"), F.count(F.lit(1)).alias("n_batches"),
+        F.max("n").alias("n_misses"), F.count(F.lit(1)).alias("n_batches"),
         F.count("error_class").alias("n_failed_batches"), F.sum(acc).alias("n_accepted"))
     out = out_pages.select("page_id", "bytes_in", F.octet_length("html").alias("bytes_out"), "n_applied")
-    j = out.join(stats, "page_id", "left")
-    counts = ["n_segments", "n_batches", "n_failed_batches", "n_accepted", "n_applied"]
+    j = out.join(stats, "page_id", "left").withColumn("n_misses", F.coalesce("n_misses", F.lit(0)))
+    if split is not None:
+        j = j.join(split.groupBy("page_id").agg(F.count_if("hit").alias("n_hits")), "page_id", "left")
+    else:
+        j = j.withColumn("n_hits", F.lit(0))
+    j = j.withColumn("n_segments", F.col("n_misses") + F.coalesce("n_hits", F.lit(0)))
+    counts = ["n_segments", "n_hits", "n_misses", "n_batches", "n_failed_batches", "n_accepted", "n_applied"]
     return j.select("page_id", F.col("bytes_in").cast("int").alias("bytes_in"),
                     F.col("bytes_out").cast("int").alias("bytes_out"), *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
                                                           for c in counts])
@@ -92,5 +112,5 @@ def run_metrics(out_pages: DataFrame, responses: DataFrame) -> DataFrame:
 
 def job_totals(per_page: DataFrame) -> DataFrame:
     """Roll the per-page run metrics up to one job row (a single global aggregate)."""
-    counts = ["bytes_in", "bytes_out", "n_segments", "n_batches", "n_failed_batches", "n_accepted", "n_applied"]
+    counts = [c for c in ("n_hits", "n_misses") if c in per_page.columns] + ["bytes_in", "bytes_out", "n_segments", "n_batches", "n_failed_batches", "n_accepted", "n_applied"]
     return per_page.agg(F.count(F.lit(1)).alias("n_pages"), *[F.sum(c).alias(c) for c in counts])

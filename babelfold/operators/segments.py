@@ -152,13 +152,15 @@ def candidates(tokens: DataFrame, iframe_mode: str = "off") -> DataFrame:
     return c.select("page_id", *[F.col(f"c.{f}").alias(f) for f in _CAND_FIELDS], "tag")
 
 
-def extract_segments(tokens: DataFrame, iframe_mode: str = "off") -> DataFrame:
+def extract_segments(tokens: DataFrame, iframe_mode: str = "off", observed: dict | None = None) -> DataFrame:
     """``tokens`` -> ``segments(page_id, seq, kind, tag, attr, text)``.
 
     First occurrence of each exact trimmed text wins across all kinds;
     ``seq`` is dense from 0 per page in visiting order.
     """
     cand = candidates(tokens, iframe_mode)
+    if observed:
+        cand = cand.observe(observed["candidates"], F.count(F.lit(1)).alias("texts_collected"))
     ord_ = F.struct("o_level", "o_pos", "o_phase", "o_a", "o_b", "o_c", "kind", "tag", "attr")
     first = cand.groupBy("page_id", "text").agg(F.min(ord_).alias("f"))
     w = Window.partitionBy("page_id").orderBy("f")

@@ -139,6 +139,58 @@ def prefix_translate(payload: str, lang: str = "zh") -> str:
             f"lambda l: regexp_replace(l, {q(r'^(\[[0-9]+\]) ')}, {q(chr(92) + '1 ' + lang + ':')})), chr(10))")
 
 
+# --- URLs ----------------------------------------------------------------------------
+
+URL_RE2 = r"(?is)^https?:[/\\]*([^/\\?#]*)([^?#]*)"
+PATH_ENCODED_RE2 = r"(?s)[^\x00-\x20\x22#<>?`{}\x7F-\x{10FFFF}]+|[\x00-\x20\x22#<>?`{}\x7F-\x{10FFFF}]+"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """``body`` with ``value`` under a name, worked out once."""
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def url_path(raw: str) -> str:
+    dots, two = "('.', '%2e', '..', '.%2e', '%2e.', '%2e%2e')", "('..', '.%2e', '%2e.', '%2e%2e')"
+    segs = f"string_split(replace(regexp_replace({raw}, {q(r'^[/\\]')}, ''), chr(92), '/'), '/')"
+    fold = (f"list_reduce(list_concat([''], v), lambda a, s: CASE WHEN lower(s) IN {two} THEN regexp_replace(a, '/[^/]*$', '') "
+            f"WHEN lower(s) IN {dots} THEN a ELSE a || '/' || s END)")
+    whole = _let("v", segs, f"{fold} || CASE WHEN lower(v[-1]) IN {dots} THEN '/' ELSE '' END")
+    whole = _let("w", whole, "CASE WHEN starts_with(w, '/') THEN w ELSE '/' || w END")
+    return (f"array_to_string(list_transform(regexp_extract_all({whole}, {q(PATH_ENCODED_RE2)}), lambda r: "
+            f"CASE WHEN regexp_matches(r, {q(PATH_ENCODED_RE2.split('|')[0].replace('(?s)', '^'))}) THEN r ELSE url_encode(r) END), '')")
+
+
+def _ipv6(t: str) -> str:
+    groups = lambda x: f"list_filter(string_split({x}, ':'), lambda g: g <> '')"
+    full = (f"CASE WHEN contains({t}, '::') THEN list_concat({groups(f'split_part({t}, {q('::')}, 1)')}, "
+            f"list_transform(range(0, greatest(0, 8 - len({groups(t)}))), lambda k: '0'), {groups(f'split_part({t}, {q('::')}, 2)')}) "
+            f"ELSE string_split({t}, ':') END")
+    plain = "':' || array_to_string(list_transform(u, lambda g: regexp_replace(lower(g), '^0+([0-9a-f])', '\\1')), ':') || ':'"
+    short = "CASE " + " ".join(
+        f"WHEN contains(z, '{':' + '0:' * n}') THEN substr(z, 1, strpos(z, '{':' + '0:' * n}') - 1) || '::' || substr(z, strpos(z, '{':' + '0:' * n}') + {2 * n + 1})"
+        for n in range(8, 1, -1)) + " ELSE z END"
+    short = _let("z", plain, _let("y", short, "regexp_replace(regexp_replace(y, '^:([^:])', '\\1'), '([^:]):$', '\\1')"))
+    ok = "len(u) = 8 AND len(list_filter(u, lambda g: NOT regexp_matches(g, '^[0-9A-Fa-f]{1,4}$'))) = 0"
+    return (f"CASE WHEN len(string_split({t}, '::')) <= 2 THEN "
+            + _let("u", full, f"CASE WHEN {ok} THEN '[' || {short} || ']' END") + " END")
+
+
+def cte_urls(src: str, url: str, keys: str) -> str:
+    """CTEs ur_a .. urls(<keys>, <url>, host, path); host and path are NULL where it is no http(s) URL."""
+    return f"""
+ur_a AS (SELECT {keys}, {url}, translate(regexp_replace({url}, {q(r'^[\x00-\x20]+|[\x00-\x20]+$')}, '', 'g'), chr(9) || chr(10) || chr(13), '') AS c FROM {src}),
+ur_b AS (SELECT *, regexp_replace(regexp_extract(c, {q(URL_RE2)}, 1), '(?s)^.*@', '') AS place, regexp_extract(c, {q(URL_RE2)}, 2) AS raw FROM ur_a),
+ur_c AS (SELECT *, regexp_extract(place, {q(r'^\[([0-9A-Fa-f:]+)\](?::[0-9]*)?$')}, 1) AS v6, regexp_extract(place, {q(r'(?s)^([^:\[\]]+)(?::[0-9]*)?$')}, 1) AS name,
+           ltrim(regexp_extract(place, ':([0-9]*)$', 1), '0') AS port FROM ur_b),
+ur_d AS (SELECT *, CASE WHEN v6 <> '' THEN {_ipv6('v6')} WHEN name <> '' THEN lower(url_decode(name)) END AS h FROM ur_c),
+urls AS (
+  SELECT {keys}, {url}, CASE WHEN ok THEN h END AS host, CASE WHEN ok THEN {url_path('raw')} END AS path FROM (
+    SELECT *, coalesce(regexp_matches(c, {q(URL_RE2)}) AND h <> '' AND (v6 <> '' OR NOT regexp_matches(h, {q(r'[\x00-\x20#%/:<>?@\[\\\]^|\x7F]')}))
+      AND length(CASE WHEN v6 <> '' AND suffix(place, ']') THEN '' ELSE port END) <= 5
+      AND coalesce(TRY_CAST(CASE WHEN v6 <> '' AND suffix(place, ']') THEN '' ELSE port END AS INTEGER), 0) <= 65535, false) AS ok FROM ur_d))"""
+
+
 # --- table fragments (CTE bodies) ------------------------------------------------------
 
 REST_RE2 = r"(?:[^>=]|=[\t\n\f\r ]*(?:\"[^\"]*\"|'[^']*')?)*>"

@@ -13,22 +13,24 @@ sent once, and its answer is joined back to all of them.
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from babelfold.operators import apply as A
 from babelfold.operators import batching as B
 from babelfold.operators.hotkeys import join_unique, key_counts
 from babelfold.operators import memory as MEM
+from babelfold.operators import metrics as M
 from babelfold.operators import responses as R
 from babelfold.operators import segments as S
 from babelfold.operators import tokens as TK
 from babelfold.operators import translate as TR
 from babelfold.session import cut_lineage
-from babelfold.sources.pages import within_size
+from babelfold.sources.pages import within_size, write_pages
 
 
 @dataclass
@@ -43,6 +45,7 @@ class PipelineResult:
     tmap: DataFrame
     applied: DataFrame
     rejected: DataFrame       # page_id, error_class, error_message (pages handed back as they are)
+    split: DataFrame | None = None  # with a memory: page_id, seq, text, translation, hit
 
     def unpersist(self) -> None:
         self.tokens.unpersist()
@@ -69,7 +72,8 @@ def translate_pages(pages: DataFrame, translator=None, concurrent: int = B.DEFAU
                     num_partitions: int | None = None, checkpoint_responses: bool | None = None,
                     persist: bool = False, memory: DataFrame | None = None,
                     lang: str = B.DEFAULT_TARGET_LANG, distinct: bool = False, rounds: int = 1,
-                    in_flight: int = B.DEFAULT_CONCURRENT_BATCHES, timeout_s: float | None = TR.CALL_TIMEOUT_S) -> PipelineResult:
+                    in_flight: int = B.DEFAULT_CONCURRENT_BATCHES, timeout_s: float | None = TR.CALL_TIMEOUT_S,
+                    observed: dict[str, Observation] | None = None) -> PipelineResult:
     """Translate every page.
 
     ``distinct`` sends every distinct text of the corpus once (see the module
@@ -99,19 +103,28 @@ def translate_pages(pages: DataFrame, translator=None, concurrent: int = B.DEFAU
     tokens = TK.tokenize(part, max_bytes=max_page_bytes)
     if persist:
         tokens = tokens.persist(StorageLevel.MEMORY_AND_DISK)
-    segments = S.extract_segments(tokens, iframe_mode)
-    hits = None
+    segments = S.extract_segments(tokens, iframe_mode, observed)
+    if observed:
+        # written once, so that each text is counted once, whatever reads the segments
+        segments = cut_lineage(segments.observe(observed["kept"], F.count(F.lit(1)).alias("texts_kept")))
+    hits = split = None
     to_send = segments
     if memory is not None:
         # translation memory: texts already translated are not sent again.  The
         # memory is probed once per distinct text (a hot text costs one probe);
-        # the misses are renumbered densely per page for the requests.
+        # the misses are renumbered densely per page for the requests.  The answer is
+        # read three times (hits, misses, report): it is written once, so the pages are
+        # taken apart once.
         split = MEM.tm_split(segments.select("page_id", "seq", "text"), memory, lang)
+        if observed:
+            split = split.observe(observed["memory"], F.count_if("hit").alias("n_hits"), F.count_if(~F.col("hit")).alias("n_misses"))
+        split = cut_lineage(split)
         hits = split.filter("hit").select("page_id", "text", "translation")
         miss = split.filter("NOT hit").select("page_id", "seq", "text")
         w = Window.partitionBy("page_id").orderBy("seq")
         to_send = miss.withColumn("seq", (F.row_number().over(w) - 1).cast("long"))
     if distinct:
+        to_send = cut_lineage(to_send.select("page_id", "seq", "text")) if memory is None else to_send
         planned = B.plan_batches(distinct_texts(to_send), size=batch_size or B.DEFAULT_BATCH_SIZE)
     else:
         planned = B.plan_batches(to_send, concurrent, batch_size)
@@ -121,7 +134,9 @@ def translate_pages(pages: DataFrame, translator=None, concurrent: int = B.DEFAU
         responses = TR.translate_with_resends(batches, translator, rounds, **call).drop("round")
     else:
         responses = TR.translate_batches(batches, translator, **call)
-    if checkpoint_responses or (checkpoint_responses is None and isinstance(translator, TR.PythonTranslator)):
+    if observed:
+        responses = responses.observe(observed["sent"], F.count(F.lit(1)).alias("n_batches"), F.count("error_class").alias("n_failed_batches"))
+    if observed or checkpoint_responses or (checkpoint_responses is None and isinstance(translator, TR.PythonTranslator)):
         responses = cut_lineage(responses)
     # the map comes from the responses alone (each batch carries its items):
     # no second read of the segments, one aggregate keyed (page_id, seq)
@@ -150,4 +165,25 @@ def translate_pages(pages: DataFrame, translator=None, concurrent: int = B.DEFAU
         "page_id", "batch_idx", "n", R.unwrap_response(F.col("response")).alias("text"))
     marked = R.parse_markers(ok_resp)
     translations = full.filter(F.col("translation").isNotNull()).select("page_id", "seq", "translation")
-    return PipelineResult(out, tokens, segments, batches, responses, marked, translations, tmap, applied, rejected)
+    return PipelineResult(out, tokens, segments, batches, responses, marked, translations, tmap, applied, rejected, split)
+
+
+def translate_to(pages: DataFrame, path: str, lang: str = B.DEFAULT_TARGET_LANG, **options) -> DataFrame:
+    """Translates ``pages`` into a table under ``path`` (one folder per language) and
+    returns the run's report, one row.
+
+    The counts are observed by the jobs that do the work anyway: the one that takes
+    the pages apart, the one that sends the batches and the one that writes the
+    pages.  Nothing is computed a second time for the report.
+    """
+    spark = pages.sparkSession
+    began = time.monotonic()
+    seen = {k: Observation(k) for k in ("candidates", "kept", "sent", "out", "memory") if k != "memory" or options.get("memory") is not None}
+    res = translate_pages(pages, lang=lang, observed=seen, **options)
+    out = res.pages.observe(seen["out"], F.count(F.lit(1)).alias("n_pages"), F.sum("bytes_in").alias("bytes_in"),
+                            F.sum(F.octet_length("html")).alias("bytes_out"), F.sum("n_applied").alias("n_applied"))
+    write_pages(out.select("page_id", "html", "n_applied", F.lit(lang).alias("lang")), path)
+    counts: dict = {}
+    for o in seen.values():
+        counts |= o.get
+    return M.run_report(spark, counts, round(1000 * (time.monotonic() - began)))

@@ -24,9 +24,10 @@ from babelfold.operators import segments as S
 from babelfold.operators import tokens as TK
 from babelfold.operators import translate as TR
 from babelfold.plans import oracle as O
-from babelfold.plans.pipeline import translate_pages
-from babelfold.session import checkpoint_dir
+from babelfold.plans.pipeline import translate_pages, translate_to
+from babelfold.session import checkpoint_dir, cut_lineage
 from babelfold.sources import derived as D
+from babelfold.sources import files as FILES
 from babelfold.sources import pages as P
 
 LANG = "zh"
@@ -88,59 +89,71 @@ def q_src_pages(spark, sf_dir):
     return p.select("page_id", "url", "html", F.octet_length("html").alias("n_bytes"))
 
 
-@register("src_html_files", None)
-def q_src_html_files(spark, sf_dir):
-    """Lands every page as an HTML file (one folder per page) in the shared
-    checkpoint folder, then reads the folder back with the binary-file source."""
-    out = f"{checkpoint_dir(spark).rstrip('/')}/html-files-{uuid.uuid4().hex}"
-    P.write_html_files(_pages(spark, sf_dir), out)
-    f = P.read_html_files(spark, out)
-    return f.select(F.col("page_id").cast("long").alias("page_id"), "n_bytes",
-                    F.col("error_class").isNull().alias("valid_utf8"))
+def _folder(spark, name: str) -> str:
+    """A folder of its own in the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _read_back(spark, out: str) -> DataFrame:
+    """The files of a folder as rows, kept in a table; the folder goes."""
+    f = FILES.read_html_files(spark, out)
+    f = cut_lineage(f.withColumn("name", FILES.file_name(F.col("path"))))
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return f
 
 
-def _location_inputs(spark, sf_dir) -> DataFrame:
+@register("src_html_files", """SELECT CAST(page_id AS VARCHAR) || '.html' AS name, page_id % 10 <> 3 AS valid_utf8,
+  CASE WHEN page_id % 10 = 3 THEN 'file' END AS error_class, CASE WHEN page_id % 10 <> 3 THEN sha256(html) END AS hash,
+  CAST(strlen(html) + CASE WHEN page_id % 10 = 3 THEN 1 ELSE 0 END AS BIGINT) AS n_bytes, true AS own_id FROM pages""")
+def q_src_html_files(spark, sf_dir):
+    """Every page as an HTML file, some with a byte that is not UTF-8, read back as pages."""
     p = _pages(spark, sf_dir)
-    rest = F.regexp_extract("url", "^[A-Za-z]+://(.*)$", 1)
-    variants = F.array(F.col("url"), F.concat(F.lit("pages/"), F.col("page_id").cast("string"), F.lit(".html")),
-                       F.concat(F.lit("/srv/"), F.col("page_id").cast("string"), F.lit(".htm")),
-                       F.concat(F.lit("HTTPS://"), rest), F.concat(F.lit("ftp://"), rest))
-    return p.select("page_id", F.posexplode(variants).alias("variant", "input"))
+    raw = F.col("html").cast("binary")
+    content = F.when(F.col("page_id") % 10 == 3, F.concat(F.unhex(F.lit("FF")), raw)).otherwise(raw)
+    out = _folder(spark, "html-files")
+    FILES.write_files(p.select(F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("name"), content.alias("content")), out)
+    f = _read_back(spark, out)
+    ids = f.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+    return f.join(ids, "page_id").select("name", F.col("error_class").isNull().alias("valid_utf8"), "error_class", F.sha2("html", 256).alias("hash"),
+                                         "n_bytes", (F.col("n") == 1).alias("own_id"))
 
 
-LOCATION_INPUTS_SQL = """(SELECT page_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS variant, unnest(v) AS input
-  FROM (SELECT page_id, [url, 'pages/' || CAST(page_id AS VARCHAR) || '.html', '/srv/' || CAST(page_id AS VARCHAR) || '.htm',
-        'HTTPS://' || regexp_extract(url, '^[A-Za-z]+://(.*)$', 1), 'ftp://' || regexp_extract(url, '^[A-Za-z]+://(.*)$', 1)] AS v
-        FROM pages))"""
+URLS_SQL = O.with_(O.cte_urls(D.LOCATION_INPUTS_SQL, "input", "page_id, variant"))
 
 
-@register("classify_source", f"""SELECT page_id, variant, input,
-  CASE WHEN regexp_matches(input, {O.q(U.URL_SOURCE_RE)}) THEN 'url' ELSE 'file' END AS kind,
-  CASE WHEN regexp_matches(input, {O.q(U.URL_SOURCE_RE)}) OR starts_with(input, '/') THEN input ELSE '/work/' || input END AS location
-FROM {LOCATION_INPUTS_SQL}""")
+@register("classify_source", URLS_SQL + """
+SELECT page_id, variant, input, CASE WHEN host IS NOT NULL THEN 'url' ELSE 'file' END AS kind,
+  CASE WHEN host IS NOT NULL OR starts_with(input, '/') THEN input ELSE '/work/' || input END AS location FROM urls""")
 def q_classify_source(spark, sf_dir):
     s = U.classify_source(F.col("input"), "/work")
-    return _location_inputs(spark, sf_dir).select("page_id", "variant", "input", s["kind"].alias("kind"),
-                                                  s["location"].alias("location"))
+    return D.location_inputs(spark, sf_dir).select("page_id", "variant", "input", s["kind"].alias("kind"),
+                                                   s["location"].alias("location"))
+
+
+@register("url_parts", URLS_SQL + "\nSELECT page_id, variant, host, path FROM urls")
+def q_url_parts(spark, sf_dir):
+    u = U.parse_http_url("input")
+    return D.location_inputs(spark, sf_dir).select("page_id", "variant", u["host"].alias("host"), u["path"].alias("path"))
 
 
 @register("url_valid", f"""SELECT page_id, variant, input,
   coalesce(input <> '' AND (starts_with(input, 'http://') OR starts_with(input, 'https://')), false) AS valid
-FROM {LOCATION_INPUTS_SQL}""")
+FROM {D.LOCATION_INPUTS_SQL}""")
 def q_url_valid(spark, sf_dir):
-    return _location_inputs(spark, sf_dir).select("page_id", "variant", "input", U.is_http_url("input").alias("valid"))
+    return D.location_inputs(spark, sf_dir).select("page_id", "variant", "input", U.is_http_url("input").alias("valid"))
 
 
 def _file_paths(spark, sf_dir) -> DataFrame:
     p = _pages(spark, sf_dir)
     ext = F.element_at(F.array(*[F.lit(e) for e in (".html", ".htm", ".HTML", ".txt", "", ".tar.gz", ".")]),
                        (F.col("page_id") % 7 + 1).cast("int"))
-    path = F.concat(F.lit("/d/"), F.regexp_extract("url", U.URL_HOST_RE, 1), F.lit("/in"), ext)
+    path = F.concat(F.lit("/d/"), F.regexp_extract("url", "://([^/?#]*)", 1), F.lit("/in"), ext)
     hidden = F.concat(F.lit("/d/.p"), F.col("page_id").cast("string"))
     return p.select("page_id", F.explode(F.array(path, hidden)).alias("path"))
 
 
-FILE_PATHS_SQL = f"""(SELECT page_id, unnest(['/d/' || regexp_extract(url, {O.q(U.URL_HOST_RE)}, 1) || '/in' ||
+FILE_PATHS_SQL = f"""(SELECT page_id, unnest(['/d/' || regexp_extract(url, '://([^/?#]*)', 1) || '/in' ||
     (['.html', '.htm', '.HTML', '.txt', '', '.tar.gz', '.'])[page_id % 7 + 1], '/d/.p' || CAST(page_id AS VARCHAR)]) AS path
   FROM pages)"""
 
@@ -181,39 +194,28 @@ def q_output_name_file(spark, sf_dir):
     return f.select("page_id", "path", U.output_name_file("path", LANG).alias("out_name"))
 
 
-def _sql_host(x: str) -> str:
-    return f"nullif(lower(regexp_extract({x}, {O.q(U.URL_HOST_RE)}, 1)), '')"
+_LAST = "list_filter(string_split(path, '/'), lambda s: s <> '')[-1]"
+_PAGE = f"CASE WHEN contains({_LAST}, '.') THEN regexp_extract({_LAST}, {O.q(r'^(.*)[.][^.]*$')}, 1) ELSE {_LAST} END"
 
 
-def _sql_path(x: str) -> str:
-    return f"regexp_extract({x}, {O.q(U.URL_PATH_RE)}, 1)"
-
-
-def _sql_output_name_url(x: str, lang: str) -> str:
-    segs = f"list_filter(string_split({_sql_path(x)}, '/'), lambda s: s <> '')"
-    last = f"({segs})[-1]"
-    cut = f"CASE WHEN contains({last}, '.') THEN regexp_extract({last}, {O.q(r'^(.*)\.[^.]*\z')}, 1) ELSE {last} END"
-    name = f"coalesce({_sql_host(x)}, '{U.DEFAULT_HOST}') || '_' || coalesce({cut}, '{U.INDEX_PAGE}') || '_{lang}.html'"
-    return f"regexp_replace({name}, {O.q(U.URL_NAME_UNSAFE_RE)}, '_', 'g')"
-
-
-@register("output_name_url", f"SELECT page_id, url, {_sql_output_name_url('url', LANG)} AS out_name FROM pages")
+@register("output_name_url", URLS_SQL + f"""
+SELECT page_id, variant, regexp_replace(coalesce(host, 'webpage') || '_' || coalesce({_PAGE}, 'index') || '_{LANG}.html',
+  {O.q(r'[^\p{L}\p{N}_.-]')}, '_', 'g') AS out_name,
+  coalesce(CASE WHEN page_id % 3 = 0 THEN 'given.html' END, regexp_replace(coalesce(host, 'webpage') || '_' || coalesce({_PAGE}, 'index') || '_{LANG}.html',
+  {O.q(r'[^\p{L}\p{N}_.-]')}, '_', 'g')) AS given_name FROM urls""")
 def q_output_name_url(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", "url", U.output_name_url("url", LANG).alias("out_name"))
+    given = F.when(F.col("page_id") % 3 == 0, F.lit("given.html"))
+    return D.location_inputs(spark, sf_dir).select("page_id", "variant", U.output_name_url("input", LANG).alias("out_name"),
+                                                   U.output_name_url("input", LANG, given).alias("given_name"))
 
 
-def _sql_crawl_name(x: str, epoch: int) -> str:
-    host, path = f"coalesce({_sql_host(x)}, 'unknown')", _sql_path(x)
-    base = f"CASE WHEN {path} IN ('/', '') THEN {host} || '_index' ELSE {host} || replace({path}, '/', '_') END"
-    base = f"translate({base}, {O.q(U.CRAWL_NAME_UNSAFE)}, {O.q('_' * len(U.CRAWL_NAME_UNSAFE))})"
-    base = f"regexp_replace(replace({base}, '__', '_'), {O.q(r'^_+|_+\z')}, '', 'g')"
-    return f"{base} || '_{epoch}.html'"
+_CRAWL = f"translate(CASE WHEN coalesce(path, '/') = '/' THEN coalesce(host, 'unknown') || '_index' ELSE host || replace(path, '/', '_') END, {O.q('<>:\"|?*')}, '_______')"
 
 
-@register("crawl_default_name", f"""SELECT page_id, url, {_sql_crawl_name('url', D.CRAWL_EPOCH)} AS crawl_name
-FROM pages""")
+@register("crawl_default_name", URLS_SQL + f"""
+SELECT page_id, variant, regexp_replace(replace({_CRAWL}, '__', '_'), '^_+|_+$', '', 'g') || '_{D.CRAWL_EPOCH}.html' AS crawl_name FROM urls""")
 def q_crawl_default_name(spark, sf_dir):
-    return _pages(spark, sf_dir).select("page_id", "url", U.crawl_name("url", D.CRAWL_EPOCH).alias("crawl_name"))
+    return D.location_inputs(spark, sf_dir).select("page_id", "variant", U.crawl_name("input", D.CRAWL_EPOCH).alias("crawl_name"))
 
 
 @register("provenance_header", f"""SELECT page_id, '<!-- generated by babelfold -->' || chr(10) || '<!-- source URL: ' ||
@@ -243,17 +245,30 @@ def q_page_title(spark, sf_dir):
     return RES.page_title(_tokens(spark, sf_dir))
 
 
-@register("sink_translated", None)
+_NAMED = f"""named AS (SELECT u.page_id, regexp_replace(coalesce(host, 'webpage') || '_' || coalesce({_PAGE}, 'index') || '_{LANG}.html',
+  {O.q(r'[^\p{L}\p{N}_.-]')}, '_', 'g') AS out_name FROM urls u)"""
+
+
+@register("sink_translated", O.with_(TOK_PAGES, O.cte_segments(), O.cte_batches(), O.cte_after_batches(LANG), O.cte_apply(),
+                                     O.cte_urls("pages", "url", "page_id"), _NAMED) + """
+SELECT CASE WHEN count(*) OVER (PARTITION BY n.out_name) > 1 THEN regexp_replace(n.out_name, '[.]html$', '') || '_' || CAST(p.page_id AS VARCHAR) || '.html'
+       ELSE n.out_name END AS name, sha256(coalesce(r.html, p.html)) AS hash, CAST(strlen(coalesce(r.html, p.html)) AS BIGINT) AS n_bytes
+FROM pages p JOIN named n ON n.page_id = p.page_id LEFT JOIN rendered r ON p.page_id = r.page_id""")
 def q_sink_translated(spark, sf_dir):
-    """Writes translated pages partitioned by language into the shared folder
-    and reads the written table back."""
-    out = f"{checkpoint_dir(spark).rstrip('/')}/translated-{uuid.uuid4().hex}"
-    r = _pipe(spark, sf_dir)
-    pages = _pages(spark, sf_dir).select("page_id", "url")
-    df = r.pages.join(pages, "page_id").select("page_id", U.output_name_url("url", LANG).alias("out_name"), "html",
-                                               F.lit(LANG).alias("lang"))
-    P.write_pages(df, out)
-    return spark.read.parquet(out).select("page_id", "lang", "out_name", F.octet_length("html").alias("n_bytes"))
+    """Translated pages written as files under their output names, read back."""
+    out = _folder(spark, "translated")
+    P.write_translated_files(_pipe(spark, sf_dir).pages, _pages(spark, sf_dir), out, LANG)
+    return _read_back(spark, out).select("name", F.sha2("html", 256).alias("hash"), "n_bytes")
+
+
+@register("sink_table", O.with_(TOK_PAGES, O.cte_segments(), O.cte_batches(), O.cte_after_batches(LANG), O.cte_apply()) + f"""
+SELECT p.page_id, '{LANG}' AS lang, CAST(strlen(coalesce(r.html, p.html)) AS INTEGER) AS n_bytes
+FROM pages p LEFT JOIN rendered r ON p.page_id = r.page_id""")
+def q_sink_table(spark, sf_dir):
+    """Translated pages as a table partitioned by language, read back."""
+    out = _folder(spark, "translated")
+    P.write_pages(_pipe(spark, sf_dir).pages.select("page_id", "html", F.lit(LANG).alias("lang")), out)
+    return spark.read.parquet(out).select("page_id", "lang", F.octet_length("html").alias("n_bytes"))
 
 
 # ======================= 2.2 extraction ==================================================
@@ -668,20 +683,65 @@ def q_cache_hit_rate(spark, sf_dir):
     return g.select("doc_id", "hits", "misses", M.hit_rate("hits", "misses").alias("hit_rate"))
 
 
-@register("run_metrics", O.with_(TOK_PAGES, O.cte_segments(), O.cte_batches(), O.cte_after_batches(LANG), O.cte_apply())
-          + """
+_METRICS_SQL = """
 SELECT p.page_id, CAST(strlen(p.html) AS INTEGER) AS bytes_in, CAST(strlen(coalesce(r.html, p.html)) AS INTEGER) AS bytes_out,
   coalesce((SELECT count(*) FROM segments s WHERE s.page_id = p.page_id), 0) AS n_segments,
+  coalesce((SELECT count(*) FROM hits h WHERE h.page_id = p.page_id), 0) AS n_hits,
+  coalesce((SELECT count(*) FROM missed s WHERE s.page_id = p.page_id), 0) AS n_misses,
   coalesce((SELECT count(*) FROM batches b WHERE b.page_id = p.page_id), 0) AS n_batches,
   coalesce((SELECT count(error_class) FROM responses x WHERE x.page_id = p.page_id), 0) AS n_failed_batches,
   coalesce((SELECT count(*) FROM marked m WHERE m.page_id = p.page_id AND m.seq < m.n), 0) AS n_accepted,
   coalesce(r.n_applied, 0) AS n_applied
-FROM pages p LEFT JOIN rendered r ON p.page_id = r.page_id""")
+FROM pages p LEFT JOIN rendered r ON p.page_id = r.page_id"""
+# a memory of every second text (by length): its entries are not sent, the others are renumbered
+_HALF_MEMORY_SQL = f"""
+known AS (SELECT DISTINCT text, '{LANG}*' || text AS translation FROM segments WHERE length(text) % 2 = 0),
+hits AS (SELECT s.page_id, s.text, k.translation FROM segments s JOIN known k ON s.text = k.text),
+missed AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY seq) - 1 AS BIGINT) AS seq, text
+           FROM segments s WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.text = s.text))"""
+_APPLY_HALF = O.cte_apply().replace("FROM segments s JOIN translations t ON s.page_id = t.page_id AND s.seq = t.seq\n  WHERE t.translation <> '')",
+                                    "FROM missed s JOIN translations t ON s.page_id = t.page_id AND s.seq = t.seq\n  WHERE t.translation <> ''\n"
+                                    "  UNION ALL SELECT page_id, text, translation FROM hits)")
+PIPE_HALF = O.with_(TOK_PAGES, O.cte_segments(), _HALF_MEMORY_SQL, O.cte_batches(src="missed"), O.cte_after_batches(LANG), _APPLY_HALF)
+PIPE_NO_MEMORY = O.with_(TOK_PAGES, O.cte_segments(), "\nhits AS (SELECT page_id FROM segments WHERE false), missed AS (SELECT * FROM segments)",
+                         O.cte_batches(), O.cte_after_batches(LANG), O.cte_apply())
+
+
+def _half_memory(spark, sf_dir) -> DataFrame:
+    texts = S.extract_segments(_tokens(spark, sf_dir)).select("text").distinct().filter(F.length("text") % 2 == 0)
+    return texts.select(F.lit(LANG).alias("lang"), "text", F.concat(F.lit(f"{LANG}*"), F.col("text")).alias("translation"),
+                        F.lit(1).cast("long").alias("run_ts"))
+
+
+@register("run_metrics", PIPE_NO_MEMORY + _METRICS_SQL)
 def q_run_metrics(spark, sf_dir):
     r = _pipe(spark, sf_dir)
     return M.run_metrics(r.pages, r.responses)
 
 
+@register("run_metrics_memory", PIPE_HALF + _METRICS_SQL)
+def q_run_metrics_memory(spark, sf_dir):
+    r = _pipe(spark, sf_dir, memory=_half_memory(spark, sf_dir))
+    return M.run_metrics(r.pages, r.responses, r.split)
+
+
+@register("run_report", PIPE_HALF + """,
+t AS (SELECT count(*) AS n_pages, sum(strlen(p.html)) AS bytes_in, sum(strlen(coalesce(r.html, p.html))) AS bytes_out, sum(coalesce(r.n_applied, 0)) AS n_applied
+      FROM pages p LEFT JOIN rendered r ON p.page_id = r.page_id)
+SELECT n_pages, CAST(bytes_in AS BIGINT) AS bytes_in, CAST(bytes_out AS BIGINT) AS bytes_out, CAST(n_applied AS BIGINT) AS n_applied,
+  (SELECT count(*) FROM cand) AS texts_collected, (SELECT count(*) FROM segments) AS texts_kept,
+  (SELECT count(*) FROM cand) - (SELECT count(*) FROM segments) AS texts_filtered,
+  (SELECT count(*) FROM hits) AS n_hits, (SELECT count(*) FROM missed) AS n_misses,
+  CAST((SELECT count(*) FROM hits) AS DOUBLE) / CAST((SELECT count(*) FROM segments) AS DOUBLE) AS hit_rate,
+  (SELECT count(*) FROM batches) AS n_batches, CAST(0 AS BIGINT) AS n_failed_batches, true AS timed FROM t""")
+def q_run_report(spark, sf_dir):
+    """The report of a whole run that writes its pages (its times can't be compared)."""
+    r = translate_to(_pages(spark, sf_dir), _folder(spark, "run"), LANG, memory=_half_memory(spark, sf_dir))
+    timed = (F.col("ms") > 0) & (F.col("kb_per_s") > 0) & F.col("label").isNotNull() & F.col("duration").isNotNull()
+    return r.select("n_pages", "bytes_in", "bytes_out", "n_applied", "texts_collected", "texts_kept", "texts_filtered", "n_hits", "n_misses", "hit_rate",
+                    "n_batches", "n_failed_batches", timed.alias("timed"))
+
+
 # ======================= 2.8 reuse =======================================================
 
 @register("content_hash", "SELECT page_id, sha256(html) AS hash FROM pages")
@@ -716,6 +776,17 @@ def q_tm_update(spark, sf_dir):
     return MEM.tm_merge(_memory(spark, sf_dir), new)
 
 
+@register("tm_update_table", QUERIES["tm_update"][1])
+def q_tm_update_table(spark, sf_dir):
+    """The same merge in a memory kept as a bucketed table, in two updates."""
+    t = MEM.MemoryTable(spark, _folder(spark, "memory"), buckets=16)
+    t.update(_memory(spark, sf_dir))
+    new = _doc_segments(spark, sf_dir).filter(T.is_translatable(F.col("text"))).select("text").distinct()
+    t.update(new.select(F.lit(LANG).alias("lang"), "text", F.concat(F.lit(f"{LANG}2:"), F.col("text")).alias("translation"),
+                        F.lit(2).cast("long").alias("run_ts")))
+    return t.read()
+
+
 # ======================= 2.9 end to end ==================================================
 
 @register("translate_pages", PIPE_PAGES + """

@@ -129,6 +129,34 @@ MIXED_PAGES_SQL = (f"(SELECT page_id * {SETS} AS page_id, html FROM pages UNION
                    f"SELECT page_id * {SETS} + {IFRAME_SET}, html FROM {IFRAME_PAGES_SQL})")
 
 
+# --- locations -------------------------------------------------------------------------
+
+# URLs and other inputs made of a page's id (ID) and the rest of its URL after the scheme (REST)
+LOCATION_SHAPES = (
+    ("REST",), ("pages/", "ID", ".html"), ("/srv/", "ID", ".htm"), ("HTTPS://", "REST"), ("ftp://", "REST"),
+    ("https://Ex.COM/caf\u00e9/", "ID", " m\u00fcnchen \u4e2d\U0001F600.html?x=1"), ("http://h.org/a/b/../c/./", "ID", "/.."),
+    ("http://[2001:DB8:0:0:0:00:0:", "ID", "]:8080/v6/", "ID", ".x.html"), ("http://[::", "ID", "]/"), ("http://[1:2::3::", "ID", "]/"),
+    ("http://user:p@ss@Host.net:80\\back\\", "ID", "%2e%2e/{x}|\"y\".htm#f"), (" HTTPS:example.org/%2E/%2e.", "ID", "\t/x\n "),
+    ("http://bad host/", "ID"), ("http://h%2Eorg/%41", "ID", "%zz"), ("http://h.org:99999/", "ID"), ("http://h.org:0080/../../", "ID", "/%2E%2e"),
+    ("http:///p", "ID", "/q+r~s^t|u"), ("http://?q", "ID"), ("https://", "ID", "<.org/"), ("http://h.org",), ("http://h.org?x=/y/z", "ID"),
+)
+
+
+def location_inputs(spark, sf_dir) -> DataFrame:
+    """``(page_id, variant, input)``: every page's URL in all LOCATION_SHAPES."""
+    p = table(spark, sf_dir, "pages")
+    rest = F.regexp_extract("url", "^[A-Za-z]+://(.*)$", 1)
+    part = {"ID": F.col("page_id").cast("string"), "REST": rest}
+    shapes = [F.col("url") if s == ("REST",) else F.concat(*[part.get(x, F.lit(x)) for x in s]) for s in LOCATION_SHAPES]
+    return p.select("page_id", F.posexplode(F.array(*shapes)).alias("variant", "input"))
+
+
+LOCATION_INPUTS_SQL = (
+    "(SELECT page_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS variant, unnest(v) AS input FROM (SELECT page_id, ["
+    + ", ".join("url" if s == ("REST",) else " || ".join({"ID": "CAST(page_id AS VARCHAR)", "REST": "regexp_extract(url, '^[A-Za-z]+://(.*)$', 1)"}.get(x, _sql_quoted(x))
+                                                         for x in s) for s in LOCATION_SHAPES) + "] AS v FROM pages))")
+
+
 # --- response bodies and marker texts ----------------------------------------------------
 
 def response_bodies(spark, sf_dir) -> DataFrame:

@@ -44,7 +44,7 @@ def test_output_names(spark):
 def test_crawl_names(spark):
     cases = {"https://example.com/": "example.com_index_1.html", "https://example.com/path/to/page":
              "example.com_path_to_page_1.html", "https://example.com/path:with<bad>chars?query=1":
-             "example.com_path_with_bad_chars_1.html"}
+             "example.com_path_with%3Cbad%3Echars_1.html"}  # a URL's path has < and > percent-encoded
     got = {r.v: r.o for r in one_col(spark, list(cases)).select("v", U.crawl_name("v", 1).alias("o")).collect()}
     assert got == cases
     for name in got.values():
