@@ -1,13 +1,17 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Training takes at most ``examples`` labelled rows, the first by a hash of their
-id.  Near copies of one example count once.  Terms are words and their
-beginnings; kept are those that speak for label 1 beyond chance (chi-square,
-and its rate among the examples that use them).  Scoring looks up each whole
-text's terms in a block-max inverted index of the examples: a block's bound is
-the sum of the query's weights times the block's largest weight of each term.
-Blocks are read from the highest bound down, until the k-th cosine found is
-above the next bound; so the k nearest are exact.
+id; examples with the same set of shingles and the same label count once.  Terms
+are words and their beginnings, all that at least MIN_DF examples use.  A text's
+vector holds all of its terms: ``1 + log(count)`` times the inverse document
+frequency times the term's relevance (:func:`relevance`): terms that tell the
+labels apart, either of them, weigh more than others, none is left out.
+
+Scoring looks up a whole text's terms in a block-max inverted index of the
+examples: a block's bound is the sum of the query's weights times the block's
+largest weight of each term.  The blocks of highest bounds are read first; after
+that only blocks whose bound reaches the k-th cosine found so far.  So the k
+nearest are exact.  A slice of texts is searched together, as arrays.
 
 The neighbours' votes are weighted by 1 / (distance + 0.05) and calibrated by
 isotonic regression of leave-one-out votes on the labels.  The neighbours are
@@ -26,11 +30,13 @@ from pyspark.sql import types as T
 from . import words as W
 from .cluster import cut, ready
 
-EXAMPLES = 12_000  # labelled rows that training looks at, at most
-TERMS = 4096  # terms of the index, at most
-MIN_DF, MIN_CHI2, MIN_RATE = 4, 25.0, 0.6
-NEIGHBOURS, BLOCK = 15, 64
+EXAMPLES = 4_000  # labelled rows that training looks at, at most
+MIN_DF = 2
+FLOOR, CHANCE = 0.002, 20.0  # relevance of any term; chi-square that is more than chance
+NEIGHBOURS, BLOCK, FIRST = 11, 64, 4  # FIRST: blocks of a query that are read before bounds are compared
 STEMS = (4, 6)  # bytes of the beginnings of words
+CELLS = 1 << 21  # (term, block) cells or postings looked up at once
+COMMON, COMMON_TERMS = 1 / 16, 1024  # a term that so many of the examples use is kept as a dense column, so many terms at most
 
 
 def _terms(data, off):
@@ -58,30 +64,33 @@ def _counted(data, off):
 
 
 def _examples(batches):
-    """Terms of each example and a MinHash of its shingles, equal for most near copies."""
+    """Terms of each example and the key of its whole set of shingles."""
     flip = W.seeds(1, 31)[0]
     for rows, data, off in W.chunks(batches, "text"):
-        g, goff = W.ngrams(W.find_words(data, off), 3)
-        full = np.diff(goff) > 0
-        low = np.zeros(rows.num_rows, np.uint64)
+        sets, goff = W.distinct(*W.ngrams(W.find_words(data, off), 3))
+        size = np.diff(goff)
+        keys = np.zeros((2, rows.num_rows), np.uint64)
+        full = size > 0
         if full.any():
-            low[full] = np.minimum.reduceat(W.mix(g ^ flip), goff[:-1][full])
+            with np.errstate(over="ignore"):
+                keys[0, full] = np.add.reduceat(W.mix(sets), goff[:-1][full])
+                keys[1, full] = np.add.reduceat(W.mix(sets ^ flip), goff[:-1][full]) + size[full].astype(np.uint64)
         d, h, n = _counted(data, off)
         o = np.searchsorted(d, np.arange(rows.num_rows + 1))
         yield pa.RecordBatch.from_arrays(
-            [rows.column(0), rows.column(1), W.as_long(low), W.list_of(W.as_long(h), o),
-             W.list_of(pa.array(n, pa.int32()), o)], ["doc_id", "toxic", "low", "terms", "counts"])
+            [rows.column(0), rows.column(1), W.as_long(keys[0]), W.as_long(keys[1]), W.list_of(W.as_long(h), o),
+             W.list_of(pa.array(n, pa.int32()), o)], ["doc_id", "toxic", "k1", "k2", "terms", "counts"])
 
 
 class Index:
     """Block-max inverted index of unit vectors, with the examples' labels and the calibration."""
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: list, labels: np.ndarray, rows: list, prior: float):
-        """``rows``: (term numbers, counts) of each example."""
-        self.terms, self.idf, self.prior = terms, idf, prior
+    def __init__(self, terms: np.ndarray, weights: np.ndarray, ids: list, labels: np.ndarray, rows: list, prior: float):
+        """``weights``: of each term; ``rows``: (term numbers, counts) of each example."""
+        self.terms, self.weights, self.prior = terms, weights, prior
         vec = [self.vector(t, c) for t, c in rows]
         # examples with like terms stand together, so block bounds are tight
-        order = sorted(range(len(rows)), key=lambda i: (tuple(np.asarray(rows[i][0])[np.argsort(-vec[i])].tolist()), i))
+        order = sorted(range(len(rows)), key=lambda i: (tuple(np.asarray(rows[i][0])[np.argsort(-vec[i], kind="stable")][:8].tolist()), i))
         self.ids = [ids[i] for i in order]
         self.labels = labels[order].astype(float)
         rows, vec = [rows[i] for i in order], [vec[i] for i in order]
@@ -91,36 +100,123 @@ class Index:
         v = np.concatenate(vec) if n else np.zeros(0)
         d = np.repeat(np.arange(n), [len(x) for x in vec]) if n else np.zeros(0, int)
         by = np.lexsort((d, t))
-        t, self.post_doc, self.post_weight = t[by], d[by], v[by]
-        cell = t * max(self.blocks, 1) + self.post_doc // BLOCK
-        self.ptr = np.searchsorted(cell, np.arange(len(terms) * max(self.blocks, 1) + 1))
-        self.top = np.zeros((len(terms), max(self.blocks, 1)), np.float32)
-        np.maximum.at(self.top.reshape(-1), cell, self.post_weight.astype(np.float32) * np.float32(1 + 1e-6))
+        self.post_term, self.post_doc, self.post_weight = t[by].astype(np.int32), d[by].astype(np.int32), v[by]
+        self._build()
         self.knots = self.heights = np.zeros(0)
         self._calibrate(rows, vec)
 
+    def _build(self) -> None:
+        """The parts that follow from the postings: they are not sent along."""
+        blocks, n = max(self.blocks, 1), len(self.ids)
+        df = np.bincount(self.post_term, minlength=len(self.terms))
+        often = np.argsort(-df, kind="stable")[:COMMON_TERMS]
+        often = np.sort(often[df[often] > COMMON * n])
+        self.column = np.full(len(self.terms), -1, np.int32)
+        self.column[often] = np.arange(len(often))
+        mine = self.column[self.post_term] >= 0
+        self.dense = np.zeros((len(often), blocks * BLOCK))
+        self.dense[self.column[self.post_term[mine]], self.post_doc[mine]] = self.post_weight[mine]
+        # the others by term, then example; blocks of a term follow each other
+        self.doc, self.weight = self.post_doc[~mine], self.post_weight[~mine]
+        cell = self.post_term[~mine].astype(np.int64) * blocks + self.doc // BLOCK
+        self.ptr = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=len(self.terms) * blocks))]).astype(np.int32)
+        self.top = np.zeros((len(self.terms), blocks), np.float32)
+        np.maximum.at(self.top.reshape(-1), cell, self.weight.astype(np.float32) * np.float32(1 + 1e-6))
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k not in ("column", "dense", "doc", "weight", "ptr", "top")}
+
+    def __setstate__(self, state):
+        self.__dict__ |= state
+        self._build()
+
     def vector(self, t, counts) -> np.ndarray:
-        x = (1 + np.log(np.asarray(counts, float))) * self.idf[np.asarray(t, int)]
+        x = (1 + np.log(np.asarray(counts, float))) * self.weights[np.asarray(t, int)]
         return x / np.sqrt((x * x).sum())
 
     def nearest(self, t: np.ndarray, q: np.ndarray, k: int = NEIGHBOURS, without: int = -1):
-        """The k examples of highest cosine: (cosine, example), exact; ties by place."""
-        bound = q @ self.top[t]
-        best_s, best_d = np.zeros(0), np.zeros(0, int)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best_s) >= k and best_s[k - 1] > bound[b]:
-                break
-            acc = np.zeros(BLOCK)
-            for term, weight in zip(t, q):
-                s, e = self.ptr[term * self.blocks + b], self.ptr[term * self.blocks + b + 1]
-                acc[self.post_doc[s:e] - b * BLOCK] += weight * self.post_weight[s:e]
-            hit = np.flatnonzero(acc > 0)
-            d = hit + b * BLOCK
-            keep = d != without
-            best_s, best_d = np.concatenate([best_s, np.round(acc[hit][keep], 9)]), np.concatenate([best_d, d[keep]])
-            o = np.lexsort((best_d, -best_s))[:k]
-            best_s, best_d = best_s[o], best_d[o]
-        return best_s, best_d
+        """The k examples of highest cosine to one unit vector: (cosine, example), exact; ties by place."""
+        return self.search(np.zeros(len(t), int), np.asarray(t, int), np.asarray(q, float), 1, k, np.array([without]))[0]
+
+    def search(self, row: np.ndarray, t: np.ndarray, q: np.ndarray, n: int, k: int = NEIGHBOURS, without: np.ndarray | None = None) -> list:
+        """For ``n`` unit vectors given as (row, term, weight), rows ascending: the
+        k nearest examples of each, as :meth:`nearest`."""
+        empty = (np.zeros(0), np.zeros(0, int))
+        if not self.blocks or not len(row):
+            return [empty] * n
+        col = self.column[t]
+        common = np.zeros((n, len(self.dense)))
+        common[row[col >= 0], col[col >= 0]] = q[col >= 0]
+        scores = common @ self.dense  # what the common terms give, for all examples
+        row, t, q = row[col < 0], t[col < 0], q[col < 0]
+        begin = np.searchsorted(row, np.arange(n + 1))
+        bound = scores.reshape(n, self.blocks, BLOCK).max(axis=2)
+        step = max(1, CELLS // self.blocks)
+        for a in range(0, len(row), step):  # bounds of a slice of the terms at a time
+            part = slice(a, a + step)
+            starts = np.flatnonzero(np.diff(row[part], prepend=-1))
+            bound[row[part][starts]] += np.add.reduceat(q[part, None] * self.top[t[part]], starts, axis=0)
+        first = np.zeros((n, self.blocks), bool)
+        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
+        self._read(first, begin, t, q, scores)
+        gone = np.flatnonzero(without >= 0) if without is not None else np.zeros(0, int)
+        many = scores.shape[1] > k
+        done = np.where(np.repeat(first, BLOCK, axis=1), scores, -1.0)
+        if len(gone):
+            done[gone, without[gone]] = -1
+        floor = np.partition(done, -k, axis=1)[:, -k] if many else np.full(n, -1.0)
+        # equal bounds are read too: of equal cosines the first example counts
+        rest = (bound > 0) & (bound * (1 + 1e-6) + 1e-9 >= floor[:, None]) & ~first
+        self._read(rest, begin, t, q, scores)
+        scores = np.where(np.repeat(first | rest, BLOCK, axis=1), np.round(scores, 9), 0.0)
+        if len(gone):
+            scores[gone, without[gone]] = 0
+        floor = np.partition(scores, -k, axis=1)[:, -k] if many else np.zeros(n)
+        out = []
+        for r in range(n):
+            s = scores[r]
+            hit = np.flatnonzero(s >= max(floor[r], 1e-9))
+            hit = hit[np.lexsort((hit, -s[hit]))[:k]]
+            out.append((s[hit], hit) if len(hit) else empty)
+        return out
+
+    def _read(self, wanted: np.ndarray, begin: np.ndarray, t: np.ndarray, q: np.ndarray, scores: np.ndarray) -> None:
+        """Adds to ``scores`` what the rarer terms give in the wanted (row, block) pairs.
+        A row that wants most blocks reads its terms' whole lists."""
+        whole = wanted.sum(axis=1) * 4 > self.blocks
+        r = np.flatnonzero(whole)
+        if len(r):
+            size = begin[r + 1] - begin[r]
+            at = np.repeat(begin[r], size) + W._ramp(size)
+            lo = self.ptr[t[at].astype(np.int64) * self.blocks]
+            self._add(np.repeat(r, size), lo, self.ptr[(t[at].astype(np.int64) + 1) * self.blocks] - lo, q[at], scores, wanted)
+        r, b = np.nonzero(wanted & ~whole[:, None])
+        size = begin[r + 1] - begin[r]
+        at = np.repeat(begin[r], size) + W._ramp(size)
+        cell = t[at].astype(np.int64) * self.blocks + np.repeat(b, size)
+        lo = self.ptr[cell]
+        self._add(np.repeat(r, size), lo, self.ptr[cell + 1] - lo, q[at], scores, None)
+
+    def _add(self, row, lo, m, q, scores, wanted) -> None:
+        """Postings lo .. lo + m of each (row, weight), a bounded number at a time."""
+        use = np.flatnonzero(m)
+        row, lo, m, q = row[use], lo[use].astype(np.int64), m[use].astype(np.int64), q[use]
+        ends = np.cumsum(m)
+        width, a = scores.shape[1], 0
+        while a < len(row):
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CELLS, side="right")))
+            n = m[a:z]
+            post = np.repeat(lo[a:z], n) + W._ramp(n)
+            r, d = np.repeat(row[a:z], n), self.doc[post]
+            value = np.repeat(q[a:z], n) * self.weight[post]
+            if wanted is not None:  # blocks that were read before are not counted twice
+                keep = wanted[r, d // BLOCK]
+                r, d, value = r[keep], d[keep], value[keep]
+            first = int(row[a])
+            last = int(row[z - 1]) + 1
+            slot = (r - first) * width + d
+            scores[first:last] += np.bincount(slot, value, (last - first) * width).reshape(-1, width)
+            a = z
 
     def vote(self, s: np.ndarray, d: np.ndarray) -> float:
         w = 1 / (1.05 - np.minimum(s, 1.0))
@@ -128,10 +224,14 @@ class Index:
 
     def _calibrate(self, rows, vec) -> None:
         raw, y = [], []
-        for i, (r, v) in enumerate(zip(rows, vec)):
-            s, d = self.nearest(np.asarray(r[0]), v, without=i)
-            if len(s):
-                raw.append(self.vote(s, d)), y.append(self.labels[i])
+        for a in range(0, len(rows), 256):
+            part = range(a, min(a + 256, len(rows)))
+            row = np.repeat(np.arange(len(part)), [len(vec[i]) for i in part])
+            found = self.search(row, np.concatenate([np.asarray(rows[i][0], int) for i in part]), np.concatenate([vec[i] for i in part]),
+                                len(part), without=np.array(part))
+            for i, (s, d) in zip(part, found):
+                if len(s):
+                    raw.append(self.vote(s, d)), y.append(self.labels[i])
         if not raw:
             return
         # pool adjacent violators over equal votes, with half a count for either label
@@ -147,16 +247,36 @@ class Index:
         self.knots = np.array([a for a, _, _ in pools])
         self.heights = np.array([(b + 0.5) / (c + 1) for _, b, c in pools])
         self.heights = np.maximum.accumulate(self.heights)
+        self.prior = float(self.heights[0])  # a text without a neighbour has no toxic one
+
+    def calibrated(self, vote: float) -> float:
+        return float(self.heights[max(0, int(np.searchsorted(self.knots, round(vote, 6), side="right")) - 1)])
+
+    def score_texts(self, doc: np.ndarray, term: np.ndarray, n: int):
+        """(score, cosines, examples) of ``n`` texts from (text, term hash) of their words."""
+        out = [(self.prior, np.zeros(0), np.zeros(0, int))] * n
+        if not len(self.terms) or not len(self.knots) or not len(term):
+            return out
+        at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
+        hit = self.terms[at] == term
+        key, count = np.unique(doc[hit].astype(np.int64) * len(self.terms) + at[hit], return_counts=True)
+        row, t = np.divmod(key, len(self.terms))
+        x = (1 + np.log(count)) * self.weights[t]
+        x /= np.sqrt(np.bincount(row, x * x, n))[row]
+        found = self.search(row, t, x, n)
+        return [(self.calibrated(self.vote(s, d)), s, d) if len(s) else o for (s, d), o in zip(found, out)]
+
 
-    def score(self, t: np.ndarray, counts: np.ndarray):
-        """(score, cosines, examples) of a text's known terms."""
-        if not len(t) or not len(self.knots):
-            return self.prior, np.zeros(0), np.zeros(0, int)
-        s, d = self.nearest(t, self.vector(t, counts))
-        if not len(s):
-            return self.prior, s, d
-        at = max(0, int(np.searchsorted(self.knots, round(self.vote(s, d), 6), side="right")) - 1)
-        return float(self.heights[at]), s, d
+def relevance(df: np.ndarray, toxic: np.ndarray, n: int, pos: int) -> np.ndarray:
+    """FLOOR, and for terms whose use and label are related beyond chance, how far the
+    share of toxic examples among those that use them lies from that of all (0 to 1,
+    to either side), squared."""
+    neg, base = n - pos, pos / max(n, 1)
+    odd = (toxic * (neg - (df - toxic)) - (df - toxic) * (pos - toxic)) ** 2
+    chi2 = n * odd / np.maximum(df * (n - df) * float(max(pos * neg, 1)), 1e-9)
+    rate = toxic / np.maximum(df, 1)
+    lean = np.where(rate > base, (rate - base) / max(1 - base, 1e-9), (base - rate) / max(base, 1e-9))
+    return FLOOR + np.where(chi2 >= CHANCE, lean ** 2, 0.0)
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: int | None = 1, folds: int = 3, examples: int = EXAMPLES) -> Index:
@@ -170,29 +290,27 @@ def train(docs: DataFrame, labels: DataFrame, fold: int | None = 1, folds: int =
     lab = lab.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = text.join(F.broadcast(cut(lab)), "doc_id").select("doc_id", "toxic", "text").mapInArrow(
-        _examples, "doc_id long, toxic int, low long, terms array<long>, counts array<int>")
-    rows = cut(rows.groupBy("low").agg(F.min_by(F.struct("doc_id", "toxic", "terms", "counts"), F.struct("doc_id", "toxic")).alias("r")).select("r.*"))
-    n, pos = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    use = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"), F.sum("toxic").alias("a"))
-    neg = n - pos
-    # 2 x 2 chi-square of a term's use and the label
-    a, df = F.col("a").cast("double"), F.col("df").cast("double")
-    chi2 = F.lit(float(n)) * F.pow(a * (neg - (df - a)) - (df - a) * (pos - a), 2) / (df * (n - df) * float(max(pos * neg, 1)) + F.lit(1e-9))
-    kept = (use.filter(F.col("df") >= MIN_DF).withColumn("chi2", chi2).filter((F.col("chi2") >= MIN_CHI2) & (a >= MIN_RATE * df))
-            .orderBy(F.desc("chi2"), "term").limit(TERMS).select("term", "df").collect())
-    kept = sorted(kept, key=lambda r: r.term & (2**64 - 1))
-    terms = np.array([r.term & (2**64 - 1) for r in kept], np.uint64)
-    idf = np.log(1 + n / np.array([r.df for r in kept], float)) if kept else np.zeros(0)
-    # only the kept terms of the examples come to the driver: EXAMPLES rows at most
-    known = F.array([F.lit(r.term) for r in kept]) if kept else F.array().cast("array<long>")
-    pairs = F.arrays_zip("terms", "counts")
-    small = rows.select("doc_id", "toxic", F.filter(pairs, lambda x: F.array_contains(known, x["terms"])).alias("v")).orderBy("doc_id").collect()
-    blank = [r.toxic for r in small if not r.v]
-    prior = (sum(blank) + 0.5) / (len(blank) + 1)
-    full = [r for r in small if r.v]
-    vecs = [(np.searchsorted(terms, np.array([x.terms & (2**64 - 1) for x in r.v], np.uint64)), [x.counts for x in r.v]) for r in full]
-    return Index(terms, idf, [r.doc_id for r in full], np.array([r.toxic for r in full], float), vecs, prior)
+        _examples, "doc_id long, toxic int, k1 long, k2 long, terms array<long>, counts array<int>")
+    # copies count once for each label; what comes to the driver are EXAMPLES rows at most
+    rows = rows.groupBy("k1", "k2", "toxic").agg(F.min_by(F.struct("doc_id", "terms", "counts"), "doc_id").alias("r"))
+    got = cut(rows.select("r.doc_id", "toxic", "r.terms", "r.counts")).orderBy("doc_id", "toxic").toArrow().combine_chunks()
+    n, toxic = len(got), np.array(got.column("toxic").to_pylist(), int)
+    if not n:
+        return Index(np.zeros(0, np.uint64), np.zeros(0), [], np.zeros(0), [], 0.5)
+    flat = np.concatenate([x.values.to_numpy() for x in got.column("terms")]).view(np.uint64)
+    count = np.concatenate([x.values.to_numpy() for x in got.column("counts")])
+    doc = np.repeat(np.arange(n), [len(x) for x in got.column("terms")])
+    terms, number, df = np.unique(flat, return_inverse=True, return_counts=True)
+    use = df >= MIN_DF
+    weights = np.log(1 + n / df) * relevance(df.astype(float), np.bincount(number, toxic[doc], len(terms)), n, int(toxic.sum()))
+    renumber = np.cumsum(use) - 1
+    kept = use[number]
+    doc, number, count = doc[kept], renumber[number[kept]], count[kept]
+    cuts = np.searchsorted(doc, np.arange(n + 1))
+    full = [i for i in range(n) if cuts[i + 1] > cuts[i]]
+    vecs = [(number[cuts[i]: cuts[i + 1]], count[cuts[i]: cuts[i + 1]]) for i in full]
+    ids = got.column("doc_id").to_pylist()
+    return Index(terms[use], weights[use], [ids[i] for i in full], toxic[full].astype(float), vecs, (toxic.sum() + 0.5) / (n + 1))
 
 
 EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()),
@@ -204,21 +322,13 @@ def _scorer(sent, text: str, keep: list[str], names: list[str]):
     def run(batches):
         ix = sent.value
         for rows, data, off in W.chunks(batches, text):
-            docs_of, terms = _terms(data, off)
-            score = np.full(rows.num_rows, ix.prior)
-            evidence: list = [[] for _ in range(rows.num_rows)]
-            if len(ix.terms):
-                at = np.minimum(np.searchsorted(ix.terms, terms), len(ix.terms) - 1)
-                hit = np.flatnonzero(ix.terms[at] == terms)
-                hit = hit[np.argsort(docs_of[hit], kind="stable")]
-                doc, term = docs_of[hit], at[hit]
-                found, first = np.unique(doc, return_index=True)
-                for d, mine in zip(found.tolist(), np.split(term, first[1:])):
-                    t, c = np.unique(mine, return_counts=True)
-                    score[d], s, n = ix.score(t, c)
-                    evidence[d] = [{"doc_id": ix.ids[j], "cosine": float(x), "toxic": int(ix.labels[j])} for x, j in zip(s, n)]
-            yield pa.RecordBatch.from_arrays([rows.column(rows.schema.get_field_index(c)) for c in keep]
-                                             + [pa.array(score), pa.array(evidence, EVIDENCE_ARROW)], names)
+            for a in range(0, rows.num_rows, 512):  # bounds the scores held at once
+                z = min(a + 512, rows.num_rows)
+                got = ix.score_texts(*_terms(data[off[a]: off[z]], off[a: z + 1] - off[a]), z - a)
+                evidence = [[{"doc_id": ix.ids[j], "cosine": float(x), "toxic": int(ix.labels[j])} for x, j in zip(s, d)] for _, s, d in got]
+                part = rows.slice(a, z - a)
+                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)) for c in keep]
+                                                 + [pa.array([g[0] for g in got], pa.float64()), pa.array(evidence, EVIDENCE_ARROW)], names)
     return run
 
 
@@ -226,10 +336,11 @@ def score_toxicity(docs: DataFrame, index: Index, text: str = "text", columns: l
                    score: str = "score", evidence: str = "evidence") -> DataFrame:
     """``columns`` of every row of ``docs``, its ``score`` (0 to 1) and ``evidence``.
 
-    A text without a known term (null, empty, blank and clean ones) gets the
-    rate of toxic labels among such examples and no evidence.  Without
-    examples that rate is 0.5.  Repeated rows get equal scores; an empty table
-    gives no rows.  The new columns' names must not be among ``columns``.
+    A text without a known term (null, empty and blank ones) has no neighbours: it
+    gets the score of a vote without a toxic one, and no evidence.  Without
+    examples that is 0.5.  Very long texts are scored whole.  Repeated rows get
+    equal scores; an empty table gives no rows.  The new columns' names must not
+    be among ``columns``.
     """
     spark = ready(docs)
     columns = ["doc_id"] if columns is None else list(columns)
