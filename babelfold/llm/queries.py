@@ -91,7 +91,7 @@ def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(_table(spark, sf_dir, "documents"))
     names = F.array_sort(F.array_distinct(F.col("notices.family")))
     return found.select("doc_id", "n_paragraphs", F.size("notices").cast("long").alias("n_notices"),
-                        F.array_join(names, ",").alias("families"), F.col("notices.line").alias("lines"))
+                        F.array_join(names, ",").alias("families"), F.col("notices.paragraph").alias("paragraphs"))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

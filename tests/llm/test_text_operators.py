@@ -1,9 +1,11 @@
 """Operators that answer each text on its own, against plain versions and the odd cases."""
 
 import random
+import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from babelfold.llm import bpe, decontaminate, html_extract, licenses, pii, quality, token_counts
 from babelfold.llm.queries import tokenizer_file
@@ -181,12 +183,62 @@ def test_licences(spark):
                            for _ in range(4))) for i in range(80)]
     rows = plain + [(200, plain[0][1] + "\nReleased under the MIT License."), (201, "LICENSED UNDER CC BY-NC 4.0"), (202, None), (None, ""),
                     (203, "Licensed under the Apache License, Version 2.0.\nThis work is licensed under the GNU General Public License, version 3."),
-                    (204, "he was licensed to drive a public bus")]
+                    (204, "he was licensed to drive a public bus"),
+                    (205, "Some words.\n\nThis program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public "
+                          "License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.\n \nMore."),
+                    (206, "Released under the\nMIT License"),
+                    (207, "Licensed under the Apache License, Version 2.0 or Released under the MIT License"),
+                    (208, "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted."),
+                    (209, "// SPDX-License-Identifier: MIT"), (210, "# SPDX-License-Identifier: Apache-2.0"),
+                    (211, "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+                    (212, " ".join(plain[k][1].replace("\n", " ") for k in range(40)) + " Permission is hereby granted, free of charge, to any person obtaining a copy of "
+                          "this software and associated documentation files, to deal in the Software without restriction. "
+                          + " ".join(plain[k][1].replace("\n", " ") for k in range(40, 80)))]
     out = {r.doc_id: [x.family for x in r.notices] for r in licenses.scan(table(spark, rows)).collect()}
     assert out[200] == ["mit"] and out[201] == ["cc-by-nc"] and out[203] == ["apache-2.0", "gpl-3.0"]
+    assert out[205] == ["gpl-3.0"] and out[206] == ["mit"] and out[207] == ["apache-2.0", "mit"] and out[208] == ["isc"]
+    assert out[209] == ["mit"] and out[210] == ["apache-2.0"] and out[211] == ["cc-by-sa"] and out[212] == ["mit"]
     assert not out[202] and not out[204] and not out[None] and not any(out[d] for d, _ in plain)
 
 
+def test_licence_shares_and_windows_equal_plain_python(spark):
+    """Windows, template shares and what is part of a better match, worked out in plain Python."""
+    rng = random.Random(9)
+    vocab = ["licensed", "under", "the", "mit", "apache", "license", "version", "2.0", "released", "cc", "by", "sa", "4.0", "software", "x", "y"]
+    texts = ["\n".join("" if rng.random() < 0.2 else " ".join(rng.choice(vocab) for _ in range(rng.randint(1, 50))) for _ in range(rng.randint(1, 9))) for _ in range(40)]
+    texts += [t for ts in licenses.TEMPLATES.values() for t in ts] + ["", "\n \n\n", "a\n \t\n\nb"]
+
+    def plain_windows(text):
+        out = []
+        for i, p in enumerate(re.split(r"\n(?:[ \t\x0b-\r]*\n)+", text)):
+            w = re.findall(licenses.WORD, p.lower())
+            starts = range(0, len(w) - licenses.WIDTH + licenses.STEP, licenses.STEP) if len(w) > licenses.WIDTH else [0]
+            out += [(i, w[a: a + licenses.WIDTH]) for a in starts]
+            assert not w or {x for a in starts for x in range(a, min(a + licenses.WIDTH, len(w)))} == set(range(len(w)))
+        return out
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = df.select("i", F.explode(licenses.windows(F.col("text"))).alias("p")).select("i", "p.paragraph", "p.w")
+    by = {}
+    for r in got.collect():
+        by.setdefault(r.i, []).append((r.paragraph, r.w))
+    assert {i: plain_windows(t) for i, t in enumerate(texts)} == by
+
+    families = [licenses.NONE, *licenses.TEMPLATES]
+    odds = F.array(*[F.lit(0.4 if f in ("none", "bsd") else 0.9) for f in families])
+    found = got.withColumn("two", licenses.bigrams(F.col("w"))).select("w", licenses._confirmed(F.col("two"), odds, families, 0.5).alias("n")).collect()
+    hits = 0
+    for r in found:
+        two = {f"{a} {b}" for a, b in zip(r.w, r.w[1:])}
+        sure = []
+        for f, b in licenses._template_bigrams():
+            if f != "bsd" and len(two & set(b)) / len(b) >= licenses.CONFIRM:
+                sure.append((f, len(two & set(b)) / len(b), two & set(b)))
+        want = sorted((f, s) for f, s, h in sure if not any(g != f and len(k) > len(h) and h <= k for g, _, k in sure))
+        assert sorted((x.family, x.share) for x in r.n) == want
+        hits += bool(want)
+    assert hits > 20
+
+
 def test_main_text(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     trees = html_extract.train(pages)
