@@ -21,6 +21,8 @@ are scored where they are read, without a shuffle.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +36,7 @@ EXAMPLES = 4_000  # labelled rows that training looks at, at most
 MIN_DF = 2
 FLOOR, CHANCE = 0.002, 20.0  # relevance of any term; chi-square that is more than chance
 NEIGHBOURS, BLOCK, FIRST = 11, 64, 4  # FIRST: blocks of a query that are read before bounds are compared
-STEMS = (4, 6)  # bytes of the beginnings of words
+STEMS = (6,)  # bytes of the beginnings of words
 CELLS = 1 << 21  # (term, block) cells or postings looked up at once
 COMMON, COMMON_TERMS = 1 / 16, 1024  # a term that so many of the examples use is kept as a dense column, so many terms at most
 
@@ -106,7 +108,7 @@ class Index:
         self._calibrate(rows, vec)
 
     def _build(self) -> None:
-        """The parts that follow from the postings: they are not sent along."""
+        """The parts that follow from the postings: not sent along, built where a search needs them."""
         blocks, n = max(self.blocks, 1), len(self.ids)
         df = np.bincount(self.post_term, minlength=len(self.terms))
         often = np.argsort(-df, kind="stable")[:COMMON_TERMS]
@@ -117,7 +119,7 @@ class Index:
         self.dense = np.zeros((len(often), blocks * BLOCK))
         self.dense[self.column[self.post_term[mine]], self.post_doc[mine]] = self.post_weight[mine]
         # the others by term, then example; blocks of a term follow each other
-        self.doc, self.weight = self.post_doc[~mine], self.post_weight[~mine]
+        self.doc, self.weight = self.post_doc[~mine].astype(np.int64), self.post_weight[~mine]
         cell = self.post_term[~mine].astype(np.int64) * blocks + self.doc // BLOCK
         self.ptr = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=len(self.terms) * blocks))]).astype(np.int32)
         self.top = np.zeros((len(self.terms), blocks), np.float32)
@@ -126,10 +128,6 @@ class Index:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("column", "dense", "doc", "weight", "ptr", "top")}
 
-    def __setstate__(self, state):
-        self.__dict__ |= state
-        self._build()
-
     def vector(self, t, counts) -> np.ndarray:
         x = (1 + np.log(np.asarray(counts, float))) * self.weights[np.asarray(t, int)]
         return x / np.sqrt((x * x).sum())
@@ -144,77 +142,88 @@ class Index:
         empty = (np.zeros(0), np.zeros(0, int))
         if not self.blocks or not len(row):
             return [empty] * n
+        if "ptr" not in self.__dict__:
+            self._build()
         col = self.column[t]
         common = np.zeros((n, len(self.dense)))
         common[row[col >= 0], col[col >= 0]] = q[col >= 0]
-        scores = common @ self.dense  # what the common terms give, for all examples
+        base = common @ self.dense  # what the common terms give, for all examples
+        scores = base.copy()
         row, t, q = row[col < 0], t[col < 0], q[col < 0]
         begin = np.searchsorted(row, np.arange(n + 1))
-        bound = scores.reshape(n, self.blocks, BLOCK).max(axis=2)
+        bound = base.reshape(n, self.blocks, BLOCK).max(axis=2)
         step = max(1, CELLS // self.blocks)
         for a in range(0, len(row), step):  # bounds of a slice of the terms at a time
             part = slice(a, a + step)
             starts = np.flatnonzero(np.diff(row[part], prepend=-1))
             bound[row[part][starts]] += np.add.reduceat(q[part, None] * self.top[t[part]], starts, axis=0)
+        best = np.argpartition(-bound, min(FIRST, self.blocks) - 1, axis=1)[:, :FIRST]
         first = np.zeros((n, self.blocks), bool)
-        np.put_along_axis(first, np.argsort(-bound, axis=1, kind="stable")[:, :FIRST], True, axis=1)
-        self._read(first, begin, t, q, scores)
+        np.put_along_axis(first, best, True, axis=1)
+        self._read_blocks(first, begin, t, q, scores)
         gone = np.flatnonzero(without >= 0) if without is not None else np.zeros(0, int)
         many = scores.shape[1] > k
-        done = np.where(np.repeat(first, BLOCK, axis=1), scores, -1.0)
-        if len(gone):
-            done[gone, without[gone]] = -1
-        floor = np.partition(done, -k, axis=1)[:, -k] if many else np.full(n, -1.0)
+        floor = np.full(n, -1.0)
+        if best.shape[1] * BLOCK >= k:
+            places = (best[:, :, None] * BLOCK + np.arange(BLOCK)).reshape(n, -1)
+            got = np.take_along_axis(scores, places, axis=1)
+            if len(gone):
+                got[gone] = np.where(places[gone] == without[gone, None], -1, got[gone])
+            floor = np.partition(got, -k, axis=1)[:, -k]
         # equal bounds are read too: of equal cosines the first example counts
         rest = (bound > 0) & (bound * (1 + 1e-6) + 1e-9 >= floor[:, None]) & ~first
-        self._read(rest, begin, t, q, scores)
-        scores = np.where(np.repeat(first | rest, BLOCK, axis=1), np.round(scores, 9), 0.0)
+        # a row that wants most blocks reads its terms' whole lists, from the start
+        whole = rest.sum(axis=1) * 4 > self.blocks
+        self._read_blocks(rest & ~whole[:, None], begin, t, q, scores)
+        r = np.flatnonzero(whole)
+        scores[r] = base[r]
+        rest[r] = True
+        at, lengths = self._places(begin, r)
+        lo = self.ptr[t[at].astype(np.int64) * self.blocks]
+        self._add(np.repeat(r, lengths), lo, self.ptr[(t[at].astype(np.int64) + 1) * self.blocks] - lo, q[at], scores)
         if len(gone):
             scores[gone, without[gone]] = 0
+        # blocks that were not read hold part of a cosine, under their bound: none is among the k
         floor = np.partition(scores, -k, axis=1)[:, -k] if many else np.zeros(n)
         out = []
         for r in range(n):
-            s = scores[r]
-            hit = np.flatnonzero(s >= max(floor[r], 1e-9))
-            hit = hit[np.lexsort((hit, -s[hit]))[:k]]
-            out.append((s[hit], hit) if len(hit) else empty)
+            hit = np.flatnonzero(scores[r] >= max(floor[r] - 1e-8, 1e-9))
+            s = np.round(scores[r, hit], 9)
+            o = np.lexsort((hit, -s))[:k]
+            out.append((s[o], hit[o]) if len(hit) else empty)
         return out
 
-    def _read(self, wanted: np.ndarray, begin: np.ndarray, t: np.ndarray, q: np.ndarray, scores: np.ndarray) -> None:
-        """Adds to ``scores`` what the rarer terms give in the wanted (row, block) pairs.
-        A row that wants most blocks reads its terms' whole lists."""
-        whole = wanted.sum(axis=1) * 4 > self.blocks
-        r = np.flatnonzero(whole)
-        if len(r):
-            size = begin[r + 1] - begin[r]
-            at = np.repeat(begin[r], size) + W._ramp(size)
-            lo = self.ptr[t[at].astype(np.int64) * self.blocks]
-            self._add(np.repeat(r, size), lo, self.ptr[(t[at].astype(np.int64) + 1) * self.blocks] - lo, q[at], scores, wanted)
-        r, b = np.nonzero(wanted & ~whole[:, None])
+    @staticmethod
+    def _places(begin: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the terms of rows ``r``, and their numbers."""
         size = begin[r + 1] - begin[r]
-        at = np.repeat(begin[r], size) + W._ramp(size)
+        return np.repeat(begin[r], size) + W._ramp(size), size
+
+    def _read_blocks(self, wanted: np.ndarray, begin: np.ndarray, t: np.ndarray, q: np.ndarray, scores: np.ndarray) -> None:
+        """Adds to ``scores`` what the rarer terms give in the wanted (row, block) pairs."""
+        r, b = np.nonzero(wanted)
+        at, size = self._places(begin, r)
         cell = t[at].astype(np.int64) * self.blocks + np.repeat(b, size)
         lo = self.ptr[cell]
-        self._add(np.repeat(r, size), lo, self.ptr[cell + 1] - lo, q[at], scores, None)
+        self._add(np.repeat(r, size), lo, self.ptr[cell + 1] - lo, q[at], scores)
 
-    def _add(self, row, lo, m, q, scores, wanted) -> None:
-        """Postings lo .. lo + m of each (row, weight), a bounded number at a time."""
+    def _add(self, row, lo, m, q, scores) -> None:
+        """Adds the postings lo .. lo + m of each (row, weight), a bounded number at a time."""
         use = np.flatnonzero(m)
         row, lo, m, q = row[use], lo[use].astype(np.int64), m[use].astype(np.int64), q[use]
         ends = np.cumsum(m)
         width, a = scores.shape[1], 0
         while a < len(row):
-            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + CELLS, side="right")))
+            done = ends[a - 1] if a else 0
+            z = max(a + 1, int(np.searchsorted(ends, done + CELLS, side="right")))
             n = m[a:z]
-            post = np.repeat(lo[a:z], n) + W._ramp(n)
-            r, d = np.repeat(row[a:z], n), self.doc[post]
-            value = np.repeat(q[a:z], n) * self.weight[post]
-            if wanted is not None:  # blocks that were read before are not counted twice
-                keep = wanted[r, d // BLOCK]
-                r, d, value = r[keep], d[keep], value[keep]
-            first = int(row[a])
-            last = int(row[z - 1]) + 1
-            slot = (r - first) * width + d
+            post = np.repeat(lo[a:z] - (ends[a:z] - n - done), n)
+            post += np.arange(len(post))
+            value = np.repeat(q[a:z], n)
+            value *= self.weight[post]
+            first, last = int(row[a]), int(row[z - 1]) + 1
+            slot = np.repeat((row[a:z] - first) * width, n)
+            slot += self.doc[post]
             scores[first:last] += np.bincount(slot, value, (last - first) * width).reshape(-1, width)
             a = z
 
@@ -291,12 +300,21 @@ def train(docs: DataFrame, labels: DataFrame, fold: int | None = 1, folds: int =
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = text.join(F.broadcast(cut(lab)), "doc_id").select("doc_id", "toxic", "text").mapInArrow(
         _examples, "doc_id long, toxic int, k1 long, k2 long, terms array<long>, counts array<int>")
-    # copies count once for each label; what comes to the driver are EXAMPLES rows at most
+    # copies count once for each label
     rows = rows.groupBy("k1", "k2", "toxic").agg(F.min_by(F.struct("doc_id", "terms", "counts"), "doc_id").alias("r"))
-    got = cut(rows.select("r.doc_id", "toxic", "r.terms", "r.counts")).orderBy("doc_id", "toxic").toArrow().combine_chunks()
+    rows = cut(rows.select("r.doc_id", "toxic", "r.terms", "r.counts"))
+    # one task fits the bounded sample; the driver passes its index on
+    fitted = rows.coalesce(1).sortWithinPartitions("doc_id", "toxic").mapInArrow(_fit, "index binary").collect()
+    return pickle.loads(fitted[0][0]) if fitted else Index(np.zeros(0, np.uint64), np.zeros(0), [], np.zeros(0), [], 0.5)
+
+
+def _fit(batches):
+    """The index of all examples (doc_id, toxic, terms, counts), in their order."""
+    got = [b for b in batches if b.num_rows]
+    if not got:
+        return
+    got = pa.Table.from_batches(got).combine_chunks()
     n, toxic = len(got), np.array(got.column("toxic").to_pylist(), int)
-    if not n:
-        return Index(np.zeros(0, np.uint64), np.zeros(0), [], np.zeros(0), [], 0.5)
     flat = np.concatenate([x.values.to_numpy() for x in got.column("terms")]).view(np.uint64)
     count = np.concatenate([x.values.to_numpy() for x in got.column("counts")])
     doc = np.repeat(np.arange(n), [len(x) for x in got.column("terms")])
@@ -310,7 +328,8 @@ def train(docs: DataFrame, labels: DataFrame, fold: int | None = 1, folds: int =
     full = [i for i in range(n) if cuts[i + 1] > cuts[i]]
     vecs = [(number[cuts[i]: cuts[i + 1]], count[cuts[i]: cuts[i + 1]]) for i in full]
     ids = got.column("doc_id").to_pylist()
-    return Index(terms[use], weights[use], [ids[i] for i in full], toxic[full].astype(float), vecs, (toxic.sum() + 0.5) / (n + 1))
+    index = Index(terms[use], weights[use], [ids[i] for i in full], toxic[full].astype(float), vecs, (toxic.sum() + 0.5) / (n + 1))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(index)], pa.binary())], ["index"])
 
 
 EVIDENCE = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType()),
