@@ -93,7 +93,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     n = e.count()
     while True:
         parts = max(1, -(-n // FOREST_EDGES))
-        e, was = cut(e.coalesce(parts).mapInArrow(_forest, "a long, b long")), n
+        # dealt anew, so that no task holds more than its share, however the files are read
+        e, was = cut((e.repartition(parts) if parts > 1 else e.coalesce(1)).mapInArrow(_forest, "a long, b long")), n
         if parts == 1:
             return _named(e)
         n = e.count()
