@@ -12,24 +12,34 @@ from babelfold.functions import text as T
 from babelfold.operators import segments as S
 
 
-def strip_resources(tokens: DataFrame, css: bool = True, js: bool = False, images: bool = True) -> DataFrame:
-    """Drop scripts / styles / images by switch; rebuilds each page from its tokens."""
-    drop_tags = ([] if js else ["script"]) + ([] if css else ["style"]) + ([] if images else ["img"])
-    kind, tag, raw = F.col("kind"), F.col("tag"), F.col("raw")
-    dropped = tag.isin(*drop_tags) if drop_tags else F.lit(False)
-    drop_attr = []
-    if not js:
-        drop_attr.append("on")
-    out = F.when(dropped, F.lit("")).otherwise(raw)
-    if drop_attr:
-        tokens = S.with_pieces(tokens, r"kind = 'open' AND raw RLIKE '(?i)[\\t\\n\\f\\r /]on[a-z]'")
-        kept = F.expr("array_join(transform(filter(a0, a -> NOT coalesce(startswith(a.name, 'on'), false)), "
-                      "a -> a.piece), '')")
-        out = F.when(~dropped & F.col("a0").isNotNull(), kept).otherwise(out)
-    return tokens.groupBy("page_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", out.alias("o")))), lambda x: x["o"]),
-                     "").alias("html"))
-
+# --- fixed values: what belongs to each switch ---------------------------------------
+IMAGE_TAGS, IMAGE_ATTRS = ("img", "source"), ("src", "srcset")
+# ------------------------------------------------------------------------------------
+_SP = r"\t\n\f\r "
+STRIP_PREFILTER_RE = rf"(?i)[{_SP}/](on[a-z]|style|src|rel)"
+
+
+def strip_resources(tokens: DataFrame, css: bool = True, js: bool = False, images: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pages ``(page_id, html)`` without the resources whose switch is off.
+
+    ``js``: script elements and ``on...`` attributes; ``css``: style elements,
+    stylesheet links and style attributes; ``images``: the sources of images (the
+    images stay, with their texts).  Instead of a value a switch may be the name of
+    a boolean column of the tokens, listed in ``by`` with any further key.  All else,
+    the inside of templates too, stays as it is; a NULL page stays NULL.
+    """
+    on = {k: (v if isinstance(v, str) else str(v).upper()) for k, v in {"css": css, "js": js, "images": images}.items()}
+    t = S.with_pieces(tokens, f"kind = 'open' AND raw RLIKE {T.sql_str(STRIP_PREFILTER_RE)}")
+    names = lambda vals: ", ".join(T.sql_str(v) for v in vals)
+    sheet = f"exists(a0, a -> a.name = 'rel' AND lower(a.value) RLIKE {T.sql_str(rf'(^|[{_SP}])stylesheet([{_SP}]|$)')})"
+    gone = (f"(NOT {on['js']} AND tag = 'script') OR (NOT {on['css']} AND (tag = 'style' OR (tag = 'link' AND kind = 'open' AND {sheet})))")
+    drop = (f"(NOT {on['js']} AND startswith(a.name, 'on')) OR (NOT {on['css']} AND a.name = 'style') "
+            f"OR (NOT {on['images']} AND tag IN ({names(IMAGE_TAGS)}) AND a.name IN ({names(IMAGE_ATTRS)}))")
+    left = f"array_join(transform(filter(a0, a -> NOT coalesce({drop}, false)), a -> a.piece), '')"
+    out = F.expr(f"CASE WHEN coalesce({gone}, false) THEN '' WHEN a0 IS NOT NULL THEN {left} ELSE raw END")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", out.alias("o")))), lambda x: x["o"]), "")
+    # a NULL page is one token without text
+    return t.groupBy("page_id", *by).agg(F.when(F.count("raw") > 0, joined).alias("html"))
 
 
 def page_title(tokens: DataFrame) -> DataFrame:

@@ -236,6 +236,26 @@ def q_strip_resources(spark, sf_dir):
     return RES.strip_resources(_tokens(spark, sf_dir))
 
 
+_STRIP = """CASE WHEN (NOT js AND tag = 'script') OR (NOT css AND tag = 'style') OR (NOT css AND tag = 'link' AND kind = 'open'
+      AND len(list_filter(al, lambda a: a.name = 'rel' AND regexp_matches(lower(a.value), '(^|[ \\t\\n\\f\\r])stylesheet($|[ \\t\\n\\f\\r])'))) > 0) THEN ''
+    WHEN kind = 'open' THEN array_to_string(list_transform(list_filter(al, lambda a: NOT coalesce((NOT js AND starts_with(a.name, 'on'))
+      OR (NOT css AND a.name = 'style') OR (NOT images AND tag IN ('img', 'source') AND a.name IN ('src', 'srcset')), false)), lambda a: a.piece), '')
+    ELSE raw END"""
+
+
+@register("strip_resources_switches", O.with_(O.cte_tokens(D.RESOURCE_PAGES_SQL)) + f""",
+sw AS (SELECT k, k % 2 = 1 AS css, k // 2 % 2 = 1 AS js, k // 4 = 1 AS images FROM (SELECT unnest(range(0, 8)) AS k)),
+al AS (SELECT *, {O.attr_list('raw')} AS al FROM tokens)
+SELECT page_id, CAST(k AS INTEGER) AS switches, string_agg(o, '' ORDER BY pos) AS html FROM (
+  SELECT page_id, k, pos, {_STRIP} AS o FROM al, sw) GROUP BY page_id, k""")
+def q_strip_resources_switches(spark, sf_dir):
+    """All eight sets of switches over pages with resources of every kind."""
+    k = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("switches")
+    t = _tokens(spark, sf_dir, D.resource_pages(spark, sf_dir)).select("*", k)
+    t = t.withColumns({"css": F.expr("switches % 2 = 1"), "js": F.expr("switches div 2 % 2 = 1"), "images": F.expr("switches div 4 = 1")})
+    return RES.strip_resources(t, "css", "js", "images", by=("switches",))
+
+
 @register("page_title", O.with_(TOK_PAGES) + f""",
 pt AS (SELECT page_id, pos, kind, raw, lag(tag) OVER (PARTITION BY page_id ORDER BY pos) AS prev_tag,
               lag(kind) OVER (PARTITION BY page_id ORDER BY pos) AS prev_kind FROM tokens)

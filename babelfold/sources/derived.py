@@ -157,6 +157,22 @@ LOCATION_INPUTS_SQL = (
                                                          for x in s) for s in LOCATION_SHAPES) + "] AS v FROM pages))")
 
 
+# Pages with resources of all kinds; every seventh is NULL.
+RESOURCE_PARTS = ('<link rel="Stylesheet alternate" href="a.css"><link rel="icon" href="i.png"><style>p{}</style><p onclick="x()" STYLE=\'a\' title="', "NAME",
+                  '" Onload=y>', "NAME", '<img src="a.png" alt="', "NAME", '" srcset=b.png><script src="s.js">var a="', "NAME",
+                  '";</script></p><picture><source srcset="c"></picture><video src="v" style="w">', "NAME", "</video><style>q{}")
+
+
+def resource_pages(spark, sf_dir) -> DataFrame:
+    p = table(spark, sf_dir, "part")
+    html = F.concat(*[p.p_name if x == "NAME" else F.lit(x) for x in RESOURCE_PARTS])
+    return p.select(F.col("p_partkey").cast("long").alias("page_id"), F.when(F.col("p_partkey") % 7 != 0, html).alias("html"))
+
+
+RESOURCE_PAGES_SQL = ("(SELECT CAST(p_partkey AS BIGINT) AS page_id, CASE WHEN p_partkey % 7 <> 0 THEN "
+                      + " || ".join("p_name" if x == "NAME" else _sql_quoted(x) for x in RESOURCE_PARTS) + " END AS html FROM part)")
+
+
 # --- response bodies and marker texts ----------------------------------------------------
 
 def response_bodies(spark, sf_dir) -> DataFrame:

@@ -109,3 +109,20 @@ def test_long_phrase_in_an_iframe(spark):
     tok = TK.tokenize(TK.partition_pages(pages_df(spark, [f'<iframe src="data:text/html;base64,{src}"></iframe>'])))
     got = S.extract_segments(tok, "repaired").collect()
     assert [(r.kind, r.text) for r in got] == [("iframe_text", ("Word " * 50_000).strip())]
+
+
+def test_resource_switches(spark):
+    from babelfold.operators.resources import strip_resources
+
+    page = "<style>a</style><p onclick='f()' style=x title=t>b<img src=i alt=c><script>d</script><link rel=stylesheet href=e><a href='javascript:x'>z</a>"
+    tok = TK.tokenize(TK.partition_pages(pages_df(spark, [page, None, ""])))
+    want = {
+        (True, True, True): page,
+        (True, False, True): "<style>a</style><p style=x title=t>b<img src=i alt=c><link rel=stylesheet href=e><a href='javascript:x'>z</a>",
+        (False, True, True): "<p onclick='f()' title=t>b<img src=i alt=c><script>d</script><a href='javascript:x'>z</a>",
+        (True, True, False): page.replace(" src=i", ""),
+        (False, False, False): "<p title=t>b<img alt=c><a href='javascript:x'>z</a>",
+    }
+    for (css, js, images), html in want.items():
+        got = {r.page_id: r.html for r in strip_resources(tok, css, js, images).collect()}
+        assert got == {0: html, 1: None, 2: ""}
