@@ -126,3 +126,13 @@ def test_resource_switches(spark):
     for (css, js, images), html in want.items():
         got = {r.page_id: r.html for r in strip_resources(tok, css, js, images).collect()}
         assert got == {0: html, 1: None, 2: ""}
+
+
+def test_each_pass_takes_a_page_apart_once(spark):
+    """No filter repeats the work of the tokens' array below its projection."""
+    pages = spark.createDataFrame([(1, "<p>a</p>"), (2, ""), (3, None), (4, "x < y & <b title='t'>z")], "page_id long, html string")
+    t = TK.tokenize(TK.partition_pages(pages))
+    plan = t._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if x.lstrip(" :+-").startswith("Filter") and "regexp_extract_all" in x]
+    got = {r.page_id: r.raw for r in t.groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "raw"))), lambda x: x["raw"]), "").alias("raw")).collect()}
+    assert got == {1: "<p>a</p>", 2: "", 3: "", 4: "x < y & <b title='t'>z"}
