@@ -19,6 +19,11 @@ _SP = r"\t\n\f\r "
 STRIP_PREFILTER_RE = rf"(?i)[{_SP}/](on[a-z]|style|src|rel)"
 
 
+def with_resource_pieces(tokens: DataFrame) -> DataFrame:
+    """Adds the pieces of the tags that :func:`strip_resources` may change."""
+    return S.with_pieces(tokens, f"kind = 'open' AND raw RLIKE {T.sql_str(STRIP_PREFILTER_RE)}")
+
+
 def strip_resources(tokens: DataFrame, css: bool = True, js: bool = False, images: bool = True, by: tuple[str, ...] = ()) -> DataFrame:
     """Pages ``(page_id, html)`` without the resources whose switch is off.
 
@@ -26,10 +31,12 @@ def strip_resources(tokens: DataFrame, css: bool = True, js: bool = False, image
     stylesheet links and style attributes; ``images``: the sources of images (the
     images stay, with their texts).  Instead of a value a switch may be the name of
     a boolean column of the tokens, listed in ``by`` with any further key.  All else,
-    the inside of templates too, stays as it is; a NULL page stays NULL.
+    the inside of templates too, stays as it is; a NULL page stays NULL.  Tokens that
+    are repeated for several sets of switches should come :func:`with_resource_pieces`:
+    their tags are then taken apart once, not once a set.
     """
     on = {k: (v if isinstance(v, str) else str(v).upper()) for k, v in {"css": css, "js": js, "images": images}.items()}
-    t = S.with_pieces(tokens, f"kind = 'open' AND raw RLIKE {T.sql_str(STRIP_PREFILTER_RE)}")
+    t = tokens if "a0" in tokens.columns else with_resource_pieces(tokens)
     names = lambda vals: ", ".join(T.sql_str(v) for v in vals)
     sheet = f"exists(a0, a -> a.name = 'rel' AND lower(a.value) RLIKE {T.sql_str(rf'(^|[{_SP}])stylesheet([{_SP}]|$)')})"
     gone = (f"(NOT {on['js']} AND tag = 'script') OR (NOT {on['css']} AND (tag = 'style' OR (tag = 'link' AND kind = 'open' AND {sheet})))")

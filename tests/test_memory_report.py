@@ -56,3 +56,31 @@ def test_report_of_a_run_with_and_without_a_memory(spark, tmp_path):
     assert (r.n_hits, r.n_misses, r.hit_rate, r.n_batches, r.n_applied) == (n_seg, 0, 1.0, 0, applied)
     r = translate_to(pages, str(tmp_path / "c"), translator=TR.python_prefix("zh", fail_over_bytes=0)).first()
     assert r.n_failed_batches == r.n_batches > 0 and r.n_applied == 0 and r.bytes_out == r.bytes_in
+
+
+def test_pages_are_not_taken_apart_again_for_each_reading_of_the_memory(spark):
+    """The split reads the segments several times: they are written once before."""
+    pages = spark.createDataFrame([(i, f"<p>text {i % 3}</p>") for i in range(20)], "page_id long, html string")
+    memory = spark.createDataFrame([("zh", "text 1", "t")], "lang string, text string, translation string")
+    r = translate_pages(pages, memory=memory)
+    assert "regexp_extract_all" not in r.segments._jdf.queryExecution().optimizedPlan().toString()
+    assert r.split.filter("hit").count() == 7 and r.split.count() == 20
+
+
+def test_small_pages_are_dealt_over_several_tasks(spark):
+    """Few shuffled bytes are much work: they don't end up in one task."""
+    from babelfold.operators import tokens as TK
+
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.sha2(F.concat_ws("-", F.col("id"), i), 256)), "</p><p>")
+    pages = TK.partition_pages(spark.range(400).select(F.col("id").alias("page_id"), body.alias("html")))
+    assert pages.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_resource_pieces_made_before_the_switches_change_no_page(spark):
+    from babelfold.operators import resources as RES, tokens as TK
+
+    html = '<link rel=stylesheet href=a><p onclick="x" style="y" title="t">a<img src=b><script>var z</script><style>q</style></p>'
+    t = TK.tokenize(TK.partition_pages(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string")))
+    keys = lambda df: df.select("*", F.explode(F.array(F.lit(True), F.lit(False))).alias("css"))
+    got, plain = (sorted(map(tuple, RES.strip_resources(x, "css", by=("css",)).collect()), key=str) for x in (keys(RES.with_resource_pieces(t)), keys(t)))
+    assert got == plain and len(got) == 4 and any("onclick" not in str(x) and "<style>q" in str(x) for x in got)
