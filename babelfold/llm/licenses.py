@@ -2,17 +2,20 @@
 
 Paragraphs are the runs of non-blank lines of a text, joined; one of more than
 WIDTH words is classified in windows of WIDTH words that overlap all but STEP
-of them, so a notice may be wrapped or stand anywhere.  Their features are word
-unigrams and bigrams, hashed into a fixed sparse space; a multinomial logistic
-regression with an L1 penalty separates the licence families from ordinary
-text.  It is trained on variants of the template notices, which Spark derives by
-leaving words out, shortening either end and adding words of the corpus around,
-against a bounded sample of the corpus's own lines.
+of them, so a notice may be wrapped or stand anywhere.  Their features are the
+words and bigrams of the templates; a multinomial logistic regression with an L1
+penalty separates the licence families from ordinary text.  It is trained on
+variants of the template notices, which Spark derives by leaving words out and
+shortening either end, by themselves and with lines of the corpus around, against
+the corpus's own lines.  Every distinct line of all texts is learnt from or
+calibrated on, long ones in pieces of WIDTH words; lines with the same features
+are one weighted row, and the fixed weight of ordinary text makes the model
+independent of the table's size.
 
 Each family is judged by itself, by its odds against ordinary text, so that a
 paragraph can hold several notices.  The unknown class is calibrated: a family
-must reach the odds that all but ``1 - PURITY`` of held-out ordinary lines stay
-under.  A family over the bound is confirmed by comparison with its templates:
+must reach the odds that all but ``1 - PURITY`` of held-out ordinary lines (half of
+all) stay under.  A family over the bound is confirmed by comparison with its templates:
 the share of a template's bigrams that the window holds.  A family whose matching
 bigrams all belong to the better match of another one (an attribution licence
 inside a share-alike one) is that other one.
@@ -26,12 +29,12 @@ from __future__ import annotations
 import re
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import cut, sampled
+from .cluster import cut
 
 # fixed values: what licence notices say, by family
 TEMPLATES = {
@@ -63,9 +66,8 @@ TEMPLATES = {
     "reserved": ["No part of this work may be reproduced without permission, all rights reserved"],
 }
 NONE = "none"
-SAMPLE_DOCS, SAMPLE = 2000, 6000  # documents, about, and ordinary lines, at most, that training looks at
-FEATURES, VARIANTS, AROUND = 1 << 14, 24, 24  # hashed features; variants of a template; words of the corpus beside one, at most
-PURITY, CONFIRM, LONG = 0.9995, 0.7, 5
+VARIANTS, ORDINARY = 24, 4.0  # variants of a template; weight of all ordinary lines in training, those of all notices being 1
+PURITY, CONFIRM, LONG, ORDINARY_SHARE = 0.9995, 0.7, 5, 0.3
 WIDTH, STEP = 64, 16
 WORD = r"[a-z0-9]+(?:[.][0-9]+)*"
 BLANK_LINES = r"\n(?:[\x20\x09\x0B-\x0D]*+\n)++"
@@ -124,9 +126,27 @@ def _confirmed(two: Column, odds: Column, families: list[str], bound: float) ->
     return F.element_at(F.transform(F.array(sure), alone), 1)
 
 
-def _hashed(df: DataFrame) -> DataFrame:
-    tf = HashingTF(inputCol="grams", outputCol="features", numFeatures=FEATURES, binary=True)
-    return tf.transform(df.withColumn("grams", F.concat("w", bigrams(F.col("w")))))
+def _features() -> tuple[list[str], list[str]]:
+    """The words and the bigrams of the templates."""
+    two = {b for _, bs in _template_bigrams() for b in bs}
+    return sorted({x for b in two for x in b.split()}), sorted(two)
+
+
+def _grams(w: Column) -> Column:
+    """The template words and bigrams among words ``w``, each once, in one order."""
+    ones, twos = _features()
+    # words the templates do not have are null, and so are the bigrams of them
+    known = F.transform(w, lambda x: F.when(x.isin(ones), x))
+
+    def grams(k):
+        pairs = F.zip_with(k, F.slice(k, 2, F.size(k)), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.array_sort(F.array_union(F.filter(k, lambda x: x.isNotNull()), F.filter(pairs, lambda x: x.isin(twos))))
+    return F.element_at(F.transform(F.array(known), grams), 1)
+
+
+def _vectors(df: DataFrame) -> DataFrame:
+    ones, twos = _features()
+    return CountVectorizerModel.from_vocabulary(ones + twos, inputCol="grams", outputCol="features", minTF=1.0, binary=True).transform(df)
 
 
 class Model:
@@ -136,42 +156,85 @@ class Model:
         self.families, self.fitted, self.bound = families, fitted, bound
 
     def odds(self, df: DataFrame) -> DataFrame:
-        """Adds ``odds`` for words ``w``: of each class, its probability against ordinary text alone."""
-        scored = self.fitted.transform(_hashed(df)).withColumn("p", vector_to_array("probability"))
+        """Adds ``odds`` for ``grams``: of each class, its probability against ordinary text alone."""
+        scored = self.fitted.transform(_vectors(df)).withColumn("p", vector_to_array("probability"))
         odds = F.transform("p", lambda x: x / (x + F.get(F.col("p"), F.lit(0)) + F.lit(1e-300)))
         return scored.withColumn("odds", odds).drop("grams", "features", "rawPrediction", "probability", "prediction", "p")
 
 
-def train(docs: DataFrame) -> Model:
-    """The classifier for ``docs(text)``; what it learns of them is bounded by SAMPLE_DOCS and SAMPLE."""
-    spark = docs.sparkSession
-    some = cut(sampled(docs, "text", SAMPLE_DOCS))
-    lines = some.select(F.explode(F.split("text", "\n")).alias("text")).select(F.xxhash64("text").alias("h"), words(F.col("text")).alias("w"))
-    lines = cut(lines.filter(F.size("w") > 0).dropDuplicates(["h"]).withColumn("two", bigrams(F.col("w"))))
-    lines = cut(lines.filter(_share(F.col("two")) < 0.3).drop("two").orderBy("h").limit(SAMPLE))
-    families = [NONE, *TEMPLATES]
-    base = spark.createDataFrame([(families.index(f), t, i) for i, (f, t) in enumerate((f, t) for f, ts in TEMPLATES.items() for t in ts)],
-                                 "label int, text string, i int")
-    base = base.select("label", words(F.col("text")).alias("w"), F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("v"))
+def _ordinary(docs: DataFrame) -> DataFrame:
+    """``(grams, held, n)``: the distinct lines of all texts, long ones in pieces of
+    WIDTH words, but for those like a template, counted by their features; ``held``
+    are those that training leaves for the calibration."""
+    def pieces(w):
+        return F.when(F.size(w) > 0, F.transform(F.sequence(F.lit(1), F.size(w), F.lit(WIDTH)), lambda a: F.slice(w, a, WIDTH)))
+    lines = docs.select(F.explode(F.split(F.col("text").cast("string"), "\n")).alias("line"))
+    lines = lines.select(F.explode(F.element_at(F.transform(F.array(words(F.col("line"))), pieces), 1)).alias("w"))
+    # one string of grams takes less of a shuffle than an array
+    seen = lines.select(F.xxhash64("w").alias("h"), F.array_join(_grams(F.col("w")), ",").alias("grams")).distinct()
+    # written before it is filtered: Spark would take the words again for the filter
+    counted = cut(seen.groupBy("grams", (F.pmod("h", F.lit(2)) == 1).alias("held")).agg(F.count(F.lit(1)).alias("n")))
+    grams = F.when(F.col("grams") == "", F.array().cast("array<string>")).otherwise(F.split("grams", ","))
+    two = F.filter(grams, lambda x: F.contains(x, F.lit(" ")))
+    return cut(counted.filter(~F.contains("grams", F.lit(" ")) | (_share(two) < ORDINARY_SHARE)).select(grams.alias("grams"), "held", "n"))
+
+
+def _variants(spark: SparkSession) -> DataFrame:
+    """``(label, grams, i)``: VARIANTS of every template, numbered."""
+    texts = [(list(TEMPLATES).index(f) + 1.0, t) for f, ts in TEMPLATES.items() for t in ts]
+    base = spark.createDataFrame([(label, t, k) for k, (label, t) in enumerate(texts)], "label double, text string, k int")
+    base = base.select("label", words(F.col("text")).alias("w"), "k", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("v"))
     short = (F.when(F.col("v") % 4 == 1, F.expr("filter(w, (x, i) -> i <> v % size(w))"))
              .when((F.col("v") % 4 == 2) & (F.size("w") > 6), F.expr("slice(w, 1, size(w) - 1)"))
              .when((F.col("v") % 4 == 3) & (F.size("w") > 6), F.expr("slice(w, 2, size(w) - 1)")).otherwise(F.col("w")))
-    around = [r.w for r in lines.orderBy("h").limit(VARIANTS).select(F.slice("w", 1, AROUND).alias("w")).collect()] or [["x"]]
-    around = F.array(*[F.array(*map(F.lit, w)) for w in around])
-    beside = lambda k: F.get(around, F.pmod(F.col("v") + k, F.size(around)))
-    base = base.withColumn("w", short).withColumn("before", beside(0)).withColumn("after", beside(7))
-    mixed = (F.when(F.col("v") % 3 == 1, F.concat("before", "w")).when(F.col("v") % 5 == 2, F.concat("w", "after"))
-             .when(F.col("v") % 4 == 0, F.concat("before", "w", "after")).otherwise(F.col("w")))
-    notices = base.select(F.col("label").cast("double").alias("label"), mixed.alias("w"))
-    held = F.pmod("h", F.lit(2)) == 1
-    plain = lines.filter(~held).select(F.lit(0.0).alias("label"), "w")
-    empty = spark.createDataFrame([(0.0, [])], "label double, w array<string>")
-    rows = cut(_hashed(notices.union(plain).union(empty)).select("label", "features").coalesce(2))
-    fitted = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=0.002, maxIter=30, standardization=False).fit(rows)
-    model = Model(families, fitted, 0.5)
-    best = F.array_max(F.slice("odds", 2, len(families)))
-    over = model.odds(lines.filter(held)).agg(F.percentile_approx(best, PURITY, 10_000)).first()[0]
-    model.bound = max(0.5, float(over or 0.0))
+    return cut(base.withColumn("w", short).select("label", _grams(F.col("w")).alias("grams"), (F.col("k") * VARIANTS + F.col("v")).alias("i")).coalesce(1))
+
+
+BINS = 1000
+
+
+def _bound(values: DataFrame, total: int) -> float:
+    """The least value of ``values(value, n)`` that at most ``1 - PURITY`` of the
+    ``total`` counts lie over, 0.5 at least.  Exact: the range that holds it is
+    narrowed by counts in BINS parts, which are all the driver gets."""
+    values, over = values.filter("value > 0.5"), (1 - PURITY) * total
+    low, high = values.agg(F.min("value"), F.max("value")).first()
+    while low is not None and low < high:
+        part = F.floor((F.col("value") - low) / F.lit(high - low) * (BINS - 1))
+        for r in sorted(values.filter(F.col("value").between(low, high)).groupBy(part.alias("part")).agg(
+                F.sum("n").alias("n"), F.min("value").alias("low"), F.max("value").alias("high")).collect(), reverse=True):
+            if r.n > over:
+                low, high = r.low, r.high
+                break
+            over -= r.n
+        else:  # all of the values may be over
+            return 0.5
+    n = values.filter(F.col("value") == low).agg(F.sum("n")).first()[0] if low is not None else None
+    return low if n is not None and n > over else 0.5
+
+
+def train(docs: DataFrame) -> Model:
+    """The classifier for ``docs(text)``, learnt from and calibrated on all of its lines."""
+    spark = docs.sparkSession
+    lines, variants = _ordinary(docs), _variants(spark)
+    plain, held = lines.filter(~F.col("held")), lines.filter("held")
+    count, rows = plain.agg(F.sum("n"), F.count(F.lit(1))).first()
+    notices = len(_template_bigrams()) * VARIANTS
+    # a variant weighs one half by itself, one half with the lines around it: each kind of
+    # line stands around one variant, or around several if there are more variants
+    parts = min(notices, max(rows, 1))
+    around = (plain.withColumn("part", F.pmod(F.xxhash64("grams"), F.lit(parts)))
+              .join(F.broadcast(variants.select("label", F.col("grams").alias("notice"), F.pmod("i", F.lit(parts)).alias("part"))), "part")
+              .select("label", F.array_union("notice", "grams").alias("grams"), F.lit(0.5 * parts / max(rows, 1)).alias("weight")))
+    data = (around.union(variants.select("label", "grams", F.lit(0.5)))
+            .union(plain.select(F.lit(0.0), "grams", F.col("n") * F.lit(ORDINARY * notices / (count or 1))))
+            .union(spark.createDataFrame([(0.0, [], 1.0)], "label double, grams array<string>, weight double")))
+    data = cut(_vectors(data).select("label", "features", "weight"))
+    fitted = LogisticRegression(family="multinomial", elasticNetParam=1.0, regParam=0.002, maxIter=30, standardization=False, weightCol="weight").fit(data)
+    model = Model([NONE, *TEMPLATES], fitted, 0.5)
+    best = F.array_max(F.slice("odds", 2, len(TEMPLATES) + 1))
+    scored = cut(model.odds(held).select(best.alias("value"), "n"))
+    model.bound = _bound(scored, scored.agg(F.sum("n")).first()[0] or 0)
     return model
 
 
@@ -207,7 +270,7 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
                       F.explode_outer(F.when(F.rlike("text", F.lit(long_)), likely).otherwise(none)).alias("p"))
     rows = rows.select("row", "doc_id", "n_paragraphs", "p.paragraph", F.coalesce(F.col("p.w"), F.array().cast("array<string>")).alias("w"))
     rows = cut(rows.withColumn("two", bigrams(F.col("w"))))
-    scored = model.odds(rows)
+    scored = model.odds(rows.withColumn("grams", F.concat("w", "two")))
     found = scored.select("row", "doc_id", "n_paragraphs", "paragraph", F.explode_outer(
         _confirmed(F.col("two"), F.col("odds"), model.families, model.bound)).alias("n"))
     # of the overlapping windows of a paragraph the best match of a family counts

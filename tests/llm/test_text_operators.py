@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -201,6 +202,47 @@ def test_licences(spark):
     assert not out[202] and not out[204] and not out[None] and not any(out[d] for d, _ in plain)
 
 
+def test_licence_training_takes_every_line(spark, monkeypatch):
+    """The odds that the bound is taken from are those of all held-out lines, of more texts and
+    lines than a bounded sample would hold, and the ordinary lines counted are all of the table's."""
+    rng = random.Random(12)
+    vocab = ["alpha", "version", "beta", "gamma", "under", "the", "this", "work", "is", "a", "of", "terms", "delta", "2.0"]
+    line = lambda: " ".join(rng.choice(vocab) for _ in range(rng.randint(4, 30)))
+    texts = ["\n".join([line(), line(), (f"4.0 nc by cc licensed alpha{k}" if k % 200 == 0 else line()), "", "..."]) for k in range(2600)]
+    texts += [texts[0], " ".join(line() for _ in range(40)), "", None, "Released under the MIT License"]
+    docs, seen = table(spark, list(enumerate(texts))), {}
+    monkeypatch.setattr(licenses, "_bound", lambda values, total: seen.update(values=values.collect(), total=total) or 0.75)
+    model = licenses.train(docs)
+    all_ = {tuple(w[k: k + licenses.WIDTH]) for t in texts for x in (t or "").split("\n") for w in [re.findall(licenses.WORD, x.lower())]
+            for k in range(0, len(w), licenses.WIDTH)}
+    shared = lambda w: max(len(set(b) & {f"{x} {y}" for x, y in zip(w, w[1:])}) / len(b) for _, b in licenses._template_bigrams())
+    plain = [w for w in all_ if shared(w) < 0.3]
+    assert 7000 < len(plain) < len(all_)
+    df = spark.createDataFrame([(list(w),) for w in plain], "w array<string>").withColumn("h", F.xxhash64("w"))
+    odds = model.odds(df.withColumn("grams", F.concat("w", licenses.bigrams(F.col("w"))))).select("h", "odds").collect()
+    held = sorted(max(r.odds[1:]) for r in odds if r.h % 2)
+    assert model.bound == 0.75 and seen["total"] == len(held)
+    assert sorted(r.value for r in seen["values"] for _ in range(r.n)) == pytest.approx(held, abs=1e-9)
+    ordinary = licenses._ordinary(docs).collect()
+    assert sum(r.n for r in ordinary) == len(plain) and sum(r.n for r in ordinary if r.held) == len(held)
+    ones, twos = map(set, licenses._features())
+    of = lambda w: tuple(sorted({x for x in w if x in ones} | {b for b in (f"{x} {y}" for x, y in zip(w, w[1:])) if b in twos}))
+    kinds = {}
+    for r in ordinary:
+        kinds[tuple(r.grams)] = kinds.get(tuple(r.grams), 0) + r.n
+    assert kinds == Counter(map(of, plain))
+
+
+def test_licence_bound_equals_sorting(spark):
+    rng = random.Random(13)
+    for values in ([rng.random() for _ in range(300)], [0.6] * 50, [0.9] * 2 + [0.2] * 40, [0.1], [], [0.5 + rng.random() / 10**9 for _ in range(90)]):
+        rows = [(v, rng.randint(1, 40)) for v in values]
+        flat = sorted(v for v, n in rows for _ in range(n))
+        over = [v for v in flat if sum(x > v for x in flat) <= (1 - licenses.PURITY) * len(flat)]
+        got = licenses._bound(spark.createDataFrame(rows, "value double, n long"), len(flat))
+        assert got == max(0.5, over[0] if over else 0.0)
+
+
 def test_licence_shares_and_windows_equal_plain_python(spark):
     """Windows, template shares and what is part of a better match, worked out in plain Python."""
     rng = random.Random(9)
